@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idfile, token_counts
+from . import decontamination, idfile, token_counts
 from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,8 +29,37 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.id_digests(idfile.read_ids(spark, path))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("hit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op8_id_files": op8_id_files,
+    "op9_decontamination": op9_decontamination,
+}
+
+#: A-Z to lower case, and the words of the benchmark rules, as DuckDB has them.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NORMAL = rf"list_filter(string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
+SQL: dict[str, str] = {
+    "op9_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
+        b AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
+        items AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS span, unnest(CASE WHEN len(w) < 10 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' ')) END) AS win
+            FROM b WHERE len(w) > 0),
+        spans AS (SELECT DISTINCT span FROM items),
+        places AS (
+            SELECT doc_id, span, unnest(range(1, len(w) - span + 2)) AS i, unnest(list_transform(range(1, len(w) - span + 2), lambda i: array_to_string(w[i:i + span - 1], ' '))) AS win
+            FROM d, spans WHERE len(w) >= span),
+        hits AS (SELECT doc_id, i, span, item_id FROM places JOIN items USING (span, win)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + span)) AS p FROM hits) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }
-SQL: dict[str, str] = {}
