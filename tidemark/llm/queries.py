@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, idfile, token_counts
+from . import decontamination, idfile, lm_score, token_counts
 from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,10 +34,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op8_id_files": op8_id_files,
     "op9_decontamination": op9_decontamination,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: A-Z to lower case, and the words of the benchmark rules, as DuckDB has them.
