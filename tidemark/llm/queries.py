@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, idfile, lm_score, near_dedup, token_counts
+from . import decontamination, idfile, lm_score, near_dedup, substring_dedup, token_counts
 from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, shared_dir(spark, "token-cache"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.remove_repeats(docs)
+    return found.select("doc_id", *substring_dedup.kept_digest(F.col("repeats")))
+
+
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "ids")
     idfile.write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -45,6 +51,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op4_token_counts": op4_token_counts,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_id_files": op8_id_files,
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
@@ -75,6 +82,19 @@ SQL: dict[str, str] = {
         least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op7_substring_dedup": """
+        WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        wins AS (
+            SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i:i + 34], ' '))) AS win
+            FROM d WHERE len(w) >= 35),
+        often AS (SELECT win FROM wins GROUP BY win HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM wins JOIN often USING (win)),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+            FROM words LEFT JOIN gone USING (doc_id, p) WHERE gone.doc_id IS NULL GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op9_decontamination": f"""
         WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents),
         b AS (SELECT item_id, {_NORMAL} AS w FROM benchmark),
