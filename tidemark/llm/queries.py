@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, idfile, lm_score, near_dedup, substring_dedup, token_counts
+from . import bpe, decontamination, idfile, lm_score, near_dedup, substring_dedup, token_counts
 from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, shared_dir(spark, "token-cache"), public_tokenizers.path(TOKENIZER))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER)).drop("text")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substring_dedup.remove_repeats(docs)
@@ -51,6 +56,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_bpe": op5_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_id_files": op8_id_files,
     "op9_decontamination": op9_decontamination,
