@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, idfile, lm_score, near_dedup, substring_dedup, token_counts, topk
+from . import bpe, decontamination, html_text, idfile, lm_score, near_dedup, substring_dedup, token_counts, topk
 from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_counts.count_tokens(docs, shared_dir(spark, "token-cache"), public_tokenizers.path(TOKENIZER))
@@ -60,6 +64,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_near_dedup": op2_near_dedup,
+    "op3_html_text": op3_html_text,
     "op4_token_counts": op4_token_counts,
     "op5_bpe": op5_bpe,
     "op7_substring_dedup": op7_substring_dedup,
