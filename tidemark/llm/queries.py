@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_text, idfile, lm_score, near_dedup, substring_dedup, token_counts, topk
+from . import bpe, decontamination, html_text, idfile, lm_score, near_dedup, substring_dedup, token_counts, topk, toxicity
 from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(TOKENIZER)).drop("text")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = substring_dedup.remove_repeats(docs)
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_token_counts": op4_token_counts,
     "op5_bpe": op5_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_id_files": op8_id_files,
     "op9_decontamination": op9_decontamination,
