@@ -176,3 +176,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     rows = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of its least id.
+
+    Rows that repeat a kept id all stay, as do rows without an id.
+    """
+    kept = near_duplicates(docs, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.filter("doc_id IS NOT NULL")
+    chosen = named.join(kept, named["doc_id"].cast("long") == kept["__kept"], "left_semi")
+    return chosen.unionByName(docs.filter("doc_id IS NULL"))

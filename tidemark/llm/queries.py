@@ -66,6 +66,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_near_dedup": op2_near_dedup,
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_files": op8_id_files,
     "op9_decontamination": op9_decontamination,
     "op10_lm_score": op10_lm_score,
+    "pipeline": pipeline,
 }
 
 #: A-Z to lower case, and the words of the benchmark rules, as DuckDB has them.
