@@ -181,9 +181,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
 def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of its least id.
 
-    Rows that repeat a kept id all stay, as do rows without an id.
+    Of rows that repeat both id and text one stays; rows without an id all stay.
     """
     kept = near_duplicates(docs, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.filter("doc_id IS NOT NULL")
-    chosen = named.join(kept, named["doc_id"].cast("long") == kept["__kept"], "left_semi")
+    chosen = named.join(kept, named["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.filter("doc_id IS NULL"))
