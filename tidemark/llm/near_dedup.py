@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_key, settle, word_hashes
+from .common import lower_ascii, settle, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -17,6 +17,8 @@ SHINGLE = 5
 #: pair of keys, one of each collection: 18 * 18 tables of six minhashes from
 #: 108 minhashes instead of 1,944.
 KEYS, ROWS = 18, 3
+#: Tables of up to so many bytes are sent to every task.
+BROADCAST_BYTES = 64 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,13 +86,15 @@ def signatures(docs: DataFrame, keys: int = KEYS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles) for each row of ``docs(doc_id, words)``."""
+    """``docs`` with its texts replaced by their sets of shingles, column ``shingles``."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_set(np.asarray(w, np.int64).view(np.uint64)).view(np.int64) for w in batch["words"]]})
+            yield batch[kept].assign(shingles=[shingle_set(np.asarray(w, np.int64).view(np.uint64)).view(np.int64) for w in batch["words"]])
 
-    return docs.mapInPandas(sets, "doc_id long, shingles array<long>")
+    schema = ", ".join(f"{c} long" for c in kept)
+    return docs.select(*kept, word_hashes(lower_ascii(F.col("text"))).alias("words")).mapInPandas(sets, f"{schema}, shingles array<long>")
 
 
 def shared_keys(classes: DataFrame, side: str) -> DataFrame:
@@ -112,13 +116,21 @@ def tables(classes: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("l", "r").alias("key"), "id", "n_shingles")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets overlap enough."""
-    u = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
-    v = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
-    both = pairs.join(u, "u").join(v, "v")
+def narrow(df: DataFrame) -> DataFrame:
+    """``df``, a table of a few longs, marked for broadcast if it measures little enough."""
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= BROADCAST_BYTES else df
+
+
+def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets overlap enough.
+
+    The set of u goes where that of v is: once for each pair, that of v once.
+    """
+    u = docs.join(narrow(pairs.select(F.col("u").alias("doc_id"), "u", "v")), "doc_id").select("u", "v", "text")
+    v = docs.join(narrow(pairs.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), "text")
+    both = shingle_sets(u).withColumnRenamed("shingles", "su").join(shingle_sets(v).withColumnRenamed("shingles", "sv").dropDuplicates(["v"]), "v")
     common = F.size(F.array_intersect("su", "sv"))
-    return both.filter(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
+    return both.filter(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> DataFrame:
@@ -139,8 +151,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     document, of which each row is returned; rows without an id are left alone:
     their component is null and they are kept. Ids are taken to be integers.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(lower_ascii(F.col("text"))).alias("words"))
-    signed = settle(signatures(source, keys))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = settle(signatures(source.select("doc_id", word_hashes(lower_ascii(F.col("text"))).alias("words")), keys))
     named = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = named.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("id"))
     members = named.select("doc_id", "same").join(classes, "same").select("doc_id", "id")
@@ -150,13 +162,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     least = met.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = settle(met.join(least.select("key", "least"), "key"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        return settle(shingle_sets(source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-
     # Each class against the least one of all its entries.
     stars = settle(entries.groupBy(F.col("id").alias("u")).agg(F.min("least").alias("v")).filter("u <> v"))
-    links = settle(verify(stars, sets_of(stars), percent))
+    links = settle(verify(stars, source, percent))
     groups = settle(connected_components(links))
     # What is left: entries that hold more than one component.
     of = groups.withColumnRenamed("component", "c")
@@ -169,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     close = (F.col("c") != F.col("ca")) & (100 * F.least("na", "n_shingles") >= percent * F.greatest("na", "n_shingles"))
     rest = left.join(mixed, "key").filter(close).select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
     rest = settle(rest.join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    more = verify(rest, sets_of(rest), percent)
+    more = verify(rest, source, percent)
     groups = connected_components(links.unionByName(more))
 
     found = members.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

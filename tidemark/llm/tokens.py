@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Characters on which every Unicode version of the last ten years agrees
 #: whether they are letters, digits or white space; a text with any other goes
 #: through the tokenizers library itself.
-UNUSUAL = re.compile("[^\u0000-ԯ -⁯₠-₽℀-↊←-⏺─-⮹　-ゖ゙-ヿ一-鿕가-힣＀-￯]")
+UNUSUAL = re.compile("[^\u0000-ԯ -⁯₠-₽℀-↊←-⏺─-⮹　-〿ぁ-ゖ゙-ヿ一-鿕가-힣！-￮]")
 #: Fixed: the split that a ByteLevel pre-tokenizer with use_regex makes.
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
