@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,33 +26,48 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
-def fragments(words: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cuts the windows of a document into fragments: (start, windows, anchor, content).
+class Hashes:
+    """Hashes of runs of a sequence of words, by differences of sums of powers."""
 
-    Each window picks the least of its hashed runs of ``gram`` words, the first
-    of equal ones. Successive windows that pick the same place form a fragment.
-    Equal windows pick equal runs at the same place, wherever they stand, so only
-    fragments with the same anchor can have a window in common, and each window
-    is in one fragment. ``content`` hashes a fragment's words.
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(words * np.cumprod(np.full(n, MULTIPLIER, np.uint64)), out=self.sums[1:])
+        self.back = np.cumprod(np.full(n, INVERSE, np.uint64))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
+def fragments(words: np.ndarray, sizes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Cuts the windows of documents into fragments: (document, start, windows, anchor, content).
+
+    ``words`` are those of several documents, one after another, ``sizes`` their
+    numbers. Each window picks the least of its hashed runs of ``gram`` words, the
+    first of equal ones. Successive windows that pick the same place form a
+    fragment. Equal windows pick equal runs at the same place, wherever they
+    stand, so only fragments with the same anchor can have a window in common, and
+    each window is in one fragment. ``content`` hashes a fragment's words.
     """
     n = len(words)
     if n < length:
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     runs = np.zeros(n - gram + 1, np.uint64)
     for i in range(gram):
         runs = mix(runs * np.uint64(MULTIPLIER) + words[i : i + len(runs)])
-    width = length - gram + 1
-    picked = np.lib.stride_tricks.sliding_window_view(runs, width).argmin(axis=1) + np.arange(n - length + 1)
-    start = np.flatnonzero(np.diff(picked, prepend=-1))
-    count = np.diff(start, append=len(picked))
-    end = start + count + length - 1
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(n, MULTIPLIER, np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers)])
-        back = np.cumprod(np.full(n, INVERSE, np.uint64))
-        content = mix((sums[end] - sums[start]) * back[start] + end.astype(np.uint64) - start.astype(np.uint64))
-    return start, count, runs[picked[start]].view(np.int64), content.view(np.int64)
+    picked = np.lib.stride_tricks.sliding_window_view(runs, length - gram + 1).argmin(axis=1) + np.arange(n - length + 1)
+    firsts = np.cumsum(sizes) - sizes
+    document = np.repeat(np.arange(len(sizes)), sizes)[: len(picked)]
+    inside = np.arange(len(picked)) + length <= (firsts + sizes)[document]
+    start = np.flatnonzero((np.diff(picked, prepend=-1) != 0) | (np.diff(document, prepend=-1) != 0))
+    end = np.append(start[1:], len(picked))
+    ends_inside = np.concatenate([[0], np.cumsum(inside)])
+    count = ends_inside[end] - ends_inside[start]  # windows that run past their document come last
+    start, count = start[count > 0], count[count > 0]
+    content = Hashes(words).of(start, start + count + length - 1)
+    of = document[start]
+    return of, start - firsts[of], count, runs[picked[start]].view(np.int64), content.view(np.int64)
 
 
 class SuffixAutomaton:
@@ -131,75 +147,104 @@ def _ranges(flags: list[bool]) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
+def _documents(batch: pa.RecordBatch, most: int = 250_000) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of a batch's documents with about ``most`` words: (slice, words, sizes)."""
+    column = batch.column("words")
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most)))
+        stop = min(stop, len(column))
+        yield slice(at, stop), values[ends[at] : ends[stop]], np.diff(ends[at : stop + 1]).astype(np.int64)
+        at = stop
+
+
+def _table(columns: dict[str, np.ndarray | list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) for name, kind in types.items()], names=list(types))
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD_WORDS, crowded: int = CROWDED) -> DataFrame:
     """(k1, k2, spans): where windows stand that start anywhere else as well.
 
     1. Every document is cut into fragments (see above), whose anchors are
        counted. Windows under an anchor that stands once can't repeat.
     2. The distinct fragments under the other anchors, with their numbers of
-       occurrences, are the reference. They are dealt to shards by their anchor;
-       fragments of a crowded anchor are dealt window by window, by content, so
-       that shards stay small.
-    3. In each shard a suffix automaton is built over its fragments, which are
-       then streamed through it: windows that occur twice or more are marked.
+       occurrences, are the reference. Where an anchor has one fragment only, its
+       number is that of all its windows. The others are dealt to shards by their
+       anchor; fragments of a crowded anchor are dealt window by window, by
+       content, so that shards stay small.
+    3. In each shard a suffix automaton is built over its fragments; those that
+       stand once are streamed through it, and windows with two occurrences or
+       more are marked. All windows of a fragment that stands twice have as many.
     4. The marks go back to all places of each fragment.
     Spans are (start, end) in words.
     """
     rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
     hashed = rows.select("k1", "k2", word_hashes(F.col("text")).alias("words"))
+    long, small = pa.int64(), pa.int32()
+    places_of = {"k1": long, "k2": long, "start": small, "windows": small, "anchor": long, "content": long}
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fragments(np.asarray(w, np.int64).view(np.uint64), length) for w in batch["words"]]
-            sizes = [len(f[0]) for f in found]
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * 4
-            yield pd.DataFrame({"k1": np.repeat(batch["k1"].to_numpy(), sizes), "k2": np.repeat(batch["k2"].to_numpy(), sizes), "start": columns[0], "windows": columns[1], "anchor": columns[2], "content": columns[3]})
+            keys = [batch.column(k).to_numpy() for k in ("k1", "k2")]
+            for part, words, sizes in _documents(batch):
+                of, *found = fragments(words, sizes, length)
+                yield _table(dict(zip(places_of, [keys[0][part][of], keys[1][part][of], *found], strict=True)), places_of)
 
-    places = hashed.mapInPandas(cut, "k1 long, k2 long, start int, windows int, anchor long, content long")
+    places = hashed.mapInArrow(cut, "k1 long, k2 long, start int, windows int, anchor long, content long")
     shared = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     places = settle(places.join(shared, "anchor"))
     distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
-    distinct = settle(distinct.select("anchor", "content", "times", "at.*"))
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", F.when(F.col("n") > crowded, F.ceil(F.col("n") / crowded)).otherwise(0).cast("int").alias("parts"))
-    n_words = distinct.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
+    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", F.when(F.col("n") > crowded, F.ceil(F.col("n") / crowded)).otherwise(0).cast("int").alias("parts"), (F.col("n") == 1).alias("alone"))
+    distinct = settle(distinct.select("anchor", "content", "times", "at.*").join(per_anchor, "anchor"))
+    n_words = distinct.filter("NOT alone").agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
     n_shards = int(n_words // shard_words + 1)
-    wanted = distinct.join(per_anchor, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "content", "times", "start", "windows", "parts")).alias("wanted"))
+    fields = ("anchor", "content", "times", "start", "windows", "parts")
+    wanted = distinct.filter("NOT alone").groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
+    pieces_of = {"anchor": long, "content": long, "times": long, "offset": small, "part": small, "words": pa.binary()}
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of the fragments that represent their content."""
         for batch in batches:
-            for words, asked in zip(batch["words"], batch["wanted"], strict=True):
-                words, out = np.asarray(words, np.int64), []
-                for f in asked:
-                    base = (f["anchor"], f["content"], f["times"])
-                    if not f["parts"]:
-                        out.append((*base, 0, 0, words[f["start"] : f["start"] + f["windows"] + length - 1].tobytes()))
-                        continue
-                    for i in range(f["windows"]):
-                        window = words[f["start"] + i : f["start"] + i + length]
-                        h = 0
-                        for w in window.tolist():
-                            h = (h * MULTIPLIER + w) % (1 << 64)
-                        out.append((*base, i, int(h >> 20) % f["parts"], window.tobytes()))
-                yield pd.DataFrame(out, columns=["anchor", "content", "times", "offset", "part", "words"])
-
-    pieces = rows.join(wanted, ["k1", "k2"]).select(word_hashes(F.col("text")).alias("words"), "wanted").mapInPandas(fetch, "anchor long, content long, times long, offset int, part int, words binary")
+            asked = {f: batch.column(f) for f in fields}
+            ends = asked["anchor"].offsets.to_numpy()
+            asked = {f: c.values.to_numpy(zero_copy_only=False) for f, c in asked.items()}
+            for part, words, sizes in _documents(batch):
+                mine = slice(ends[part.start], ends[part.stop])
+                base = np.repeat(np.cumsum(sizes) - sizes, np.diff(ends[part.start : part.stop + 1]))
+                anchor, content, times, start, windows, parts = (asked[f][mine] for f in fields)
+                # A fragment of a crowded anchor becomes a row for each of its windows.
+                copies = np.where(parts > 0, windows, 1)
+                row = np.repeat(np.arange(len(anchor)), copies)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                first = (base + start)[row] + offset
+                last = first + np.where(parts[row] > 0, 1, windows[row]) + length - 1
+                by = np.where(parts[row] > 0, Hashes(words).of(first, last) % np.maximum(parts[row], 1).astype(np.uint64), 0)
+                raw = memoryview(np.ascontiguousarray(words)).cast("B")
+                cuts = [raw[a:b].tobytes() for a, b in zip((first * 8).tolist(), (last * 8).tolist(), strict=True)]
+                yield _table({"anchor": anchor[row], "content": content[row], "times": times[row], "offset": offset, "part": by.astype(np.int64), "words": cuts}, pieces_of)
+
+    joined = rows.join(wanted, ["k1", "k2"]).select(word_hashes(F.col("text")).alias("words"), *(F.col(f"wanted.{f}").alias(f) for f in fields))
+    pieces = joined.mapInArrow(fetch, "anchor long, content long, times long, offset int, part int, words binary")
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor", "part"), F.lit(n_shards)))
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.drop_duplicates(["anchor", "content", "offset"])
         automaton, streams = SuffixAutomaton(), [np.frombuffer(w, np.int64).tolist() for w in shard["words"]]
-        for words, times in zip(streams, shard["times"], strict=True):
+        for words, times in zip(streams, shard["times"].tolist(), strict=True):
             automaton.add(words, times)
         automaton.close()
         out = []
-        for words, anchor, content, offset in zip(streams, shard["anchor"], shard["content"], shard["offset"], strict=True):
+        for words, times, anchor, content, offset in zip(streams, *(shard[c].tolist() for c in ("times", "anchor", "content", "offset")), strict=True):
+            if times > 1:
+                continue
             for a, b in _ranges([n > 1 for n in automaton.occurrences(words, length)]):
                 out.append((anchor, content, offset + a, offset + b - 1 + length))
         return pd.DataFrame(out, columns=["anchor", "content", "a", "b"])
 
     marks = sharded.groupBy("shard").applyInPandas(match, "anchor long, content long, a int, b int")
-    spans = places.select("k1", "k2", "anchor", "content", "start").join(marks, ["anchor", "content"])
+    whole = distinct.filter("times > 1").select("anchor", "content", F.lit(0).alias("a"), (F.col("windows") + (length - 1)).alias("b"))
+    spans = places.select("k1", "k2", "anchor", "content", "start").join(marks.unionByName(whole), ["anchor", "content"])
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
 
 
