@@ -194,6 +194,10 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+#: What this driver has handed out: (application, name of the file).
+_published: set[tuple[str, str]] = set()
+
+
 def publish(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     """Compiles the lexicon of ``docs`` and hands it to all executors as a file.
 
@@ -204,10 +208,13 @@ def publish(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     words = [" " + w for w in frequent_words(docs, most)]
     data = build_transducer({w.encode(): np.frombuffer(encode.encode(w), code).tolist() for w in words})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-    with open(local, "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(local)
+    context = docs.sparkSession.sparkContext
+    if (context.applicationId, name) not in _published:
+        local = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
+        with open(local, "wb") as f:
+            f.write(data)
+        context.addFile(local)
+        _published.add((context.applicationId, name))
     return name
 
 
