@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import most_frequent
 from .tokens import BYTE_LEVEL_SPLIT, UNUSUAL, by_size, encoder
 
 LEXICON_WORDS = 65_536
@@ -139,7 +140,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
         yield pd.DataFrame(rows, columns=["word", "n"])
 
     counts = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return [r["word"] for r in most_frequent(counts, most).collect()]
 
 
 class Codec:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, remainder, row_key, settle, split_words
+from .common import lower_ascii, most_frequent, remainder, row_key, settle, split_words
 
 #: Stands before and after every text; UTF-8 never holds it.
 MARK = 255
@@ -155,8 +155,8 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     and bits_per_byte (the code length by the tree). The base's tokens are words
     with A-Z in lower case and one end; their counts over all training texts are
-    kept by a 64-bit hash. The counts of the ``frequent`` most common words go to
-    every task; a text's other words are dealt out to meet theirs, one row for
+    kept by a 64-bit hash. The counts of the most common words, ``frequent`` at
+    most, go to every task; a text's other words are dealt out to meet theirs, one row for
     each word of a text. Null and empty texts are an end alone; repeated rows
     each get their scores; without training texts the base counts nothing and the
     tree expects every bit alike. Null ids count as the empty text in the fold.
@@ -169,7 +169,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     n_train = train.count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + n_train, v + (n_train > 0)
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).toPandas()
+    top = most_frequent(counts, frequent, "c").toPandas()
     context = docs.sparkSession.sparkContext
     known = context.broadcast((top["h"].to_numpy(), top["c"].to_numpy()))
     tree = context.broadcast(fit_tree(train).table)

@@ -19,7 +19,7 @@ DISCOUNT = 0.75
 #: Log-likelihood ratios from which on an expression counts as decisive; the
 #: calibration rows choose one of them.
 MARGINS = (2.5, 3.5, 5.0)
-#: The classifier is fitted to so many calibration rows at most.
+#: The classifier is fitted to about so many calibration rows at most.
 SAMPLE = 20_000
 #: Labels of up to so many bytes are sent to every task.
 BROADCAST_BYTES = 64 << 20
@@ -126,8 +126,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
     entries whatever the data. A text's expressions are compared under both models
     and the log-likelihood ratio beyond a margin, within which ordinary words
     vary, is averaged over the text's length. A logistic curve in the logarithm of
-    that average, fitted to at most ``SAMPLE`` calibration rows (those with the
-    least hashed ids), gives the score; the margin of least loss is taken. Only
+    that average, fitted to about ``SAMPLE`` calibration rows at most (those whose
+    hashed ids are below a bound), gives the score; the margin of least loss is taken. Only
     the text decides about a score.
 
     Adds held_out, score, predicted (score >= 0.5), log_p_ordinary and log_p_toxic
@@ -148,7 +148,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
             found = [evidence(tables.value, buckets, t)[3:] for t in batch["text"]]
             yield pd.DataFrame(found, columns=list("abc")).assign(toxic=batch["toxic"].to_numpy())
 
-    sample = labelled.filter(fold == 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    calibration = labelled.filter(fold == 1)
+    share = min(1.0, 0.95 * SAMPLE / max(1, calibration.count()))
+    sample = calibration.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     seen = sample.mapInPandas(judge, "a double, b double, c double, toxic int").toPandas()
     y = (seen["toxic"] == 1).to_numpy(float)
     if 0 < y.sum() < len(y):
