@@ -72,7 +72,7 @@ def annotate(df: DataFrame, infer: Callable[[str], str], max_attempts: int = 3,
             yield pd.DataFrame(out, columns=[key, "response", "attempts", "error"])
 
     rows = df.select(F.col(key).cast("string").alias(key), "prompt")
-    rows = rows.repartition(tasks) if tasks else rows.repartition()
+    rows = rows.repartition(tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.mapInPandas(run, f"{key} string, response string, attempts int, error string")
 
 
