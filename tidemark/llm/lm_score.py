@@ -162,7 +162,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     tree expects every bit alike. Null ids count as the empty text in the fold.
     """
     held_out = remainder(F.col("doc_id"), folds) == 0
-    rows = docs.select("doc_id", *row_key(F.col("doc_id"), F.col("text")), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text"))[1], held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     train = rows.filter(~F.col("held_out"))
     words = train.select(F.explode(split_words(lower_ascii(F.col("text")))).alias("word"))
     counts = settle(words.select(F.xxhash64("word").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")))
@@ -201,24 +201,24 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
                 out.append((len(tokens) + 1, n_known, base, score_text(table, raw), len(raw), rare, times))
             if len(memo) > 300_000:
                 memo = {}
-            yield pd.concat([batch[["doc_id", "k1", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
+            yield pd.concat([batch[["doc_id", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
 
-    schema = "doc_id long, k1 long, k2 long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>"
+    schema = "doc_id long, k2 long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>"
     scored = rows.mapInPandas(score, schema)
     # Each text's rare words become rows; the first of them carries the rest of the text's row.
-    whole = F.struct("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes")
-    rare = scored.select("k1", "k2", whole.alias("whole"), F.posexplode_outer(F.arrays_zip("rare", "times")).alias("pos", "w"))
-    rare = rare.select("k1", "k2", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"), F.col("w.rare").alias("h"), F.col("w.times").alias("tf"))
+    whole = F.struct("held_out", "n_tokens", "n_known", "base", "score", "n_bytes")
+    rare = scored.select("doc_id", "k2", whole.alias("whole"), F.posexplode_outer(F.arrays_zip("rare", "times")).alias("pos", "w"))
+    rare = rare.select("doc_id", "k2", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"), F.col("w.rare").alias("h"), F.col("w.times").alias("tf"))
     met = rare.join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))
-    parts = met.groupBy("k1", "k2").agg(
+    parts = met.groupBy("doc_id", "k2").agg(
         F.count("whole").alias("copies"), F.max("whole").alias("whole"),
         F.sum(F.coalesce("tf", F.lit(0)) * F.log10((c + 0.1) / total)).alias("base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
     )
     # Rows that share id and text have added up: each gets its share.
-    one = parts.select(F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole"), (F.coalesce("base", F.lit(0.0)) / F.col("copies")).alias("base"), (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"))
+    one = parts.select("doc_id", F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole"), (F.coalesce("base", F.lit(0.0)) / F.col("copies")).alias("base"), (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"))
     return one.select(
-        "whole.doc_id", "whole.held_out", "whole.n_tokens", (F.col("whole.n_known") + F.col("known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", "whole.held_out", "whole.n_tokens", (F.col("whole.n_known") + F.col("known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("whole.base") + F.col("base")).alias("base_score"), "whole.score",
         (-F.col("whole.score") / F.log10(F.lit(2.0)) / F.greatest("whole.n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
