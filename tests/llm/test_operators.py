@@ -470,3 +470,82 @@ def test_most_frequent(spark):
     assert sorted(x["n"] for x in most_frequent(df, 20).collect()) == [2] * 10 + [100, 200, 300]
     assert most_frequent(df, 2).count() == 2 and most_frequent(df, 1000).count() == 63 and most_frequent(df.limit(0), 5).count() == 0
     assert checkpoint_dir(spark)
+
+
+def small_tree(train, depth=3):
+    grams, counts = np.unique(np.concatenate([lm_score.grams_of(t.encode(), depth) for t in train]), return_counts=True)
+    units = grams & np.uint64(0xFFFF00)
+    tops, keys, values = [], [], []
+    for u in np.unique(units):
+        level = lm_score.levels(grams[units == u], counts[units == u].astype(float), 2, depth)[2]
+        row = np.zeros(256)
+        row[(level.grams & np.uint64(255)).astype(int)] = level.counts
+        tops.append((int(level.contexts[0] & np.uint64(255)), row, level.weighted[0]))
+    crown = lm_score.Crown(np.array([t[0] for t in tops]), np.array([t[1] for t in tops]), np.array([t[2] for t in tops]))
+    for u in np.unique(units):
+        k, v = lm_score.entries(grams[units == u], counts[units == u].astype(float), crown, depth)
+        keys.append(k), values.append(v)
+    return crown, lm_score.Table(np.concatenate(keys), np.concatenate(values))
+
+
+@pytest.mark.parametrize("before", ["", "a", "th", "the", "qz", "hez", "éà"])
+def test_tree_is_a_distribution(before):
+    crown, table = small_tree(["the cat sat", "the hat", "a that theme", "", "été à"] * 3)
+    raw = b"\xff" * 3 + before.encode()
+    context = int.from_bytes(raw[-3:], "big")
+    logs = [lm_score.score_grams(table, crown.logs, np.array([context << 8 | b], np.uint64), 3) for b in range(256)]
+    assert abs(sum(10**x for x in logs) - 1) < 1e-3
+
+
+def test_tree_weights_follow_the_definition():
+    """The seen bytes' probabilities are the mixture computed node by node."""
+    train = ["abab", "abba", "bab"]
+    crown, table = small_tree(train, 2)
+    count = defaultdict(Counter)
+    for t in train:
+        raw = b"\xff\xff" + t.encode() + b"\xff"
+        for i in range(2, len(raw)):
+            for d in range(3):
+                count[raw[i - d : i]][raw[i]] += 1
+
+    def bits(context, node):
+        depth = node.bit_length() - 1
+        out = [0, 0]
+        for byte, n in count[context].items():
+            if (byte | 256) >> (8 - depth) == node:
+                out[byte >> (7 - depth) & 1] += n
+        return out
+
+    def kt(a, b):
+        return math.prod((i + 0.5) for i in range(a)) * math.prod((i + 0.5) for i in range(b)) / math.prod(range(1, a + b + 1))
+
+    def weighted(context, node):
+        own = kt(*bits(context, node))
+        if len(context) == 2:
+            return own, 1.0
+        deeper = math.prod(weighted(c, node)[0] for c in list(count) if len(c) == len(context) + 1 and c.endswith(context))
+        return (own + deeper) / 2, own / (own + deeper)
+
+    def one(context, node):
+        p, share = 0.0, 1.0
+        for d in range(3):
+            c = context[2 - d :]
+            zeros, ones = bits(c, node)
+            weight = weighted(c, node)[1]
+            p += share * weight * (ones + 0.5) / (zeros + ones + 1)
+            share *= 1 - weight
+        return p
+
+    for context, byte in ((b"ab", ord("b")), (b"ab", ord("a")), (b"ba", ord("b")), (b"\xffa", ord("b"))):
+        p = 1.0
+        for i in range(8):
+            node, bit = (byte | 256) >> (8 - i), byte >> (7 - i) & 1
+            p *= one(context, node) if bit else 1 - one(context, node)
+        gram = np.array([int.from_bytes(context + bytes([byte]), "big")], np.uint64)
+        assert abs(lm_score.score_grams(table, crown.logs, gram, 2) - math.log10(p)) < 1e-4
+
+
+def test_lm_score_in_parts(spark, docs, monkeypatch):
+    whole = sorted((round(x["score"], 3) for x in lm_score.score_documents(docs).collect()))
+    monkeypatch.setattr(lm_score, "ENTRIES", 20_000)
+    assert sorted(round(x["score"], 3) for x in lm_score.score_documents(docs).collect()) == whole

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from math import log10
 
 import numpy as np
@@ -12,14 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, most_frequent, remainder, row_key, settle, split_words
+from .near_dedup import mix
 
 #: Stands before and after every text; UTF-8 never holds it.
 MARK = 255
-GRAMS = 1 << 24  # a byte and the two before it
+#: Bytes of the deepest contexts.
+DEPTH = 5
+#: Entries of the model that go to a task at a time (12 bytes each, in a table half empty).
+ENTRIES = 3_000_000
 FREQUENT = 200_000
 
 
-# --- the model: a context tree of depth two bytes, each byte read as eight bits
+# --- the model: a context tree over bytes, each byte read as eight bits
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -62,88 +67,239 @@ def mixture(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both - np.log(2), np.exp(own - both)
 
 
-class ContextTree:
-    """log10 of P(byte | two bytes before it), a table of 2^24 floats (64 MB)."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        """``grams`` are older byte << 16 | newer byte << 8 | byte, each once."""
-        order = np.argsort((grams >> 8 & 255) << 16 | (grams >> 16) << 8 | grams & 255)
-        grams, counts = grams[order], counts[order].astype(float)
-        newer = grams >> 8 & 255
-        first = np.searchsorted(newer, np.arange(257))
-        near, below, leaf_kt = np.zeros((256, 256)), np.zeros((256, 255)), {}
-        for c in range(256):  # the deepest contexts, by their newer byte
-            cut = slice(first[c], first[c + 1])
-            if cut.start == cut.stop:
-                continue
-            older, row = np.unique(grams[cut] >> 16, return_inverse=True)
-            table = np.zeros((len(older), 256))
-            np.add.at(table, (row, grams[cut] & 255), counts[cut])
-            zeros, ones = bit_counts(table)
-            below[c] = log_kt(zeros, ones).sum(axis=0)  # contexts never seen have probability 1
-            near[c] = table.sum(axis=0)
-            leaf_kt[c] = (older, (ones + 0.5) / (zeros + ones + 1))
+def sparse_log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    out = np.zeros(zeros.shape)
+    some = zeros + ones > 0
+    out[some] = log_kt(zeros[some], ones[some])
+    return out
+
+
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The KT probability of a one."""
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+def byte_logs(one: np.ndarray) -> np.ndarray:
+    """log10 of each byte's probability from those of a one at each node."""
+    logs = np.zeros((len(one), 1))
+    yes, no = np.log10(one), np.log10(1 - one)
+    for bit in range(8):
+        nodes = slice((1 << bit) - 1, (2 << bit) - 1)
+        logs = np.stack([logs + no[:, nodes], logs + yes[:, nodes]], axis=2).reshape(len(one), -1)
+    return logs
+
+
+def suffix(grams: np.ndarray, depth: int) -> np.ndarray:
+    """Grams cut to a byte and the ``depth`` bytes before it."""
+    return grams & np.uint64((1 << 8 * (depth + 1)) - 1)
+
+
+def tag(keys: np.ndarray, depth: int, context: bool) -> np.ndarray:
+    """Keys of the model's entries: grams and contexts of each depth apart."""
+    return keys | np.uint64((2 * depth + 1 + context) << 56)
+
+
+class Level:
+    """The contexts of one depth among some grams: counts, estimates and weights."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int):
+        self.grams, where = np.unique(suffix(grams, depth), return_inverse=True)
+        self.counts = np.bincount(where, counts)
+        self.contexts, self.row = np.unique(self.grams >> np.uint64(8), return_inverse=True)
+        table = np.zeros((len(self.contexts), 256))
+        table[self.row, (self.grams & np.uint64(255)).astype(int)] = self.counts
+        zeros, ones = bit_counts(table)
+        self.own, self.kt = sparse_log_kt(zeros, ones), estimate(zeros, ones)
+
+    def weigh(self, below: Level | None, depth: int) -> None:
+        """Sets the weighted probabilities, from the deeper level's."""
+        if below is None:
+            self.weighted, self.weight = self.own, np.ones_like(self.own)
+            return
+        product = np.zeros_like(self.own)
+        np.add.at(product, np.searchsorted(self.contexts, below.contexts & np.uint64((1 << 8 * depth) - 1)), below.weighted)
+        self.weighted, self.weight = mixture(self.own, product)
+
+
+def levels(grams: np.ndarray, counts: np.ndarray, top: int, depth: int) -> dict[int, Level]:
+    """The levels from ``depth`` up to ``top``, weighted from the deepest on."""
+    out, below = {}, None
+    for d in range(depth, top - 1, -1):
+        out[d] = Level(grams, counts, d)
+        out[d].weigh(below, d)
+        below = out[d]
+    return out
+
+
+class Crown:
+    """Depths 0 and 1 of the tree, in dense tables."""
+
+    def __init__(self, newest: np.ndarray, counts: np.ndarray, weighted: np.ndarray):
+        """For each two-byte context: its newer byte, its byte counts, its weighted logarithms."""
+        near, below = np.zeros((256, 256)), np.zeros((256, 255))
+        np.add.at(near, newest, counts)
+        np.add.at(below, newest, weighted)
         zeros, ones = bit_counts(near)
-        near_kt, (near_log, near_own) = (ones + 0.5) / (zeros + ones + 1), mixture(log_kt(zeros, ones), below)
+        near_kt, (near_log, near_own) = estimate(zeros, ones), mixture(sparse_log_kt(zeros, ones), below)
         zeros, ones = bit_counts(near.sum(axis=0, keepdims=True))
-        root_kt, (_, root_own) = (ones + 0.5) / (zeros + ones + 1), mixture(log_kt(zeros, ones), near_log.sum(axis=0, keepdims=True))
-        self.table = np.empty((256, 256, 256), np.float32)  # newer, older, byte
-        self.table[:] = 0
-        for c in range(256):
-            deep = np.full((256, 255), 0.5)  # a context never seen expects either bit
-            if c in leaf_kt:
-                deep[leaf_kt[c][0]] = leaf_kt[c][1]
-            one = near_own[c] * near_kt[c] + (1 - near_own[c]) * deep
-            one = root_own * root_kt + (1 - root_own) * one
-            self.table[c] = self._bytes(one)
-
-    @staticmethod
-    def _bytes(one: np.ndarray) -> np.ndarray:
-        """log10 of each byte's probability from those of a one at each node."""
-        logs = np.zeros((len(one), 1))
-        yes, no = np.log10(one), np.log10(1 - one)
-        for bit in range(8):
-            nodes = slice((1 << bit) - 1, (2 << bit) - 1)
-            logs = np.stack([logs + no[:, nodes], logs + yes[:, nodes]], axis=2).reshape(len(one), -1)
-        return logs
-
-
-def grams_of(text: bytes) -> np.ndarray:
-    """The gram of each byte of a text and of its end."""
-    b = np.frombuffer(bytes([MARK, MARK]) + text + bytes([MARK]), np.uint8).astype(np.int32)
-    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-
-
-def score_text(table: np.ndarray, text: bytes) -> float:
-    """log10 of the model's probability of a text and its end."""
-    g = grams_of(text)
-    return float(table[g >> 8 & 255, g >> 16, g & 255].sum(dtype=np.float64))
-
-
-def fit_tree(train: DataFrame) -> ContextTree:
-    """The tree of all texts: KT estimates depend on counts alone, which Spark adds up.
-
-    There are 2^24 grams at most, however many texts there are.
+        root_kt, (_, root_own) = estimate(zeros, ones), mixture(sparse_log_kt(zeros, ones), near_log.sum(axis=0, keepdims=True))
+        # A one's probability is base + share * (what the deeper contexts say).
+        base, share = root_own * root_kt, 1 - root_own
+        seen = near.any(axis=1, keepdims=True)
+        self.logs = byte_logs(np.where(seen, base + share * near_kt, root_kt))
+        self.base, self.share = base + share * near_own * near_kt, share * (1 - near_own)
+
+
+def entries(grams: np.ndarray, counts: np.ndarray, crown: Crown, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, log10) of the grams that end in one two-byte context, from depth 2 on.
+
+    At each depth a context mixes the estimates of its ancestors, by their weights,
+    with its own. Bytes that it has not seen share what the seen ones leave, as the
+    context a byte shorter has them: a context's entry is the factor for that.
     """
+    keys, values = [], []
+    found = levels(grams, counts, 2, depth)
+    newest = int(found[2].contexts[0] & np.uint64(255))
+    base, share, logs = crown.base[[newest]], crown.share[[newest]], crown.logs[[newest]]
+    parents = np.zeros(1, int)
+    for d in range(2, depth + 1):
+        level = found[d]
+        up, share_up = base[parents], share[parents]
+        mixed = byte_logs(np.clip(up + share_up * level.kt, 1e-9, 1 - 1e-9))
+        at = (level.grams & np.uint64(255)).astype(int)
+        here, before = mixed[level.row, at], logs[parents[level.row], at]
+        left = np.maximum(1 - np.bincount(level.row, 10**here), 1e-12)
+        others = np.maximum(1 - np.bincount(level.row, 10**before), 1e-12)
+        keys += [tag(level.grams, d, False), tag(level.contexts, d, True)]
+        values += [here, np.log10(left / others)]
+        if d < depth:
+            base, share, logs = up + share_up * level.weight * level.kt, share_up * (1 - level.weight), mixed
+            parents = np.searchsorted(level.contexts, found[d + 1].contexts & np.uint64((1 << 8 * d) - 1))
+    return np.concatenate(keys), np.concatenate(values).astype(np.float32)
+
+
+class Table:
+    """Keys to values by open addressing in flat arrays; key 0 means nothing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            _, first = np.unique(slot[left[free]], return_index=True)
+            placed = left[free][first]
+            self.keys[slot[placed]], self.values[slot[placed]] = keys[placed], values[placed]
+            left = np.setdiff1d(left, placed, assume_unique=True)
+            slot[left] = (slot[left] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(20)).astype(np.int64) & (len(self.keys) - 1)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or 0, whether there is one) for each key."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        found = there == keys
+        left = np.flatnonzero(~found & (there != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            there = self.keys[slot[left]]
+            found[left] = there == keys[left]
+            left = left[~found[left] & (there != 0)]
+        return np.where(found, self.values[slot], np.float32(0)), found
+
+
+def grams_of(text: bytes, depth: int = DEPTH) -> np.ndarray:
+    """The gram of each byte of a text and of its end: the byte after the ``depth`` before it."""
+    b = np.frombuffer(bytes([MARK]) * depth + text + bytes([MARK]), np.uint8).astype(np.uint64)
+    n = len(b) - depth
+    out = b[:n].copy()
+    for i in range(1, depth + 1):
+        out = out << np.uint64(8) | b[i : i + n]
+    return out
+
+
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Which part of the model holds a gram: that of its two-byte context."""
+    return (mix((grams >> np.uint64(8) & np.uint64(0xFFFF)) + np.uint64(1)) % np.uint64(parts)).astype(int)
+
+
+def score_grams(table: Table, crown_logs: np.ndarray, grams: np.ndarray, depth: int = DEPTH) -> float:
+    """The sum of log10 of the grams' probabilities."""
+    total, left = 0.0, grams
+    for d in range(depth, 1, -1):
+        value, found = table.get(tag(suffix(left, d), d, False))
+        total += float(value.sum(dtype=np.float64))
+        left = left[~found]
+        if not len(left):
+            return total
+        factor, _ = table.get(tag(suffix(left, d) >> np.uint64(8), d, True))
+        total += float(factor.sum(dtype=np.float64))
+    return total + float(crown_logs[(left >> np.uint64(8) & np.uint64(255)).astype(int), (left & np.uint64(255)).astype(int)].sum())
+
+
+def count_grams(train: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n) over all texts. Each task adds up its own before they are dealt out."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        raw: list[np.ndarray] = []
+        size = 0
+
+        def fold() -> None:
+            if raw:
+                held.append(np.unique(np.concatenate(raw), return_counts=True))
+                raw.clear()
+            if len(held) > 1:
+                keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                held[:] = [(keys, np.bincount(where, np.concatenate([n for _, n in held])))]
+
+        def rows() -> pd.DataFrame:
+            keys, n = held.pop() if held else (np.empty(0, np.uint64), np.empty(0))
+            return pd.DataFrame({"gram": keys.astype(np.int64), "n": n.astype(np.int64)})
 
-    def count(batches):
-        total = np.zeros(GRAMS, np.int32)
-        held = 0
         for batch in batches:
             for text in batch["text"]:
-                g = grams_of((text or "").encode())
-                held += len(g)
-                np.add.at(total, g, 1)
-                if held > 1 << 30:
-                    found = np.flatnonzero(total)
-                    yield pd.DataFrame({"gram": found, "n": total[found].astype("int64")})
-                    total[:], held = 0, 0
-        found = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": found, "n": total[found].astype("int64")})
+                raw.append(grams_of(text.encode(), depth))
+                size += len(raw[-1])
+                if size > 4_000_000:
+                    size = 0
+                    fold()
+                    if len(held[0][0]) > 4_000_000:
+                        yield rows()
+        fold()
+        yield rows()
+
+    return train.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def fit_tree(train: DataFrame, depth: int = DEPTH) -> tuple[Crown, DataFrame, int]:
+    """The model of all texts: its crown, its entries (key, value, unit) and their number.
+
+    KT estimates depend on counts alone, which Spark adds up. The grams of each
+    two-byte context are weighed by themselves; the two top levels then need 65,536
+    rows at most, whose weights go back to the contexts.
+    """
+    grams = settle(count_grams(train, depth).withColumn("unit", F.col("gram").bitwiseAND(0xFFFF00)))
 
-    sums = train.select("text").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = sums.toArrow()
-    return ContextTree(rows["gram"].to_numpy(), rows["n"].to_numpy())
+    def top(unit: pd.DataFrame) -> pd.DataFrame:
+        level = levels(unit["gram"].to_numpy().astype(np.uint64), unit["n"].to_numpy(float), 2, depth)[2]
+        counts = np.zeros(256)
+        counts[(level.grams & np.uint64(255)).astype(int)] = level.counts
+        return pd.DataFrame({"newest": [int(level.contexts[0] & np.uint64(255))], "counts": [counts], "weighted": [level.weighted[0]]})
+
+    tops = grams.groupBy("unit").applyInPandas(top, "newest int, counts array<double>, weighted array<double>").toPandas()
+    shaped = lambda c, n: np.array(tops[c].tolist()).reshape(-1, n)
+    crown = Crown(tops["newest"].to_numpy(int), shaped("counts", 256), shaped("weighted", 255))
+    sent = train.sparkSession.sparkContext.broadcast(crown)
+
+    def fill(unit: pd.DataFrame) -> pd.DataFrame:
+        keys, values = entries(unit["gram"].to_numpy().astype(np.uint64), unit["n"].to_numpy(float), sent.value, depth)
+        return pd.DataFrame({"key": keys.astype(np.int64), "value": values, "unit": unit["unit"].iloc[0]})
+
+    model = settle(grams.groupBy("unit").applyInPandas(fill, "key long, value float, unit long"))
+    return crown, model, model.count()
 
 
 # --- the scores
@@ -159,7 +315,9 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     most, go to every task; a text's other words are dealt out to meet theirs, one row for
     each word of a text. Null and empty texts are an end alone; repeated rows
     each get their scores; without training texts the base counts nothing and the
-    tree expects every bit alike. Null ids count as the empty text in the fold.
+    tree expects every bit alike. The tree's entries are sent to the tasks in parts
+    of about ``ENTRIES``; with more than one part, each scores its share of every
+    text's bytes in a pass of its own. Null ids count as the empty text in the fold.
     """
     held_out = remainder(F.col("doc_id"), folds) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text"))[1], held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -172,12 +330,26 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     top = most_frequent(counts, frequent, "c").toPandas()
     context = docs.sparkSession.sparkContext
     known = context.broadcast((top["h"].to_numpy(), top["c"].to_numpy()))
-    tree = context.broadcast(fit_tree(train).table)
+    crown, model, n_entries = fit_tree(train)
+    parts = -(-n_entries // ENTRIES) or 1
+
+    def part(k: int):
+        """The part of the model that holds the grams of every ``parts``-th unit."""
+        units = model.select("unit").distinct().toPandas()["unit"].to_numpy(np.uint64)
+        mine = [int(u) for u, p in zip(units, part_of(units, parts), strict=True) if p == k]
+        rows_ = model.filter(F.col("unit").isin(mine)).select("key", "value").toArrow()
+        return context.broadcast(Table(rows_["key"].to_numpy().astype(np.uint64), rows_["value"].to_numpy()))
+
+    def part_score(table: Table, text: bytes, k: int) -> float:
+        grams = grams_of(text)
+        return score_grams(table, crown.logs, grams if parts == 1 else grams[part_of(grams, parts) == k])
+
+    tables = [part(k) for k in range(parts)]
     total = n + 0.1 * (v + 1)
     end = log10((n_train + 0.1) / total)
 
     def score(batches):
-        table, (hashes, seen) = tree.value, known.value
+        table, (hashes, seen) = tables[0].value, known.value
         common = dict(zip(hashes.tolist(), seen.tolist(), strict=True))
         memo: dict[bytes, tuple[int, int]] = {}  # a word's hash, and its count if it is frequent
         for batch in batches:
@@ -198,27 +370,37 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
                     else:
                         rare.append(found[0])
                         times.append(tf)
-                out.append((len(tokens) + 1, n_known, base, score_text(table, raw), len(raw), rare, times))
+                out.append((len(tokens) + 1, n_known, base, part_score(table, raw, 0), len(raw), rare, times))
             if len(memo) > 300_000:
                 memo = {}
             yield pd.concat([batch[["doc_id", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
 
+    def rest(k: int):
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch[["doc_id", "k2"]].assign(more=[part_score(tables[k].value, t.encode(), k) for t in batch["text"]])
+
+        return add
+
     schema = "doc_id long, k2 long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>"
     scored = rows.mapInPandas(score, schema)
     # Each text's rare words become rows; the first of them carries the rest of the text's row.
     whole = F.struct("held_out", "n_tokens", "n_known", "base", "score", "n_bytes")
     rare = scored.select("doc_id", "k2", whole.alias("whole"), F.posexplode_outer(F.arrays_zip("rare", "times")).alias("pos", "w"))
-    rare = rare.select("doc_id", "k2", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"), F.col("w.rare").alias("h"), F.col("w.times").alias("tf"))
+    rare = rare.select("doc_id", "k2", F.lit(None).cast("double").alias("more"), F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"), F.col("w.rare").alias("h"), F.col("w.times").alias("tf"))
+    for k in range(1, parts):  # the other parts of the model, each in a pass of its own
+        rare = rare.unionByName(rows.mapInPandas(rest(k), "doc_id long, k2 long, more double"), allowMissingColumns=True)
     met = rare.join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))
     parts = met.groupBy("doc_id", "k2").agg(
         F.count("whole").alias("copies"), F.max("whole").alias("whole"),
-        F.sum(F.coalesce("tf", F.lit(0)) * F.log10((c + 0.1) / total)).alias("base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
+        F.sum(F.coalesce("tf", F.lit(0)) * F.log10((c + 0.1) / total)).alias("base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum("more").alias("more"),
     )
     # Rows that share id and text have added up: each gets its share.
-    one = parts.select("doc_id", F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole"), (F.coalesce("base", F.lit(0.0)) / F.col("copies")).alias("base"), (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"))
+    one = parts.select("doc_id", F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole"), (F.coalesce("base", F.lit(0.0)) / F.col("copies")).alias("base"), (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"), (F.coalesce("more", F.lit(0.0)) / F.col("copies")).alias("more"))
+    score_of = F.col("whole.score") + F.col("more")
     return one.select(
         "doc_id", "whole.held_out", "whole.n_tokens", (F.col("whole.n_known") + F.col("known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("whole.base") + F.col("base")).alias("base_score"), "whole.score",
-        (-F.col("whole.score") / F.log10(F.lit(2.0)) / F.greatest("whole.n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("whole.base") + F.col("base")).alias("base_score"), score_of.alias("score"),
+        (-score_of / F.log10(F.lit(2.0)) / F.greatest("whole.n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
