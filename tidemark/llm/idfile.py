@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import narrow, partitions
 from .tokens import encoder
 
 MAGIC = b"IDSEF1\0\0"
@@ -184,7 +184,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         "ids": [shard.ids[a:b].tobytes() for a, b in zip(starts[cut], ends[cut], strict=True)], "width": shard.ids.itemsize,
                     })
 
-    return shards.join(shard_starts(spark, path), ["part", "seq"]).mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary, width int")
+    return shards.join(narrow(shard_starts(spark, path)), ["part", "seq"]).mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary, width int")
 
 
 def id_digests(documents: DataFrame) -> DataFrame:

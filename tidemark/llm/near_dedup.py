@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, settle, word_hashes
+from .common import lower_ascii, narrow, settle, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -17,8 +17,6 @@ SHINGLE = 5
 #: pair of keys, one of each collection: 18 * 18 tables of six minhashes from
 #: 108 minhashes instead of 1,944.
 KEYS, ROWS = 18, 3
-#: Tables of up to so many bytes are sent to every task.
-BROADCAST_BYTES = 64 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -116,11 +114,6 @@ def tables(classes: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("l", "r").alias("key"), "id", "n_shingles")
 
 
-def narrow(df: DataFrame) -> DataFrame:
-    """``df``, a table of a few longs, marked for broadcast if it measures little enough."""
-    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= BROADCAST_BYTES else df
-
-
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets overlap enough.
 
