@@ -211,7 +211,7 @@ def main_text(html: str | None) -> str:
     for part in best.parent.parts if best.parent is not None else [best]:
         if not isinstance(part, Node) or part.out:
             continue
-        same = (part.points or 0) >= max(10, 0.2 * top) and part.tag == best.tag
+        same = part.tag == best.tag and (part.points or 0) >= (0.2 * top if (part.points or 0) >= 10 else 0.5 * top) > 0
         prose = part.tag == "p" and (part.length > 80 and _density(part) < 0.25 or 0 < part.length <= 80 and not part.links)
         if part is best or same or prose or (part.tag in HEADINGS and _density(part) < 0.25):
             _blocks(part, out, best)
