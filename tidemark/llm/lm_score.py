@@ -20,7 +20,7 @@ MARK = 255
 #: Bytes of the deepest contexts.
 DEPTH = 5
 #: Entries of the model that go to a task at a time (12 bytes each, in a table half empty).
-ENTRIES = 3_000_000
+ENTRIES = 4_000_000
 FREQUENT = 200_000
 
 
@@ -109,12 +109,13 @@ class Level:
         table = np.zeros((len(self.contexts), 256))
         table[self.row, (self.grams & np.uint64(255)).astype(int)] = self.counts
         zeros, ones = bit_counts(table)
+        del table
         self.own, self.kt = sparse_log_kt(zeros, ones), estimate(zeros, ones)
 
     def weigh(self, below: Level | None, depth: int) -> None:
         """Sets the weighted probabilities, from the deeper level's."""
         if below is None:
-            self.weighted, self.weight = self.own, np.ones_like(self.own)
+            self.weighted = self.own
             return
         product = np.zeros_like(self.own)
         np.add.at(product, np.searchsorted(self.contexts, below.contexts & np.uint64((1 << 8 * depth) - 1)), below.weighted)
@@ -287,11 +288,12 @@ def fit_tree(train: DataFrame, depth: int = DEPTH) -> tuple[Crown, DataFrame, in
         level = levels(unit["gram"].to_numpy().astype(np.uint64), unit["n"].to_numpy(float), 2, depth)[2]
         counts = np.zeros(256)
         counts[(level.grams & np.uint64(255)).astype(int)] = level.counts
-        return pd.DataFrame({"newest": [int(level.contexts[0] & np.uint64(255))], "counts": [counts], "weighted": [level.weighted[0]]})
+        return pd.DataFrame({"newest": [int(level.contexts[0] & np.uint64(255))], "counts": [counts.tobytes()], "weighted": [level.weighted[0].tobytes()]})
 
-    tops = grams.groupBy("unit").applyInPandas(top, "newest int, counts array<double>, weighted array<double>").toPandas()
-    shaped = lambda c, n: np.array(tops[c].tolist()).reshape(-1, n)
+    tops = grams.groupBy("unit").applyInPandas(top, "newest int, counts binary, weighted binary").toPandas()
+    shaped = lambda c, n: np.frombuffer(b"".join(tops[c])).reshape(-1, n)
     crown = Crown(tops["newest"].to_numpy(int), shaped("counts", 256), shaped("weighted", 255))
+    del tops
     sent = train.sparkSession.sparkContext.broadcast(crown)
 
     def fill(unit: pd.DataFrame) -> pd.DataFrame:
@@ -351,28 +353,29 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     def score(batches):
         table, (hashes, seen) = tables[0].value, known.value
         common = dict(zip(hashes.tolist(), seen.tolist(), strict=True))
-        memo: dict[bytes, tuple[int, int]] = {}  # a word's hash, and its count if it is frequent
+        logs: dict[bytes, float] = {}  # of frequent words
+        others: dict[bytes, int] = {}  # hashes of other words
         for batch in batches:
             out = []
             for text in batch["text"]:
                 raw = text.encode()
-                tokens = raw.lower().split()
-                base, n_known, rare, times = end, int(n_train > 0), [], []
-                for word, tf in Counter(tokens).items():
-                    found = memo.get(word)
-                    if found is None:
+                found = Counter(raw.lower().split())
+                words, times = list(found), list(found.values())
+                for word in words:
+                    if word not in logs and word not in others:
                         h = xxhash.xxh64_intdigest(word, seed=42)
                         h = h - (1 << 64) if h >> 63 else h
-                        found = memo[word] = (h, common.get(h, 0))
-                    if found[1]:
-                        base += tf * log10((found[1] + 0.1) / total)
-                        n_known += tf
-                    else:
-                        rare.append(found[0])
-                        times.append(tf)
-                out.append((len(tokens) + 1, n_known, base, part_score(table, raw, 0), len(raw), rare, times))
-            if len(memo) > 300_000:
-                memo = {}
+                        if h in common:
+                            logs[word] = log10((common[h] + 0.1) / total)
+                        else:
+                            others[word] = h
+                values = list(map(logs.get, words))
+                rare = [(others[w], t) for w, t, x in zip(words, times, values, strict=True) if x is None]
+                base = end + sum(x * t for x, t in zip(values, times, strict=True) if x is not None)
+                n = sum(times)
+                out.append((n + 1, int(n_train > 0) + n - sum(t for _, t in rare), base, part_score(table, raw, 0), len(raw), [h for h, _ in rare], [t for _, t in rare]))
+            if len(others) > 200_000:
+                others.clear()
             yield pd.concat([batch[["doc_id", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
 
     def rest(k: int):
