@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, most_frequent, remainder, row_key, settle, split_words
 from .near_dedup import mix
+from .tokens import by_size
 
 #: Stands before and after every text; UTF-8 never holds it.
 MARK = 255
@@ -226,18 +227,33 @@ def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return (mix((grams >> np.uint64(8) & np.uint64(0xFFFF)) + np.uint64(1)) % np.uint64(parts)).astype(int)
 
 
-def score_grams(table: Table, crown_logs: np.ndarray, grams: np.ndarray, depth: int = DEPTH) -> float:
-    """The sum of log10 of the grams' probabilities."""
-    total, left = 0.0, grams
+def score_grams(table: Table, crown_logs: np.ndarray, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """log10 of each gram's probability."""
+    out, left = np.zeros(len(grams)), np.arange(len(grams))
     for d in range(depth, 1, -1):
-        value, found = table.get(tag(suffix(left, d), d, False))
-        total += float(value.sum(dtype=np.float64))
-        left = left[~found]
+        grams = suffix(grams, d)
+        value, found = table.get(tag(grams, d, False))
+        out[left] += value
+        left, grams = left[~found], grams[~found]
         if not len(left):
-            return total
-        factor, _ = table.get(tag(suffix(left, d) >> np.uint64(8), d, True))
-        total += float(factor.sum(dtype=np.float64))
-    return total + float(crown_logs[(left >> np.uint64(8) & np.uint64(255)).astype(int), (left & np.uint64(255)).astype(int)].sum())
+            return out
+        out[left] += table.get(tag(grams >> np.uint64(8), d, True))[0]
+    out[left] += crown_logs[(grams >> np.uint64(8) & np.uint64(255)).astype(int), (grams & np.uint64(255)).astype(int)]
+    return out
+
+
+def score_texts(table: Table, crown_logs: np.ndarray, texts: list[bytes], depth: int = DEPTH, parts: int = 1, part: int = 0) -> np.ndarray:
+    """The sum for each text of the grams that this part of the model holds."""
+    out = []
+    for cut in by_size(texts, 100_000):
+        grams = [grams_of(t, depth) for t in texts[cut]]
+        ends = np.cumsum([len(g) for g in grams])
+        joined = np.concatenate(grams)
+        values = np.zeros(len(joined))
+        mine = slice(None) if parts == 1 else np.flatnonzero(part_of(joined, parts) == part)
+        values[mine] = score_grams(table, crown_logs, joined[mine], depth)
+        out.append(np.add.reduceat(values, np.append(0, ends[:-1])))
+    return np.concatenate(out) if out else np.empty(0)
 
 
 def count_grams(train: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -342,10 +358,6 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
         rows_ = model.filter(F.col("unit").isin(mine)).select("key", "value").toArrow()
         return context.broadcast(Table(rows_["key"].to_numpy().astype(np.uint64), rows_["value"].to_numpy()))
 
-    def part_score(table: Table, text: bytes, k: int) -> float:
-        grams = grams_of(text)
-        return score_grams(table, crown.logs, grams if parts == 1 else grams[part_of(grams, parts) == k])
-
     tables = [part(k) for k in range(parts)]
     total = n + 0.1 * (v + 1)
     end = log10((n_train + 0.1) / total)
@@ -356,9 +368,9 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
         logs: dict[bytes, float] = {}  # of frequent words
         others: dict[bytes, int] = {}  # hashes of other words
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                raw = text.encode()
+            out, raws = [], [t.encode() for t in batch["text"]]
+            scores = score_texts(table, crown.logs, raws, DEPTH, parts, 0)
+            for raw, by_tree in zip(raws, scores.tolist(), strict=True):
                 found = Counter(raw.lower().split())
                 words, times = list(found), list(found.values())
                 for word in words:
@@ -373,7 +385,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
                 rare = [(others[w], t) for w, t, x in zip(words, times, values, strict=True) if x is None]
                 base = end + sum(x * t for x, t in zip(values, times, strict=True) if x is not None)
                 n = sum(times)
-                out.append((n + 1, int(n_train > 0) + n - sum(t for _, t in rare), base, part_score(table, raw, 0), len(raw), [h for h, _ in rare], [t for _, t in rare]))
+                out.append((n + 1, int(n_train > 0) + n - sum(t for _, t in rare), base, by_tree, len(raw), [h for h, _ in rare], [t for _, t in rare]))
             if len(others) > 200_000:
                 others.clear()
             yield pd.concat([batch[["doc_id", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
@@ -381,7 +393,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     def rest(k: int):
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch[["doc_id", "k2"]].assign(more=[part_score(tables[k].value, t.encode(), k) for t in batch["text"]])
+                yield batch[["doc_id", "k2"]].assign(more=score_texts(tables[k].value, crown.logs, [t.encode() for t in batch["text"]], DEPTH, parts, k))
 
         return add
 
