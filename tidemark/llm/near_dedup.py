@@ -17,6 +17,8 @@ SHINGLE = 5
 #: pair of keys, one of each collection: 18 * 18 tables of six minhashes from
 #: 108 minhashes instead of 1,944.
 KEYS, ROWS = 18, 3
+#: So often each class is compared with the most met class of another component.
+ROUNDS = 2
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -126,15 +128,30 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
 
 
+def in_components(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``entries`` with the component ``c`` of each class, its own id if it has no link yet."""
+    if groups is None:
+        return entries.withColumn("c", F.col("id"))
+    return entries.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def components_of(entries: DataFrame, groups: DataFrame | None, name: str) -> DataFrame:
+    """(name, c_name): the component of each class."""
+    ids = in_components(entries.select("id").distinct(), groups)
+    return ids.select(F.col("id").alias(name), F.col("c").alias(f"c_{name}"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> DataFrame:
     """Links documents whose sets of five-word shingles have a Jaccard of ``percent``.
 
     Rows with equal sets form a class, named by its least id. Classes that meet in
-    a table are candidates. In each table entry all classes are first compared
-    with the least one; where that leaves more than one component, the classes
-    outside the least one's component are compared with all those of other
-    components there. So a large group of near copies costs one comparison each,
-    and no pair that meets is left out unless it is already connected. Every link
+    a table are candidates. A class that meets many others is likely the text that
+    they are copies of: twice, each class is compared with the class of another
+    component that meets most among those it meets itself. Where that leaves more
+    than one component in a table entry, the classes outside the largest one are
+    compared with all those of other components there. So a large group of near
+    copies costs a comparison or two each, and no pair that meets is left out
+    unless it is already connected. Every link
     is confirmed on the whole sets. A pair at the threshold meets in no table with
     a probability of 2 * (1 - 0.75 ** 3) ** 18 = 1e-4, at 0.8 with 5e-6.
 
@@ -152,26 +169,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     firsts = named.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     firsts = firsts.select(F.col("doc_id").alias("id"), "n_shingles", "left", "right")
     met = tables(firsts)
-    least = met.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    entries = settle(met.join(least.select("key", "least"), "key"))
-
-    # Each class against the least one of all its entries.
-    stars = settle(entries.groupBy(F.col("id").alias("u")).agg(F.min("least").alias("v")).filter("u <> v"))
-    links = settle(verify(stars, source, percent))
-    groups = settle(connected_components(links))
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = settle(met.join(sizes, "key"))
+    # How often a class meets others: the text that the others are copies of does so most.
+    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
+    entries = settle(shared.select("key", "id", "n_shingles").join(fame, "id"))
+
+    links = tried = groups = None
+    for _ in range(ROUNDS):
+        placed = in_components(entries, groups)
+        first = placed.groupBy("key").agg(F.max_by("id", "fame").alias("first"), F.max("fame").alias("f1")).join(components_of(entries, groups, "first"), "first")
+        others = placed.join(first, "key").filter("c <> c_first")
+        second = others.groupBy("key").agg(F.max_by("id", "fame").alias("second"), F.max("fame").alias("f2"))
+        asks = placed.join(first, "key").join(second, "key")
+        to, rank = F.when(F.col("c") == F.col("c_first"), F.col("second")).otherwise(F.col("first")), F.when(F.col("c") == F.col("c_first"), F.col("f2")).otherwise(F.col("f1"))
+        asks = asks.select(F.greatest("id", to).alias("u"), F.least("id", to).alias("v"), "id", rank.alias("rank")).distinct()
+        if tried is not None:
+            asks = asks.join(tried, ["u", "v"], "left_anti")
+        best = asks.withColumn("rank", F.struct("rank", "u", "v")).groupBy("id").agg(F.max("rank").alias("best"))
+        pairs = settle(best.select("best.u", "best.v").distinct())
+        more = settle(verify(pairs, source, percent))
+        links = more if links is None else links.unionByName(more)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        groups = settle(connected_components(links))
     # What is left: entries that hold more than one component.
-    of = groups.withColumnRenamed("component", "c")
-    placed = entries.join(of, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    heads = of.select(F.col("id").alias("least"), F.col("c").alias("c_least"))
-    placed = placed.join(heads, "least", "left").withColumn("c_least", F.coalesce("c_least", "least"))
-    outside = placed.filter("c <> c_least")
-    mixed = placed.join(outside.select("key").distinct(), "key", "left_semi").select("key", "id", "c", "n_shingles")
-    left = outside.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"))
+    placed = in_components(entries, groups)
+    counts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1").select("key", "main")
+    mixed = placed.join(main, "key")
+    left = mixed.filter("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"))
     close = (F.col("c") != F.col("ca")) & (100 * F.least("na", "n_shingles") >= percent * F.greatest("na", "n_shingles"))
     rest = left.join(mixed, "key").filter(close).select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
-    rest = settle(rest.join(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
-    more = verify(rest, source, percent)
-    groups = connected_components(links.unionByName(more))
+    rest = settle(rest.join(tried, ["u", "v"], "left_anti"))
+    groups = connected_components(links.unionByName(verify(rest, source, percent)))
 
     found = members.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
