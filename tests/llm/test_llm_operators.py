@@ -213,13 +213,6 @@ def test_html_of_depth_and_length():
 # --- 4, 5, 8
 
 
-@pytest.fixture(scope="module")
-def library():
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(PATH)
-
-
 def test_encoder(library):
     use = tokens.Encoder(PATH)
     for t in [*texts(), "a  b", "a ", " a", "\n\n a", "  ", "ll's've", "x　y", "Ꙁ", "ა", "a<|endoftext|>"]:
