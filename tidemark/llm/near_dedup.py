@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,29 +72,40 @@ def signatures(docs: DataFrame, keys: int = KEYS) -> DataFrame:
     """
     import hashlib
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = seeds(keys)
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, listed = seeds(keys), pa.list_(pa.int64())
         for batch in batches:
-            out = []
-            for words in batch["words"]:
-                s = shingle_set(np.asarray(words, np.int64).view(np.uint64))
-                found = band_keys(s, made) if len(s) else np.empty(0, np.int64)
-                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), found[:keys], found[keys:]))
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_shingles", "same", "left", "right"])], axis=1)
+            for at, words in word_lists(batch):
+                sets = [shingle_set(w) for w in words]
+                found = [band_keys(s, made) if len(s) else np.empty(0, np.int64) for s in sets]
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                columns = [at.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array([f[:keys] for f in found], listed), pa.array([f[keys:] for f in found], listed)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "same", "left", "right"])
 
-    return docs.mapInPandas(sign, "doc_id long, n_shingles long, same binary, left array<long>, right array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n_shingles long, same binary, left array<long>, right array<long>")
+
+
+def word_lists(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """A batch in pieces, each with its documents' words as views of the batch's memory."""
+    column = batch.column("words")
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    for at in range(0, len(column), rows):
+        stop = min(at + rows, len(column))
+        yield batch.slice(at, stop - at), [values[ends[i] : ends[i + 1]] for i in range(at, stop)]
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """``docs`` with its texts replaced by their sets of shingles, column ``shingles``."""
     kept = [c for c in docs.columns if c != "text"]
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[kept].assign(shingles=[shingle_set(np.asarray(w, np.int64).view(np.uint64)).view(np.int64) for w in batch["words"]])
+            for at, words in word_lists(batch):
+                found = pa.array([shingle_set(w).view(np.int64) for w in words], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(at.column(c) for c in kept), found], names=[*kept, "shingles"])
 
     schema = ", ".join(f"{c} long" for c in kept)
-    return docs.select(*kept, word_hashes(lower_ascii(F.col("text"))).alias("words")).mapInPandas(sets, f"{schema}, shingles array<long>")
+    return docs.select(*kept, word_hashes(lower_ascii(F.col("text"))).alias("words")).mapInArrow(sets, f"{schema}, shingles array<long>")
 
 
 def shared_keys(classes: DataFrame, side: str) -> DataFrame:

@@ -41,7 +41,7 @@ class Buckets:
     def __call__(self, word: bytes) -> int:
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) > 400_000:
+            if len(self.memo) > 60_000:
                 self.memo.clear()
             found = self.memo[word] = xxhash.xxh64_intdigest(word) % BUCKETS
         return found
@@ -102,7 +102,7 @@ def class_counts(rows: DataFrame) -> np.ndarray:
     """Counts of each class by bucket: a table of fixed size, however many words there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        buckets, total = Buckets(), np.zeros((2, BUCKETS), np.int64)
+        buckets, total = Buckets(), np.zeros((2, BUCKETS), np.int32)
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 found = expressions(text)
