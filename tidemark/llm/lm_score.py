@@ -181,25 +181,36 @@ def entries(grams: np.ndarray, counts: np.ndarray, crown: Crown, depth: int) ->
 
 
 class Table:
-    """Keys to values by open addressing in flat arrays; key 0 means nothing."""
+    """Keys to values by open addressing in flat arrays; key 0 means nothing.
+
+    It travels as plain keys and values, and is laid out where it is first used.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.raw = keys, values
+
+    def _lay_out(self) -> None:
+        (keys, values), self.raw = self.raw, None
         size = 1 << max(4, (2 * len(keys)).bit_length())
         self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = self.keys[slot[left]] == 0
-            _, first = np.unique(slot[left[free]], return_index=True)
-            placed = left[free][first]
-            self.keys[slot[placed]], self.values[slot[placed]] = keys[placed], values[placed]
-            left = np.setdiff1d(left, placed, assume_unique=True)
-            slot[left] = (slot[left] + 1) & (size - 1)
+        for start in range(0, len(keys), 1 << 18):
+            left, kept = keys[start : start + (1 << 18)], values[start : start + (1 << 18)]
+            slot = self._slot(left)
+            while len(left):
+                free = np.flatnonzero(self.keys[slot] == 0)
+                first = free[np.unique(slot[free], return_index=True)[1]]
+                self.keys[slot[first]], self.values[slot[first]] = left[first], kept[first]
+                rest = np.ones(len(left), bool)
+                rest[first] = False
+                left, kept, slot = left[rest], kept[rest], (slot[rest] + 1) & (size - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (mix(keys) >> np.uint64(20)).astype(np.int64) & (len(self.keys) - 1)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(value or 0, whether there is one) for each key."""
+        if self.raw is not None:
+            self._lay_out()
         slot = self._slot(keys)
         there = self.keys[slot]
         found = there == keys
