@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from tidemark.llm import bpe, components, decontamination, html_text, idfile, lm_score, near_dedup, substring_dedup, token_counts, tokens, topk, toxicity
 from tidemark.llm.common import checkpoint_dir, most_frequent, shared_dir
@@ -377,6 +378,20 @@ def test_repeats_with_a_crowded_anchor(spark, monkeypatch):
     assert repeated(table(spark, rows)) == brute_repeats(rows)
 
 
+def test_a_passage_in_many_documents_is_no_group(spark, monkeypatch):
+    """The passage's edges differ everywhere, its inner windows are the same; no shard holds them all."""
+    r = random.Random(9)
+    passage = some_words(r, 80)
+    rows = [(i, f"{some_words(r, 40)} {passage} {some_words(r, 40)}") for i in range(200)]
+    rows += [(1000, f"{some_words(r, 40)} {passage} {some_words(r, 40)}")] * 200
+    found, apply, groups = substring_dedup.find_repeats, GroupedData.applyInPandas, []
+    monkeypatch.setattr(substring_dedup, "find_repeats", lambda d, n: found(d, n, shard_words=500, crowded=3))
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: groups.append(self._df) or apply(self, *a))
+    assert repeated(table(spark, rows)) == brute_repeats(rows)
+    words = [x["n"] for g in groups for x in g.groupBy("shard").agg((F.sum(F.length("words")) / 8).alias("n")).collect()]
+    assert max(words, default=0) < 2000
+
+
 def test_automaton():
     r = random.Random(6)
     streams = [[r.randrange(3) for _ in range(r.randrange(1, 30))] for _ in range(40)]

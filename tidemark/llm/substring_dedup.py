@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key, settle, word_hashes
+from .common import BROADCAST_BYTES, narrow, row_key, settle, word_hashes
 from .near_dedup import mix
 
 LENGTH = 35
@@ -19,7 +19,7 @@ LENGTH = 35
 GRAM = 5
 #: About so many words go into one reference shard.
 SHARD_WORDS = 100_000
-#: An anchor with more distinct fragments has its windows dealt out one by one.
+#: An anchor with more distinct fragments has its windows added up one by one.
 CROWDED = 1_000
 
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -171,12 +171,13 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD
     2. The distinct fragments under the other anchors, with their numbers of
        occurrences, are the reference. Where an anchor has one fragment only, its
        number is that of all its windows. The others are dealt to shards by their
-       anchor; fragments of a crowded anchor are dealt window by window, by
-       content, so that shards stay small.
+       anchor.
     3. In each shard a suffix automaton is built over its fragments; those that
        stand once are streamed through it, and windows with two occurrences or
        more are marked. All windows of a fragment that stands twice have as many.
-    4. The marks go back to all places of each fragment.
+    4. The windows of a crowded anchor's fragments, however many, are added up by
+       their hashes instead, and no task holds them together.
+    5. The marks go back to all places of each fragment.
     Spans are (start, end) in words.
     """
     rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
@@ -195,57 +196,80 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD
     shared = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     places = settle(places.join(shared, "anchor"))
     distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", F.when(F.col("n") > crowded, F.ceil(F.col("n") / crowded)).otherwise(0).cast("int").alias("parts"), (F.col("n") == 1).alias("alone"))
+    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", (F.col("n") > crowded).alias("crowded"), (F.col("n") == 1).alias("alone"))
     distinct = settle(distinct.select("anchor", "content", "times", "at.*").join(per_anchor, "anchor"))
-    n_words = distinct.filter("NOT alone").agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
+    several = distinct.filter("NOT alone AND NOT crowded")
+    n_words = several.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
     n_shards = int(n_words // shard_words + 1)
-    fields = ("anchor", "content", "times", "start", "windows", "parts")
-    wanted = distinct.filter("NOT alone").groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
-    pieces_of = {"anchor": long, "content": long, "times": long, "offset": small, "part": small, "words": pa.binary()}
+    fields = ("anchor", "content", "times", "start", "windows")
+    pieces_of = {"anchor": long, "content": long, "times": long, "words": pa.binary()}
+    windows_of = {"k1": long, "k2": long, "start": long, "anchor": long, "window": long, "times": long}
+
+    def texts_of(asked: DataFrame, small: bool = False) -> DataFrame:
+        """Each text that represents fragments once, however often its row stands, with those fragments."""
+        wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("wanted"))
+        met = rows.join(F.broadcast(wanted) if small else wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+        return met.select("k1", "k2", word_hashes(F.col("text")).alias("words"), *(F.col(f"wanted.{f}").alias(f) for f in fields))
+
+    def asked_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """Some documents' words, and of their fragments the document's row, the place among the words and the fields."""
+        asked = {f: batch.column(f) for f in fields}
+        ends = asked["anchor"].offsets.to_numpy()
+        asked = {f: c.values.to_numpy(zero_copy_only=False) for f, c in asked.items()}
+        for part, words, sizes in _documents(batch):
+            mine, per_text = slice(ends[part.start], ends[part.stop]), np.diff(ends[part.start : part.stop + 1])
+            base = np.repeat(np.cumsum(sizes) - sizes, per_text)
+            yield words, np.repeat(np.arange(part.start, part.stop), per_text), base + asked["start"][mine], *(asked[f][mine] for f in fields)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The words of the fragments that represent their content."""
         for batch in batches:
-            asked = {f: batch.column(f) for f in fields}
-            ends = asked["anchor"].offsets.to_numpy()
-            asked = {f: c.values.to_numpy(zero_copy_only=False) for f, c in asked.items()}
-            for part, words, sizes in _documents(batch):
-                mine = slice(ends[part.start], ends[part.stop])
-                base = np.repeat(np.cumsum(sizes) - sizes, np.diff(ends[part.start : part.stop + 1]))
-                anchor, content, times, start, windows, parts = (asked[f][mine] for f in fields)
-                # A fragment of a crowded anchor becomes a row for each of its windows.
-                copies = np.where(parts > 0, windows, 1)
-                row = np.repeat(np.arange(len(anchor)), copies)
-                offset = np.arange(len(row)) - np.repeat(np.cumsum(copies) - copies, copies)
-                first = (base + start)[row] + offset
-                last = first + np.where(parts[row] > 0, 1, windows[row]) + length - 1
-                by = np.where(parts[row] > 0, Hashes(words).of(first, last) % np.maximum(parts[row], 1).astype(np.uint64), 0)
+            for words, _, first, anchor, content, times, _, windows in asked_of(batch):
+                last = first + windows + length - 1
                 raw = memoryview(np.ascontiguousarray(words)).cast("B")
                 cuts = [raw[a:b].tobytes() for a, b in zip((first * 8).tolist(), (last * 8).tolist(), strict=True)]
-                yield _table({"anchor": anchor[row], "content": content[row], "times": times[row], "offset": offset, "part": by.astype(np.int64), "words": cuts}, pieces_of)
+                yield _table({"anchor": anchor, "content": content, "times": times, "words": cuts}, pieces_of)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of the fragments that represent their content, by hash."""
+        for batch in batches:
+            k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
+            for words, of, first, anchor, _, times, start, windows in asked_of(batch):
+                row = np.repeat(np.arange(len(anchor)), windows)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+                at = first[row] + offset
+                found = (k1[of[row]], k2[of[row]], start[row] + offset, anchor[row], Hashes(words).of(at, at + length).view(np.int64), times[row])
+                yield _table(dict(zip(windows_of, found, strict=True)), windows_of)
 
-    joined = rows.join(wanted, ["k1", "k2"]).select(word_hashes(F.col("text")).alias("words"), *(F.col(f"wanted.{f}").alias(f) for f in fields))
-    pieces = joined.mapInArrow(fetch, "anchor long, content long, times long, offset int, part int, words binary")
-    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor", "part"), F.lit(n_shards)))
+    pieces = texts_of(several).mapInArrow(fetch, "anchor long, content long, times long, words binary")
+    sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(n_shards)))
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.drop_duplicates(["anchor", "content", "offset"])
         automaton, streams = SuffixAutomaton(), [np.frombuffer(w, np.int64).tolist() for w in shard["words"]]
         for words, times in zip(streams, shard["times"].tolist(), strict=True):
             automaton.add(words, times)
         automaton.close()
         out = []
-        for words, times, anchor, content, offset in zip(streams, *(shard[c].tolist() for c in ("times", "anchor", "content", "offset")), strict=True):
+        for words, times, anchor, content in zip(streams, *(shard[c].tolist() for c in ("times", "anchor", "content")), strict=True):
             if times > 1:
                 continue
             for a, b in _ranges([n > 1 for n in automaton.occurrences(words, length)]):
-                out.append((anchor, content, offset + a, offset + b - 1 + length))
+                out.append((anchor, content, a, b - 1 + length))
         return pd.DataFrame(out, columns=["anchor", "content", "a", "b"])
 
     marks = sharded.groupBy("shard").applyInPandas(match, "anchor long, content long, a int, b int")
     whole = distinct.filter("times > 1").select("anchor", "content", F.lit(0).alias("a"), (F.col("windows") + (length - 1)).alias("b"))
     spans = places.select("k1", "k2", "anchor", "content", "start").join(marks.unionByName(whole), ["anchor", "content"])
-    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    spans = spans.select("k1", "k2", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    dealt = distinct.filter("crowded")
+    n_dealt = dealt.count()
+    if n_dealt:
+        windows = settle(texts_of(dealt, n_dealt * 64 <= BROADCAST_BYTES).mapInArrow(single, "k1 long, k2 long, start long, anchor long, window long, times long"))
+        often = settle(windows.groupBy("anchor", "window").agg(F.sum("times").alias("n")).filter("n > 1").select("anchor", "window"))
+        # A fragment that stands once has one place, where it was read.
+        met = windows.filter("times = 1").join(narrow(often), ["anchor", "window"])
+        spans = spans.unionByName(met.select("k1", "k2", F.col("start").cast("int").alias("a"), (F.col("start") + length).cast("int").alias("b")))
+    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 _REPEATS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
