@@ -337,6 +337,21 @@ def test_toxicity(spark, none):
     assert toxicity.reject_toxic(docs_, labels).columns == docs_.columns
 
 
+def test_calibration_rows_beyond_the_sample_teach(spark, monkeypatch):
+    """Every labelled row outside the held-out fold either calibrates or teaches."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [(i, f"ordinary words {'rogue' if fold(i) == 1 and i % 2 else 'row'}") for i in range(1000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 1)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    count, taught = toxicity.class_counts, []
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    monkeypatch.setattr(toxicity, "class_counts", lambda df: taught.extend(x["doc_id"] for x in df.collect()) or count(df))
+    toxicity.score_toxicity(table(spark, rows), labels).count()
+    assert len(taught) == len(set(taught)) and all(fold(i) for i in taught)
+    inside = sum(fold(i) == 1 for i, _ in rows)
+    assert set(taught) >= {i for i, _ in rows if fold(i) > 1}
+    assert inside - 100 <= sum(fold(i) == 1 for i in taught) < inside
+
+
 def test_models_are_distributions():
     counts = np.zeros((2, 1000))
     counts[0, :50], counts[1, 40:60] = 5, 1

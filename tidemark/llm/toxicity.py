@@ -121,13 +121,13 @@ def class_counts(rows: DataFrame) -> np.ndarray:
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """``docs`` with held_out, score, predicted and what the score rests on.
 
-    Rows in fold 0 (crc32 of doc_id) are held out. Of the labelled others, fold 1
-    calibrates and the rest teach the two models, whose tables have ``BUCKETS``
-    entries whatever the data. A text's expressions are compared under both models
+    Rows in fold 0 (crc32 of doc_id) are held out. Of the labelled others,
+    about ``SAMPLE`` rows of fold 1 at most (those whose hashed ids are below a
+    bound) calibrate and all the rest teach the two models, whose tables have
+    ``BUCKETS`` entries whatever the data. A text's expressions are compared under both models
     and the log-likelihood ratio beyond a margin, within which ordinary words
     vary, is averaged over the text's length. A logistic curve in the logarithm of
-    that average, fitted to about ``SAMPLE`` calibration rows at most (those whose
-    hashed ids are below a bound), gives the score; the margin of least loss is taken. Only
+    that average, fitted to the calibration rows, gives the score; the margin of least loss is taken. Only
     the text decides about a score.
 
     Adds held_out, score, predicted (score >= 0.5), log_p_ordinary and log_p_toxic
@@ -139,7 +139,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
     spark = docs.sparkSession
     fold = remainder(F.col("doc_id"), folds)
     labelled = with_labels(docs, labels).filter(fold != 0)
-    models = Models(class_counts(labelled.filter(fold > 1)))
+    share = min(1.0, 0.95 * SAMPLE / max(1, labelled.filter(fold == 1).count()))
+    calibrates = (fold == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    models = Models(class_counts(labelled.filter(~calibrates)))
     tables = spark.sparkContext.broadcast(models.log_p)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,10 +150,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFr
             found = [evidence(tables.value, buckets, t)[3:] for t in batch["text"]]
             yield pd.DataFrame(found, columns=list("abc")).assign(toxic=batch["toxic"].to_numpy())
 
-    calibration = labelled.filter(fold == 1)
-    share = min(1.0, 0.95 * SAMPLE / max(1, calibration.count()))
-    sample = calibration.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    seen = sample.mapInPandas(judge, "a double, b double, c double, toxic int").toPandas()
+    seen = labelled.filter(calibrates).mapInPandas(judge, "a double, b double, c double, toxic int").toPandas()
     y = (seen["toxic"] == 1).to_numpy(float)
     if 0 < y.sum() < len(y):
         fits = [(*fit_logistic(np.log(seen[c].to_numpy() + FLOOR), y), i) for i, c in enumerate("abc")]
