@@ -149,6 +149,21 @@ def test_near_duplicates(spark, docs, rows, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_edited_copies(spark):
+    """Copies that lie far from each other, cut copies, and copies of edited copies."""
+    r = random.Random(8)
+    base, rows = some_words(r, 90).split(), []
+    edited = lambda words, n, k: [f"e{k}x{i}" if i in at else w for at in [set(r.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    for k in range(120):
+        words = edited(base, r.choice((1, 1, 2, 3, 4, 6)), k)
+        rows.append((k, " ".join(words[: r.choice((90, 90, 90, 80, 60))])))
+        if k % 20 == 0:
+            rows += [(200 + 10 * k + j, " ".join(edited(words, r.choice((1, 2)), 1000 + 10 * k + j))) for j in range(6)]
+    found = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == brute_near(rows)
+    assert len({c for _, c in brute_near(rows).values()}) > 10
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(7, 7), (None, 3), (1000, 900), (900, 1000)] + [(2000 + i, 1999) for i in range(50)]
@@ -175,7 +190,7 @@ def test_band_keys_meet():
     made = near_dedup.seeds()
     for _ in range(200):
         common, own = r.integers(0, 1 << 63, 60, np.uint64), r.integers(0, 1 << 63, 20, np.uint64)
-        a, b = (near_dedup.band_keys(np.unique(np.concatenate([common, x])), made) for x in (own[:10], own[10:]))
+        a, b = (near_dedup.band_keys(np.unique(np.concatenate([common, x])), np.array([70]), made)[0] for x in (own[:10], own[10:]))
         met += (a[: near_dedup.KEYS] == b[: near_dedup.KEYS]).any() and (a[near_dedup.KEYS :] == b[near_dedup.KEYS :]).any()
     assert met >= 199
 

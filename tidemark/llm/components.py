@@ -30,11 +30,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = settle(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         # Done when every node hangs on one root that hangs on nothing.
-        n, nodes, inner = links.select(F.count(F.lit(1)), F.count_distinct("u")).first() + (links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").count(),)
-        if n == nodes and inner == 0:
-            break
-        now = (n, nodes, inner, links.select(F.sum(F.col("v").cast("decimal(38,0)"))).first()[0])
-        if now == before:
+        ends = links.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"), "v").unionByName(links.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"), F.lit(0).cast("long").alias("v")))
+        nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"), F.sum(F.col("v").cast("decimal(38,0)")).alias("sum"))
+        now = nodes.agg(F.coalesce(F.max("up"), F.lit(0)), F.sum(F.when((F.col("up") > 0) & (F.col("down") > 0), 1).otherwise(0)), F.sum("sum")).first()
+        if (now[0] <= 1 and not now[1]) or now == before:
             break
         before = now
     roots = links.select(F.col("v").alias("id")).distinct()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, narrow, settle, word_hashes
@@ -17,8 +18,8 @@ SHINGLE = 5
 #: pair of keys, one of each collection: 18 * 18 tables of six minhashes from
 #: 108 minhashes instead of 1,944.
 KEYS, ROWS = 18, 3
-#: So often each class is compared with the most met class of another component.
-ROUNDS = 2
+#: Documents are hashed in pieces of about so many words.
+PIECE_WORDS = 250_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,41 +29,84 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words.
+def shingle_sets_of(words: np.ndarray, sizes: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of several documents: their hashes one after another, and the sets' sizes.
 
-    Fewer words are one run, marked with their number; no words have none.
+    ``words`` are those of the documents, one after another, ``sizes`` their
+    numbers. A set holds the sorted distinct 64-bit hashes of the runs of ``size``
+    words. Fewer words are one run, marked with their number; no words have none.
     """
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    runs = max(1, n - size + 1)
-    h = np.full(runs, min(n, size), np.uint64)
-    for i in range(min(n, size)):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + runs])
-    return np.unique(h)
+    starts = np.cumsum(sizes) - sizes
+    runs = np.where(sizes >= size, sizes - size + 1, np.minimum(sizes, 1))
+    ends = np.cumsum(runs)
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
+        return np.empty(0, np.uint64), np.zeros(len(sizes), np.int64)
+    whole = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    whole += np.uint64(size)
+    for i in range(size):
+        whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(whole)])
+    at = np.repeat(starts - (ends - runs), runs) + np.arange(total)
+    short = np.flatnonzero((sizes > 0) & (sizes < size))
+    hashes = np.empty(total, np.uint64)
+    inside = at < len(whole)
+    hashes[inside] = whole[at[inside]]
+    for d in short.tolist():
+        h = np.full(1, sizes[d], np.uint64)
+        for word in words[starts[d] : starts[d] + sizes[d]]:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word)
+        hashes[ends[d] - 1] = h[0]
+    firsts = ends - runs
+    for a, b in zip(firsts.tolist(), ends.tolist(), strict=True):
+        hashes[a:b].sort()
+    distinct = np.ones(total, bool)
+    distinct[1:] = hashes[1:] != hashes[:-1]
+    distinct[firsts[runs > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(distinct)])
+    return hashes[distinct], kept[ends] - kept[firsts]
+
+
+def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """The set of one document's words."""
+    return shingle_sets_of(words, np.array([len(words)]), size)[0]
+
+
+def seeds(keys: int = KEYS) -> np.ndarray:
+    """A multiplier and a mask for each minhash."""
+    made = np.random.default_rng(20).integers(0, 1 << 32, (2 * keys * ROWS, 2), np.uint32)
+    return made | np.array([1, 0], np.uint32)
 
 
-def band_keys(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """The keys of a non-empty set: first those of the left collection, then the right.
+def band_keys(shingles: np.ndarray, sizes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The keys of non-empty sets, a row each: those of the left collection, then the right.
 
-    Minhashes are least values of multiply-add hashes; a key mixes ``ROWS`` of them.
+    Minhashes are least values of multiplied and masked hashes; a key mixes ``ROWS`` of them.
     """
-    least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        part = shingles[at : at + 512]
-        hashed = part[None, :] * seeds[:, :1] + seeds[:, 1:]
-        np.minimum(least, (hashed ^ (hashed >> np.uint64(29))).min(axis=1), out=least)
-    groups = least.reshape(-1, ROWS)
-    key = np.arange(len(groups), dtype=np.uint64)
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    firsts = np.cumsum(sizes) - sizes
+    least = np.empty((len(seeds), len(sizes)), np.uint32)
+    for k, (times, mask) in enumerate(seeds):
+        least[k] = np.minimum.reduceat((x * times) ^ mask, firsts)
+    groups = least.T.reshape(len(sizes), -1, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(groups.shape[1], dtype=np.uint64), groups.shape[:2])
     for i in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + groups[:, i])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + groups[:, :, i])
     return key.view(np.int64)
 
 
-def seeds(keys: int = KEYS) -> np.ndarray:
-    made = np.random.default_rng(20).integers(0, 1 << 63, (2 * keys * ROWS, 2), np.uint64)
-    return made * np.uint64(2) + np.uint64(1)
+def pieces(batch: pa.RecordBatch, most: int = PIECE_WORDS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in pieces of about ``most`` words, a document at least: (rows, words, sizes)."""
+    column = batch.column("words")
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    at = 0
+    while at < len(column):
+        stop = min(max(at + 1, int(np.searchsorted(ends, ends[at] + most))), len(column))
+        yield batch.slice(at, stop - at), values[ends[at] : ends[stop]], np.diff(ends[at : stop + 1]).astype(np.int64)
+        at = stop
+
+
+def listed(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
 
 def signatures(docs: DataFrame, keys: int = KEYS) -> DataFrame:
@@ -70,149 +114,212 @@ def signatures(docs: DataFrame, keys: int = KEYS) -> DataFrame:
 
     ``same`` is a 128-bit digest of the whole set; left and right hold the keys.
     """
-    import hashlib
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, listed = seeds(keys), pa.list_(pa.int64())
+        made = seeds(keys)
         for batch in batches:
-            for at, words in word_lists(batch):
-                sets = [shingle_set(w) for w in words]
-                found = [band_keys(s, made) if len(s) else np.empty(0, np.int64) for s in sets]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                columns = [at.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array([f[:keys] for f in found], listed), pa.array([f[keys:] for f in found], listed)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "same", "left", "right"])
+            for rows, words, sizes in pieces(batch):
+                shingles, n = shingle_sets_of(words, sizes)
+                found = np.zeros((len(n), 2 * keys), np.int64)
+                if len(shingles):
+                    found[n > 0] = band_keys(shingles, n[n > 0], made)
+                raw, ends = memoryview(shingles).cast("B"), np.cumsum(n) * 8
+                digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip((ends - n * 8).tolist(), ends.tolist(), strict=True)]
+                each = np.where(n > 0, keys, 0)
+                sides = [listed(found[n > 0][:, side].ravel(), each) for side in (slice(None, keys), slice(keys, None))]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *sides], names=["doc_id", "n_shingles", "same", "left", "right"])
 
     return docs.mapInArrow(sign, "doc_id long, n_shingles long, same binary, left array<long>, right array<long>")
 
 
-def word_lists(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """A batch in pieces, each with its documents' words as views of the batch's memory."""
-    column = batch.column("words")
-    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    for at in range(0, len(column), rows):
-        stop = min(at + rows, len(column))
-        yield batch.slice(at, stop - at), [values[ends[i] : ends[i + 1]] for i in range(at, stop)]
-
-
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``docs`` with its texts replaced by their sets of shingles, column ``shingles``."""
-    kept = [c for c in docs.columns if c != "text"]
+    """(id, shingles): the set of each row of ``docs(id, text)``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, words in word_lists(batch):
-                found = pa.array([shingle_set(w).view(np.int64) for w in words], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(at.column(c) for c in kept), found], names=[*kept, "shingles"])
+            for rows, words, sizes in pieces(batch):
+                shingles, n = shingle_sets_of(words, sizes)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), listed(shingles.view(np.int64), n)], names=["id", "shingles"])
 
-    schema = ", ".join(f"{c} long" for c in kept)
-    return docs.select(*kept, word_hashes(lower_ascii(F.col("text"))).alias("words")).mapInArrow(sets, f"{schema}, shingles array<long>")
+    return docs.select("id", word_hashes(lower_ascii(F.col("text"))).alias("words")).mapInArrow(sets, "id long, shingles array<long>")
 
 
-def shared_keys(classes: DataFrame, side: str) -> DataFrame:
-    """(id, i, key): the keys of one collection that another class has as well."""
-    rows = classes.select("id", F.posexplode(side).alias("i", "key"))
-    common = rows.groupBy("i", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("i", "key")
-    return rows.join(common, ["i", "key"]).select("id", "i", "key")
+def met(classes: DataFrame, side: str) -> DataFrame:
+    """(key, id, n): the keys of one collection that n classes have, more than one. A key tells its place."""
+    rows = classes.select("id", F.explode(side).alias("key"))
+    common = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return rows.join(narrow(common), "key")
 
 
-def tables(classes: DataFrame) -> DataFrame:
-    """(key, id, n_shingles): the places of each class in the tables, where not alone.
+def compare(pairs: DataFrame, sets: DataFrame, changes: bool = False) -> DataFrame:
+    """``pairs(u, v)`` with the sizes of both sets, ``nu`` and ``nv``, and of what they share, ``common``.
 
-    A key pairs one of each collection. Only keys that some other class shares are
-    combined, since no other pair can meet anyone.
+    ``changes`` adds the shingles of u that v lacks, ``extra``, and those of v that u
+    lacks, ``lacks``. Each pair's set of u goes where the set of v is, which goes
+    there once.
     """
-    by_side = [shared_keys(classes, side).groupBy("id").agg(F.collect_list("key").alias(side)) for side in ("left", "right")]
-    combined = by_side[0].join(by_side[1], "id").join(classes.select("id", "n_shingles"), "id")
-    rows = combined.select("id", "n_shingles", F.explode("left").alias("l"), "right").select("id", "n_shingles", "l", F.explode("right").alias("r"))
-    return rows.select(F.xxhash64("l", "r").alias("key"), "id", "n_shingles")
+    u = sets.join(narrow(pairs.select(F.col("u").alias("id"), "v")), "id").select(F.col("id").alias("u"), "v", F.col("shingles").alias("su"))
+    v = sets.join(narrow(pairs.select(F.col("v").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
+    columns = ["u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("common")]
+    return u.join(v, "v").select(*columns, *([F.array_except("su", "sv").alias("extra"), F.array_except("sv", "su").alias("lacks")] if changes else []))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets overlap enough.
+def similar(percent: int):
+    """Whether compared sets have a Jaccard of ``percent``."""
+    return 100 * F.col("common") >= percent * (F.col("nu") + F.col("nv") - F.col("common"))
 
-    The set of u goes where that of v is: once for each pair, that of v once.
-    """
-    u = docs.join(narrow(pairs.select(F.col("u").alias("doc_id"), "u", "v")), "doc_id").select("u", "v", "text")
-    v = docs.join(narrow(pairs.select(F.col("v").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("v"), "text")
-    both = shingle_sets(u).withColumnRenamed("shingles", "su").join(shingle_sets(v).withColumnRenamed("shingles", "sv").dropDuplicates(["v"]), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    return both.filter(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v").distinct()
+
+def placed(rows: DataFrame, groups: DataFrame, name: str = "id", as_: str = "c") -> DataFrame:
+    """``rows`` with the component of each class, its own id if it has no link yet."""
+    found = groups.select(F.col("id").alias(name), F.col("component").alias("__c"))
+    return rows.join(found, name, "left").withColumn(as_, F.coalesce("__c", name)).drop("__c")
 
 
-def in_components(entries: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """``entries`` with the component ``c`` of each class, its own id if it has no link yet."""
-    if groups is None:
-        return entries.withColumn("c", F.col("id"))
-    return entries.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+def in_open(rows: DataFrame) -> DataFrame:
+    """``rows(key, id, c, ..)`` under those keys whose classes are in more than one component."""
+    mixed = settle(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
+    return rows.join(narrow(mixed), "key", "left_semi")
 
 
-def components_of(entries: DataFrame, groups: DataFrame | None, name: str) -> DataFrame:
-    """(name, c_name): the component of each class."""
-    ids = in_components(entries.select("id").distinct(), groups)
-    return ids.select(F.col("id").alias(name), F.col("c").alias(f"c_{name}"))
+def stars_of(rows: DataFrame) -> DataFrame:
+    """(key, star): the class under each key that meets others most."""
+    return narrow(settle(rows.groupBy("key").agg(F.max(F.struct("fame", "id")).alias("star"))))
+
+
+def centred(stars: DataFrame) -> DataFrame:
+    """(v, id, size, n, m, extra): what classes change of the text that they seem to be copies of.
+
+    ``stars(u, v, nu, nv, common, extra, lacks)`` are compared pairs; v is the star
+    that many u have in common. It is a copy itself, with changes of its own. So
+    its set is amended: what more than half of the u add to it comes in, what more
+    than half lack goes out. Of that set's n shingles the class lacks m; ``extra``
+    are the shingles it has besides.
+    """
+    often = lambda name: (
+        stars.select("v", F.explode(name).alias("s")).groupBy("v", "s").agg(F.count(F.lit(1)).alias("k"))
+        .join(stars.groupBy("v").agg(F.count(F.lit(1)).alias("all")), "v").filter("2 * k > all AND all > 2")
+        .groupBy("v").agg(F.collect_list("s").alias(f"often_{name}"))
+    )
+    none = F.array().cast("array<long>")
+    x = stars.join(often("extra"), "v", "left").join(often("lacks"), "v", "left")
+    come, go = F.coalesce("often_extra", none), F.coalesce("often_lacks", none)
+    x = x.select("v", F.col("u").alias("id"), F.col("nu").alias("size"), (F.col("nv") - F.size(go) + F.size(come)).alias("n"), F.concat(F.array_except("extra", come), F.array_except(go, "lacks")).alias("extra"))
+    return x.select("v", "id", "size", "n", (F.col("n") - F.col("size") + F.size("extra")).alias("m"), "extra")
+
+
+def undecided(changes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the pairs of classes with changes of the same text that may still be linked.
+
+    ``changes`` are those of ``centred``. Two sets x and y with c changes in common,
+    that is shingles that both lack or both add, share n - m_x - m_y + c. So with
+    a Jaccard of P percent, P * (|x| + |y|) <= (100 + P) * (n - m_x - m_y + c),
+    where c is at most the lesser of both m plus the number of additions in
+    common. x needs P * |x| / 100 shingles of y and so at least as many additions in common
+    with it as that exceeds n - m_x: all but one of these may be left out of the
+    search, and the most common ones are. Without an addition in common, x and y
+    share no more than x and the text do: then y must be smaller than the text if
+    x isn't similar to that itself. Of two classes in different components one is not in
+    the star's component; that is the x with which the search begins.
+    """
+    x = placed(placed(changes, groups), groups, "v", "cv").withColumn("apart", F.col("c") != F.col("cv")).drop("cv")
+    some = x.filter("apart").select("v").distinct()
+    x = settle(x.join(narrow(settle(some)), "v", "left_semi"))
+    apart = x.filter("apart")
+    second = lambda df, names: df.select("v", *(F.col(c).alias(f"{c}_") for c in names))
+    # What both sides need beyond the changes in common: nothing if it is at most 0.
+    need = percent * (F.col("size") + F.col("size_")) - (100 + percent) * (F.col("n") - F.col("m") - F.col("m_"))
+    room = (100 + percent) * F.least("m", "m_")
+    other = F.col("c") != F.col("c_")
+    numbers = ["id", "c", "size", "m"]
+    near = percent * (F.col("size") + F.col("n")) <= (100 + percent) * (F.col("n") - F.col("m"))
+    by_size = None
+    for ours, theirs in ((apart.filter(~near), x.filter("size < n")), (apart.filter(near), x)):
+        found = ours.select("v", "n", *numbers).join(second(theirs, numbers), "v").filter(other & (need <= room)).select("id", "id_")
+        by_size = found if by_size is None else by_size.unionByName(found)
+    by_size = by_size.select(F.greatest("id", "id_").alias("u"), F.least("id", "id_").alias("v"))
+    least = F.greatest(F.lit(1), F.ceil(percent * F.col("size") / 100) - (F.col("n") - F.col("m")))
+    additions = x.select("v", "id", "apart", least.alias("least"), F.explode("extra").alias("s"))
+    shared = additions.groupBy("v", "s").agg(F.count(F.lit(1)).alias("times"), F.max("apart").alias("some")).filter("times > 1 AND some").select("v", "s", "times")
+    mine = Window.partitionBy("v", "id")
+    ranked = additions.join(shared, ["v", "s"]).select("v", "id", "apart", "s", (F.row_number().over(mine.orderBy("times", "s")) <= F.count(F.lit(1)).over(mine) - F.col("least") + 1).alias("searched"))
+    searched = settle(ranked.filter("searched").select("v", "id", "apart", "s"))
+    met_ = searched.filter("apart").join(searched.select("v", "s", F.col("id").alias("id_")), ["v", "s"]).filter("id <> id_").select("v", "id", "id_").distinct()
+    sizes = x.select("v", "n", *numbers, "extra")
+    both = met_.join(sizes, ["v", "id"]).join(second(x, [*numbers, "extra"]), ["v", "id_"]).filter(other & (need <= room + (100 + percent) * F.least(F.size("extra"), F.size("extra_"))))
+    by_addition = both.filter(need <= room + (100 + percent) * F.size(F.array_intersect("extra", "extra_")))
+    return by_size.unionByName(by_addition.select(F.greatest("id", "id_").alias("u"), F.least("id", "id_").alias("v"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> DataFrame:
     """Links documents whose sets of five-word shingles have a Jaccard of ``percent``.
 
     Rows with equal sets form a class, named by its least id. Classes that meet in
-    a table are candidates. A class that meets many others is likely the text that
-    they are copies of: twice, each class is compared with the class of another
-    component that meets most among those it meets itself. Where that leaves more
-    than one component in a table entry, the classes outside the largest one are
-    compared with all those of other components there. So a large group of near
-    copies costs a comparison or two each, and no pair that meets is left out
-    unless it is already connected. Every link
-    is confirmed on the whole sets. A pair at the threshold meets in no table with
-    a probability of 2 * (1 - 0.75 ** 3) ** 18 = 1e-4, at 0.8 with 5e-6.
+    a table, that is share a left and a right key, are candidates.
+
+    1. Each class is compared with a star: of the classes that meet most under the
+       left keys it shares, the one that does so under most of them. That links
+       most copies to the text that they are copies of.
+    2. Tables are formed, by combining keys, of the classes whose left and right
+       keys still hold several components. In every table entry that does, all are
+       compared with its star.
+    3. Two classes of an entry that aren't connected by now have both been compared
+       with its star. What each lacks of it and adds to it decides which of those
+       pairs can be similar at all (see ``undecided``); these are compared.
+
+    So a large group of near copies costs a few comparisons each, also of those
+    copies that nothing else is similar to, and every pair that meets in a table is
+    connected, compared, or proven to be too far apart. Every link is confirmed on
+    the whole sets. A pair at the threshold meets in no table with a probability of
+    2 * (1 - 0.75 ** 3) ** 18 = 1e-4, at 0.8 with 5e-6.
 
     Returns doc_id, n_shingles, component_id (the least id reachable), kept (it is
     its own). Texts are lower-cased (A-Z); null, empty and wordless texts have
     empty sets and are linked with nothing. Rows with the same id and text are one
     document, of which each row is returned; rows without an id are left alone:
-    their component is null and they are kept. Ids are taken to be integers.
+    their component is null and they are kept. Ids are taken to be integers; other
+    columns play no part.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(signatures(source.select("doc_id", word_hashes(lower_ascii(F.col("text"))).alias("words")), keys))
     named = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = named.groupBy("same", "n_shingles").agg(F.min("doc_id").alias("id"))
+    classes = settle(named.groupBy("same").agg(F.min("doc_id").alias("id")))
     members = named.select("doc_id", "same").join(classes, "same").select("doc_id", "id")
-    firsts = named.join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    firsts = firsts.select(F.col("doc_id").alias("id"), "n_shingles", "left", "right")
-    met = tables(firsts)
-    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = settle(met.join(sizes, "key"))
-    # How often a class meets others: the text that the others are copies of does so most.
-    fame = shared.groupBy("id").agg(F.sum("n").alias("fame"))
-    entries = settle(shared.select("key", "id", "n_shingles").join(fame, "id"))
-
-    links = tried = groups = None
-    for _ in range(ROUNDS):
-        placed = in_components(entries, groups)
-        first = placed.groupBy("key").agg(F.max_by("id", "fame").alias("first"), F.max("fame").alias("f1")).join(components_of(entries, groups, "first"), "first")
-        others = placed.join(first, "key").filter("c <> c_first")
-        second = others.groupBy("key").agg(F.max_by("id", "fame").alias("second"), F.max("fame").alias("f2"))
-        asks = placed.join(first, "key").join(second, "key")
-        to, rank = F.when(F.col("c") == F.col("c_first"), F.col("second")).otherwise(F.col("first")), F.when(F.col("c") == F.col("c_first"), F.col("f2")).otherwise(F.col("f1"))
-        asks = asks.select(F.greatest("id", to).alias("u"), F.least("id", to).alias("v"), "id", rank.alias("rank")).distinct()
-        if tried is not None:
-            asks = asks.join(tried, ["u", "v"], "left_anti")
-        best = asks.withColumn("rank", F.struct("rank", "u", "v")).groupBy("id").agg(F.max("rank").alias("best"))
-        pairs = settle(best.select("best.u", "best.v").distinct())
-        more = settle(verify(pairs, source, percent))
-        links = more if links is None else links.unionByName(more)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        groups = settle(connected_components(links))
-    # What is left: entries that hold more than one component.
-    placed = in_components(entries, groups)
-    counts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("components")).filter("components > 1").select("key", "main")
-    mixed = placed.join(main, "key")
-    left = mixed.filter("c <> main").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"))
-    close = (F.col("c") != F.col("ca")) & (100 * F.least("na", "n_shingles") >= percent * F.greatest("na", "n_shingles"))
-    rest = left.join(mixed, "key").filter(close).select(F.greatest("a", "id").alias("u"), F.least("a", "id").alias("v")).distinct()
-    rest = settle(rest.join(tried, ["u", "v"], "left_anti"))
-    groups = connected_components(links.unionByName(verify(rest, source, percent)))
+    firsts = named.join(classes.select(F.col("id").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
+    firsts = firsts.select(F.col("doc_id").alias("id"), "left", "right")
+    left, right = settle(met(firsts, "left")), settle(met(firsts, "right"))
+    meeting = settle(left.select("id").distinct().join(right.select("id").distinct(), "id", "left_semi"))
+
+    # The sets of all classes that meet another one.
+    texts = source.withColumnRenamed("doc_id", "id").join(narrow(meeting), "id", "left_semi").select("id", F.xxhash64("text").alias("k"), "text").dropDuplicates(["id", "k"])
+    sets = settle(shingle_sets(texts.select("id", "text")))
+
+    # How often a class meets others: the text that they are copies of does so most.
+    fame = left.groupBy("id").agg(F.sum("n").alias("fame"))
+    left = settle(left.join(fame, "id").select("key", "id", "fame"))
+    asks = left.join(stars_of(left), "key").filter(F.col("id") != F.col("star.id")).groupBy("id", "star").agg(F.count(F.lit(1)).alias("times"))
+    asks = asks.groupBy("id").agg(F.max(F.struct("times", "star")).alias("best"))
+    asks = settle(asks.select(F.col("id").alias("u"), F.col("best.star.id").alias("v")))
+    links = settle(compare(asks, sets).filter(similar(percent)).select("u", "v"))
+    groups = settle(connected_components(links))
+
+    sides = [in_open(placed(rows.select("key", "id"), groups)).groupBy("id").agg(F.collect_list("key").alias(name)) for rows, name in ((left, "left"), (right, "right"))]
+    both = settle(placed(sides[0].join(sides[1], "id").join(fame, "id"), groups))
+    tables = both.select("id", "c", "fame", F.explode("left").alias("l"), "right").select("id", "c", "fame", "l", F.explode("right").alias("r"))
+    entries = settle(in_open(tables.select(F.xxhash64("l", "r").alias("key"), "id", "c", "fame")).select("key", "id", "fame"))
+    asks = settle(entries.join(stars_of(entries), "key").select(F.col("id").alias("u"), F.col("star.id").alias("v")).filter("u <> v").distinct())
+    stars = settle(compare(asks, sets, changes=True))
+    links = links.unionByName(stars.filter(similar(percent)).select("u", "v"))
+    groups = settle(connected_components(links))
+    changes = settle(centred(stars))
+    # Who isn't connected to the star is compared with the copy that has the fewest changes.
+    plain = changes.groupBy("v").agg(F.min(F.struct(F.col("m") + F.size("extra"), "id")).alias("plain")).select("v", F.col("plain.id").alias("plain"))
+    asks = placed(placed(changes.select("v", "id"), groups), groups, "v", "cv").filter("c <> cv").join(plain, "v")
+    asks = settle(placed(asks, groups, "plain", "cp").filter("c <> cp").select(F.col("id").alias("u"), F.col("plain").alias("v")).distinct())
+    links = links.unionByName(settle(compare(asks, sets).filter(similar(percent)).select("u", "v")))
+    groups = settle(connected_components(links))
+    rest = settle(undecided(changes, groups, percent))
+    more = settle(compare(rest, sets).filter(similar(percent)).select("u", "v"))
+    groups = connected_components(links.unionByName(more))
 
     found = members.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
@@ -223,9 +330,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
 def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of its least id.
 
-    Of rows that repeat both id and text one stays; rows without an id all stay.
+    Of rows that repeat both id and text one stays; rows without an id all stay, as
+    do those whose texts are null or have no words. Columns stay as they are.
     """
-    kept = near_duplicates(docs, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id IS NOT NULL")
-    chosen = named.join(kept, named["doc_id"].cast("long") == kept["__kept"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.unionByName(docs.filter("doc_id IS NULL"))
+    dropped = settle(near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
+    left = docs.join(narrow(dropped), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__k"))
+    repeated = settle(named.groupBy("__id", "__k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id").distinct())
+    again = F.col("doc_id") == F.col("__id")
+    one = left.join(narrow(repeated), again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(narrow(repeated), again, "left_anti").unionByName(one)
