@@ -70,6 +70,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gather(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, a table of a few longs, settled and read in as few parts as have about ``rows`` rows each.
+
+    A small one is a single part, in which Spark joins and groups without a shuffle.
+    """
+    settled = settle(df)
+    return settled.coalesce(settled.count() // rows + 1)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

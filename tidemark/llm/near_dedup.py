@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, narrow, settle, word_hashes
+from .common import gather, lower_ascii, narrow, settle, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -147,7 +147,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 def met(classes: DataFrame, side: str) -> DataFrame:
     """(key, id, n): the keys of one collection that n classes have, more than one. A key tells its place."""
     rows = classes.select("id", F.explode(side).alias("key"))
-    common = settle(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    common = gather(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     return rows.join(narrow(common), "key")
 
 
@@ -177,13 +177,13 @@ def placed(rows: DataFrame, groups: DataFrame, name: str = "id", as_: str = "c")
 
 def in_open(rows: DataFrame) -> DataFrame:
     """``rows(key, id, c, ..)`` under those keys whose classes are in more than one component."""
-    mixed = settle(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
+    mixed = gather(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
     return rows.join(narrow(mixed), "key", "left_semi")
 
 
 def stars_of(rows: DataFrame) -> DataFrame:
     """(key, star): the class under each key that meets others most."""
-    return narrow(settle(rows.groupBy("key").agg(F.max(F.struct("fame", "id")).alias("star"))))
+    return narrow(gather(rows.groupBy("key").agg(F.max(F.struct("fame", "id")).alias("star"))))
 
 
 def centred(stars: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def undecided(changes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """
     x = placed(placed(changes, groups), groups, "v", "cv").withColumn("apart", F.col("c") != F.col("cv")).drop("cv")
     some = x.filter("apart").select("v").distinct()
-    x = settle(x.join(narrow(settle(some)), "v", "left_semi"))
+    x = settle(x.join(narrow(gather(some)), "v", "left_semi"))
     apart = x.filter("apart")
     second = lambda df, names: df.select("v", *(F.col(c).alias(f"{c}_") for c in names))
     # What both sides need beyond the changes in common: nothing if it is at most 0.
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     firsts = named.join(classes.select(F.col("id").alias("doc_id"), "same"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
     firsts = firsts.select(F.col("doc_id").alias("id"), "left", "right")
     left, right = settle(met(firsts, "left")), settle(met(firsts, "right"))
-    meeting = settle(left.select("id").distinct().join(right.select("id").distinct(), "id", "left_semi"))
+    meeting = gather(left.select("id").distinct().join(right.select("id").distinct(), "id", "left_semi"))
 
     # The sets of all classes that meet another one.
     texts = source.withColumnRenamed("doc_id", "id").join(narrow(meeting), "id", "left_semi").select("id", F.xxhash64("text").alias("k"), "text").dropDuplicates(["id", "k"])
@@ -298,28 +298,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     left = settle(left.join(fame, "id").select("key", "id", "fame"))
     asks = left.join(stars_of(left), "key").filter(F.col("id") != F.col("star.id")).groupBy("id", "star").agg(F.count(F.lit(1)).alias("times"))
     asks = asks.groupBy("id").agg(F.max(F.struct("times", "star")).alias("best"))
-    asks = settle(asks.select(F.col("id").alias("u"), F.col("best.star.id").alias("v")))
-    links = settle(compare(asks, sets).filter(similar(percent)).select("u", "v"))
-    groups = settle(connected_components(links))
+    asks = gather(asks.select(F.col("id").alias("u"), F.col("best.star.id").alias("v")))
+    links = gather(compare(asks, sets).filter(similar(percent)).select("u", "v"))
+    groups = gather(connected_components(links))
 
     sides = [in_open(placed(rows.select("key", "id"), groups)).groupBy("id").agg(F.collect_list("key").alias(name)) for rows, name in ((left, "left"), (right, "right"))]
     both = settle(placed(sides[0].join(sides[1], "id").join(fame, "id"), groups))
     tables = both.select("id", "c", "fame", F.explode("left").alias("l"), "right").select("id", "c", "fame", "l", F.explode("right").alias("r"))
     entries = settle(in_open(tables.select(F.xxhash64("l", "r").alias("key"), "id", "c", "fame")).select("key", "id", "fame"))
-    asks = settle(entries.join(stars_of(entries), "key").select(F.col("id").alias("u"), F.col("star.id").alias("v")).filter("u <> v").distinct())
+    asks = gather(entries.join(stars_of(entries), "key").select(F.col("id").alias("u"), F.col("star.id").alias("v")).filter("u <> v").distinct())
     stars = settle(compare(asks, sets, changes=True))
     links = links.unionByName(stars.filter(similar(percent)).select("u", "v"))
-    groups = settle(connected_components(links))
     changes = settle(centred(stars))
-    # Who isn't connected to the star is compared with the copy that has the fewest changes.
+    # Who isn't linked with the star is compared with the copy that has the fewest changes as well.
     plain = changes.groupBy("v").agg(F.min(F.struct(F.col("m") + F.size("extra"), "id")).alias("plain")).select("v", F.col("plain.id").alias("plain"))
-    asks = placed(placed(changes.select("v", "id"), groups), groups, "v", "cv").filter("c <> cv").join(plain, "v")
-    asks = settle(placed(asks, groups, "plain", "cp").filter("c <> cp").select(F.col("id").alias("u"), F.col("plain").alias("v")).distinct())
-    links = links.unionByName(settle(compare(asks, sets).filter(similar(percent)).select("u", "v")))
-    groups = settle(connected_components(links))
-    rest = settle(undecided(changes, groups, percent))
-    more = settle(compare(rest, sets).filter(similar(percent)).select("u", "v"))
-    groups = connected_components(links.unionByName(more))
+    asks = placed(placed(stars.filter(~similar(percent)).select("u", "v"), groups, "u", "c"), groups, "v", "cv").filter("c <> cv").join(plain, "v")
+    asks = gather(asks.select("u", F.col("plain").alias("v")).filter("u <> v").distinct())
+    links = links.unionByName(compare(asks, sets).filter(similar(percent)).select("u", "v"))
+    groups = gather(connected_components(links))
+    rest = gather(undecided(changes, groups, percent))
+    more = gather(placed(placed(compare(rest, sets).filter(similar(percent)).select("u", "v"), groups, "u", "u_"), groups, "v", "v_").select(F.col("u_").alias("u"), F.col("v_").alias("v")))
+    joined = connected_components(more).toDF("component", "__whole")
+    groups = groups.join(joined, "component", "left").select("id", F.coalesce("__whole", "component").alias("component")).unionByName(joined.toDF("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
 
     found = members.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
@@ -333,10 +333,10 @@ def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     Of rows that repeat both id and text one stays; rows without an id all stay, as
     do those whose texts are null or have no words. Columns stay as they are.
     """
-    dropped = settle(near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
+    dropped = gather(near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
     left = docs.join(narrow(dropped), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
     named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__k"))
-    repeated = settle(named.groupBy("__id", "__k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id").distinct())
+    repeated = gather(named.groupBy("__id", "__k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id").distinct())
     again = F.col("doc_id") == F.col("__id")
     one = left.join(narrow(repeated), again, "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(narrow(repeated), again, "left_anti").unionByName(one)
