@@ -367,10 +367,52 @@ def test_calibration_rows_beyond_the_sample_teach(spark, monkeypatch):
     assert inside - 100 <= sum(fold(i) == 1 for i in taught) < inside
 
 
-def test_models_are_distributions():
-    counts = np.zeros((2, 1000))
-    counts[0, :50], counts[1, 40:60] = 5, 1
-    assert np.allclose(np.exp(toxicity.Models(counts).log_p.astype(float)).sum(axis=1), 1, atol=1e-3)
+def brute_ratios(rows, toxic, sample, spread):
+    """log P(text | toxic) - log P(text | ordinary) by number of expressions, by plain counting."""
+    words = lambda t: {w for w in (x.strip(toxicity.EDGES) for x in (t or "").encode().lower().split()) if w}
+    counts, texts = defaultdict(lambda: [0, 0]), {(t, toxic[i]) for i, t in rows if i in toxic and sample(i)}
+    for t, c in texts:
+        for w in words(t):
+            counts[w][c] += 1
+    total = [sum(n[c] for n in counts.values()) for c in (0, 1)]
+    kept = {}
+    for w, n in counts.items():
+        expected = [sum(n) * total[c] / sum(total) for c in (0, 1)]
+        kept[w] = [max(0, n[c] - 1.5 * expected[c] - spread * expected[c] ** 0.5 - 1) for c in (0, 1)]
+    left = [1 - sum(k[c] for k in kept.values()) / total[c] for c in (0, 1)]
+    backoff = {w: sum(n) / sum(total) for w, n in counts.items()}
+    p = {w: [kept[w][c] / total[c] + left[c] * backoff[w] for c in (0, 1)] for w in counts}
+    assert all(abs(sum(x[c] for x in p.values()) - 1) < 1e-9 for c in (0, 1))  # distributions
+    ratio = lambda w: np.log(p[w][1] / p[w][0]) if w in p else np.log(left[1] / left[0])
+    return [sum(map(ratio, words(t))) / len(words(t)) if words(t) else np.log(left[1] / left[0]) for _, t in rows]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_toxicity_scores_rise_with_the_ratio_of_both_likelihoods(spark, monkeypatch, broadcast):
+    r, rows = random.Random(6), []
+    for i in range(600):
+        words = some_words(r, r.randrange(5, 40)).split()
+        rows.append((i, " ".join(words + (["Rascal!", "villain"][: r.randrange(1, 3)] if i % 5 == 0 else []))))
+    rows += [(700 + i, rows[5 * i][1]) for i in range(9)] + [(800, None), (801, "?!"), (802, "rascal " * 50_000)]
+    toxic = {i: int(i % 5 == 0) for i in range(600)} | {700 + i: 1 for i in range(9)}
+    labels = spark.createDataFrame([(i, c) for i, c in toxic.items()], "doc_id long, toxic int")
+    if not broadcast:
+        monkeypatch.setattr(toxicity, "BROADCAST_BYTES", 0)
+    found = {x["doc_id"]: x for x in toxicity.score_toxicity(table(spark, rows), labels).collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    all_ = [brute_ratios(rows, toxic, lambda i: fold(i) > 1, s) for s in toxicity.SPREADS]
+    assert any(np.allclose([found[i]["log_ratio"] for i, _ in rows], x) for x in all_)
+    by_ratio = [found[i]["score"] for i in sorted(found, key=lambda i: found[i]["log_ratio"])]
+    assert by_ratio == sorted(by_ratio) and by_ratio[0] < 0.2 and by_ratio[-1] > 0.8
+
+
+def test_rejecting_keeps_columns_by_value(spark):
+    rows = [(i, f"{'rascal' if i % 4 == 0 else 'fine'} words {i}", "mine", i) for i in range(800)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int")
+    kept = toxicity.reject_toxic(docs_, labels)
+    assert kept.columns == docs_.columns
+    assert sorted(map(tuple, kept.collect())) == [x for x in rows if x[0] % 4]
 
 
 # --- 7

@@ -193,11 +193,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD
                 yield _table(dict(zip(places_of, [keys[0][part][of], keys[1][part][of], *found], strict=True)), places_of)
 
     places = hashed.mapInArrow(cut, "k1 long, k2 long, start int, windows int, anchor long, content long")
-    shared = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    places = settle(places.join(shared, "anchor"))
+    shared = settle(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    places = settle(places.join(narrow(shared), "anchor"))
     distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", (F.col("n") > crowded).alias("crowded"), (F.col("n") == 1).alias("alone"))
-    distinct = settle(distinct.select("anchor", "content", "times", "at.*").join(per_anchor, "anchor"))
+    distinct = settle(distinct.select("anchor", "content", "times", "at.*"))
+    per_anchor = settle(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", (F.col("n") > crowded).alias("crowded"), (F.col("n") == 1).alias("alone")))
+    distinct = distinct.join(narrow(per_anchor), "anchor")
     several = distinct.filter("NOT alone AND NOT crowded")
     n_words = several.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
     n_shards = int(n_words // shard_words + 1)
@@ -289,8 +290,8 @@ def _remove(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with a column ``repeats`` (n_words, n_removed, kept).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, column: str = "repeats") -> DataFrame:
+    """``docs`` with a column ``repeats`` (n_words, n_removed, kept), or one of another name.
 
     A word goes if some window of ``length`` words that covers it starts anywhere
     else as well, in the same document or another; ``kept`` joins the others by
@@ -300,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keys = ["__k1", "__k2"]
     spans = find_repeats(docs, length).toDF(*keys, "__spans")
     named = docs.withColumns(dict(zip(keys, row_key(F.col("doc_id"), F.col("text")), strict=True)))
-    return named.join(spans, keys, "left").withColumn("repeats", _remove(F.col("text"), F.col("__spans"))).drop(*keys, "__spans")
+    return named.join(spans, keys, "left").withColumn(column, _remove(F.col("text"), F.col("__spans"))).drop(*keys, "__spans")
 
 
 def kept_digest(repeats: Column) -> list[Column]:
