@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import most_frequent
+from .common import most_frequent, settle
 from .tokens import BYTE_LEVEL_SPLIT, UNUSUAL, by_size, encoder
 
 LEXICON_WORDS = 65_536
@@ -140,7 +140,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS) -> list[str]:
         yield pd.DataFrame(rows, columns=["word", "n"])
 
     counts = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in most_frequent(counts, most).collect()]
+    return [r["word"] for r in most_frequent(settle(counts), most).collect()]
 
 
 class Codec:
@@ -253,12 +253,17 @@ def encode_documents(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> D
 
 
 def decode_documents(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids in a column of its own."""
+    """``encoded`` with the text of its ids in a column of its own.
+
+    Null ids stay null, no ids are the empty text. All rows and other columns are
+    kept, but for a column of that name, which is replaced. The ids must be those
+    of the same tokenizer file.
+    """
 
     @F.pandas_udf(T.StringType())
     def decode(ids: pd.Series) -> pd.Series:
-        plain = _codecs.setdefault((path, ""), Codec(path)) if not _codecs else next(iter(_codecs.values()))
-        return pd.Series([plain.decode(np.frombuffer(x, plain.encoder.dtype)) for x in ids])
+        plain = next((c for (known, _), c in _codecs.items() if known == path), None) or _codecs.setdefault((path, ""), Codec(path))
+        return pd.Series([None if x is None else plain.decode(np.frombuffer(x, plain.encoder.dtype)) for x in ids])
 
     return encoded.withColumn(column, decode("ids"))
 
@@ -266,7 +271,9 @@ def decode_documents(encoded: DataFrame, path: str, column: str = "decoded") ->
 def round_trip(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> DataFrame:
     """``docs`` with the digests of its ids and of their decoded text, without keeping either.
 
-    Adds n_tokens, ids_sha256 (of the ids as 32-bit integers) and decoded_sha256.
+    Adds n_tokens, ids_sha256 (of the ids as 32-bit integers) and decoded_sha256;
+    columns of these names are replaced. Null texts count as empty, which have no
+    ids; repeated rows and rows without an id are kept like all others.
     """
     name = publish(docs, path, most)
 
