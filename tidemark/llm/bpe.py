@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import most_frequent, settle
-from .tokens import BYTE_LEVEL_SPLIT, UNUSUAL, by_size, encoder
+from .common import most_frequent, settle, small_batches
+from .tokens import BYTE_LEVEL_SPLIT, UNUSUAL, by_size, encoder, encoders
 
 LEXICON_WORDS = 65_536
 #: Words counted at a time in one task.
@@ -152,7 +152,7 @@ class Codec:
     ids don't tell the order of merges, go to the tokenizers library.
     """
 
-    def __init__(self, path: str, lexicon: Transducer | None = None, keep: int = 200_000):
+    def __init__(self, path: str, lexicon: Transducer | None = None, keep: int = 50_000):
         self.encoder = encoder(path)
         self.lexicon, self.keep = lexicon, keep
         self.split = regex.compile(BYTE_LEVEL_SPLIT)
@@ -232,6 +232,12 @@ def codec(path: str, name: str) -> Codec:
     return _codecs[path, name]
 
 
+def release() -> None:
+    """Lets go of this process's codecs and encoders."""
+    _codecs.clear()
+    encoders.clear()
+
+
 def encode_documents(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> DataFrame:
     """``docs`` with the columns ids (packed integers of ``id_bytes`` bytes) and id_bytes.
 
@@ -275,15 +281,18 @@ def round_trip(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> DataFra
     columns of these names are replaced. Null texts count as empty, which have no
     ids; repeated rows and rows without an id are kept like all others.
     """
+    small_batches(docs.sparkSession)
     name = publish(docs, path, most)
 
     @F.pandas_udf(DIGESTS)
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        use, out, values = codec(path, name), [], texts.tolist()
-        for cut in by_size(values):
-            for packed in use.encode(values[cut]):
-                ids = np.frombuffer(packed, use.encoder.dtype)
-                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(use.decode(ids).encode()).hexdigest()))
-        return pd.DataFrame(out, columns=DIGESTS.names)
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            use, out, values = codec(path, name), [], texts.tolist()
+            for cut in by_size(values):
+                for packed in use.encode(values[cut]):
+                    ids = np.frombuffer(packed, use.encoder.dtype)
+                    out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(use.decode(ids).encode()).hexdigest()))
+            yield pd.DataFrame(out, columns=DIGESTS.names)
+        release()  # the worker may go on to other work
 
     return docs.withColumn("__digest", digest("text")).select(*(docs[c] for c in docs.columns if c not in DIGESTS.names), "__digest.*")

@@ -73,10 +73,20 @@ def settle(df: DataFrame) -> DataFrame:
 def gather(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df``, a table of a few longs, settled and read in as few parts as have about ``rows`` rows each.
 
-    A small one is a single part, in which Spark joins and groups without a shuffle.
+    A small one is a single part, in which Spark joins and groups without a
+    shuffle; one of ``BROADCAST_BYTES`` at most is marked for broadcast.
     """
     settled = settle(df)
-    return settled.coalesce(settled.count() // rows + 1)
+    n = settled.count()
+    parts = settled.coalesce(n // rows + 1)
+    return F.broadcast(parts) if n * 8 * len(df.columns) <= BROADCAST_BYTES else parts
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets at most ``rows`` texts go to Python at a time, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):  # Spark's default is made for short rows
+        spark.conf.set(name, str(rows))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gather, lower_ascii, narrow, settle, word_hashes
+from .common import gather, lower_ascii, settle, small_batches, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -148,7 +148,7 @@ def met(classes: DataFrame, side: str) -> DataFrame:
     """(key, id, n): the keys of one collection that n classes have, more than one. A key tells its place."""
     rows = classes.select("id", F.explode(side).alias("key"))
     common = gather(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    return rows.join(narrow(common), "key")
+    return rows.join(common, "key")
 
 
 def compare(pairs: DataFrame, sets: DataFrame, changes: bool = False) -> DataFrame:
@@ -158,8 +158,8 @@ def compare(pairs: DataFrame, sets: DataFrame, changes: bool = False) -> DataFra
     lacks, ``lacks``. Each pair's set of u goes where the set of v is, which goes
     there once.
     """
-    u = sets.join(narrow(pairs.select(F.col("u").alias("id"), "v")), "id").select(F.col("id").alias("u"), "v", F.col("shingles").alias("su"))
-    v = sets.join(narrow(pairs.select(F.col("v").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
+    u = sets.join(pairs.select(F.col("u").alias("id"), "v"), "id").select(F.col("id").alias("u"), "v", F.col("shingles").alias("su"))
+    v = sets.join(pairs.select(F.col("v").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("v"), F.col("shingles").alias("sv"))
     columns = ["u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("common")]
     return u.join(v, "v").select(*columns, *([F.array_except("su", "sv").alias("extra"), F.array_except("sv", "su").alias("lacks")] if changes else []))
 
@@ -178,12 +178,12 @@ def placed(rows: DataFrame, groups: DataFrame, name: str = "id", as_: str = "c")
 def in_open(rows: DataFrame) -> DataFrame:
     """``rows(key, id, c, ..)`` under those keys whose classes are in more than one component."""
     mixed = gather(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key"))
-    return rows.join(narrow(mixed), "key", "left_semi")
+    return rows.join(mixed, "key", "left_semi")
 
 
 def stars_of(rows: DataFrame) -> DataFrame:
     """(key, star): the class under each key that meets others most."""
-    return narrow(gather(rows.groupBy("key").agg(F.max(F.struct("fame", "id")).alias("star"))))
+    return gather(rows.groupBy("key").agg(F.max(F.struct("fame", "id")).alias("star")))
 
 
 def centred(stars: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def undecided(changes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """
     x = placed(placed(changes, groups), groups, "v", "cv").withColumn("apart", F.col("c") != F.col("cv")).drop("cv")
     some = x.filter("apart").select("v").distinct()
-    x = settle(x.join(narrow(gather(some)), "v", "left_semi"))
+    x = settle(x.join(gather(some), "v", "left_semi"))
     apart = x.filter("apart")
     second = lambda df, names: df.select("v", *(F.col(c).alias(f"{c}_") for c in names))
     # What both sides need beyond the changes in common: nothing if it is at most 0.
@@ -279,6 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     their component is null and they are kept. Ids are taken to be integers; other
     columns play no part.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(signatures(source.select("doc_id", word_hashes(lower_ascii(F.col("text"))).alias("words")), keys))
     named = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
@@ -290,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, keys: int = KEYS) -> Dat
     meeting = gather(left.select("id").distinct().join(right.select("id").distinct(), "id", "left_semi"))
 
     # The sets of all classes that meet another one.
-    texts = source.withColumnRenamed("doc_id", "id").join(narrow(meeting), "id", "left_semi").select("id", F.xxhash64("text").alias("k"), "text").dropDuplicates(["id", "k"])
+    texts = source.withColumnRenamed("doc_id", "id").join(meeting, "id", "left_semi").select("id", F.xxhash64("text").alias("k"), "text").dropDuplicates(["id", "k"])
     sets = settle(shingle_sets(texts.select("id", "text")))
 
     # How often a class meets others: the text that they are copies of does so most.
@@ -334,9 +335,9 @@ def keep_representatives(docs: DataFrame, percent: int = 75) -> DataFrame:
     do those whose texts are null or have no words. Columns stay as they are.
     """
     dropped = gather(near_duplicates(docs, percent).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
-    left = docs.join(narrow(dropped), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    left = docs.join(dropped, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
     named = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__k"))
     repeated = gather(named.groupBy("__id", "__k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__id").distinct())
     again = F.col("doc_id") == F.col("__id")
-    one = left.join(narrow(repeated), again, "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(narrow(repeated), again, "left_anti").unionByName(one)
+    one = left.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, again, "left_anti").unionByName(one)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, narrow, row_key, settle, word_hashes
+from .common import BROADCAST_BYTES, gather, narrow, row_key, settle, small_batches, word_hashes
 from .near_dedup import mix
 
 LENGTH = 35
@@ -180,6 +180,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD
     5. The marks go back to all places of each fragment.
     Spans are (start, end) in words.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), "text")
     hashed = rows.select("k1", "k2", word_hashes(F.col("text")).alias("words"))
     long, small = pa.int64(), pa.int32()
@@ -193,12 +194,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, shard_words: int = SHARD
                 yield _table(dict(zip(places_of, [keys[0][part][of], keys[1][part][of], *found], strict=True)), places_of)
 
     places = hashed.mapInArrow(cut, "k1 long, k2 long, start int, windows int, anchor long, content long")
-    shared = settle(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
-    places = settle(places.join(narrow(shared), "anchor"))
+    shared = gather(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"))
+    places = settle(places.join(shared, "anchor"))
     distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
     distinct = settle(distinct.select("anchor", "content", "times", "at.*"))
-    per_anchor = settle(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", (F.col("n") > crowded).alias("crowded"), (F.col("n") == 1).alias("alone")))
-    distinct = distinct.join(narrow(per_anchor), "anchor")
+    per_anchor = gather(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).select("anchor", (F.col("n") > crowded).alias("crowded"), (F.col("n") == 1).alias("alone")))
+    distinct = distinct.join(per_anchor, "anchor")
     several = distinct.filter("NOT alone AND NOT crowded")
     n_words = several.agg(F.sum(F.col("windows") + (length - 1))).first()[0] or 0
     n_shards = int(n_words // shard_words + 1)

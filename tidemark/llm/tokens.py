@@ -7,6 +7,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 
@@ -66,11 +67,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.vocabulary = Vocabulary(path)
         self.code = "H" if self.vocabulary.size <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
@@ -82,6 +79,16 @@ class Encoder:
             marks = sorted(self.vocabulary.special, key=len, reverse=True)
             self.marks = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own encoder, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode(self, text: str | None) -> bytes:
         """The packed ids of one text; a null text has none."""
         if not text:
@@ -95,14 +102,14 @@ class Encoder:
         return array(self.code, [i for part in ids for i in part]).tobytes()
 
 
-_encoders: dict[str, Encoder] = {}
+encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
     """This process's encoder for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def by_size(texts: Iterable[str | bytes | None], most: int = 1_000_000) -> Iterator[slice]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, narrow, remainder, row_key, settle
+from .common import gather, remainder, row_key, settle, small_batches
 
 #: How many standard deviations of an expression's count are discounted; the
 #: calibration rows choose one of them.
@@ -102,7 +102,7 @@ def class_counts(rows: DataFrame) -> DataFrame:
     same = rows.withColumn("same", F.xxhash64("text"))
     firsts = gather(same.groupBy("same", "toxic").agg(F.min("doc_id").alias("doc_id")))
     # Of equal texts of a class one is read; rows that repeat it under its id are merged below.
-    texts = same.join(narrow(firsts), ["same", "toxic", "doc_id"], "left_semi").select("doc_id", "same", "text", "toxic")
+    texts = same.join(firsts, ["same", "toxic", "doc_id"], "left_semi").select("doc_id", "same", "text", "toxic")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[np.ndarray]] = [[], []]
@@ -188,6 +188,7 @@ def judged(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
     See ``score_toxicity``, which hands these out under their names.
     """
+    small_batches(docs.sparkSession)
     fold = remainder(F.col("doc_id"), folds)
     labelled = with_labels(docs, labels).filter(fold != 0)
     share = min(1.0, 0.95 * SAMPLE / max(1, labelled.filter(fold == 1).count()))
