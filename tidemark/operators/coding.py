@@ -17,61 +17,68 @@ from .posts import named_terms
 
 UNMATCHED = "Manual review"
 GENERAL = "General or unclear"
-#: A layer with more rules than this is joined without a broadcast.
-BROADCAST_RULES = 100_000
+#: Rules of up to so many bytes are sent to every task.
+BROADCAST_BYTES = 64 << 20
 
 POST_COLUMNS = ("id", "extractor", "title", "webpage_url", "like_count", "view_count")
 
 
-def _layer(rules: DataFrame, layer: str) -> DataFrame:
-    return rules.filter(F.col("layer") == layer).select("priority", "kind", "pattern", "label")
+#: Of each layer the name of its code, what its patterns are compared with, and the code without a rule.
+LAYERS = {
+    "canonical": ("canonical", lambda term: F.lower(F.trim(term)), lambda term: title_case(F.trim(term))),
+    "status": ("status_category", term_key, lambda term: F.lit(UNMATCHED)),
+    "target": ("target_group", term_key, lambda term: F.lit(GENERAL)),
+}
 
 
-def first_match(terms: DataFrame, rules: DataFrame, key: str = "key") -> DataFrame:
-    """(key, label): the label of the first rule that fits each distinct ``key``.
+def code_terms(terms: DataFrame, rules: DataFrame, layers: tuple[str, ...] = tuple(LAYERS), col: str = "term") -> DataFrame:
+    """(col, a code of each layer) for the distinct terms, all layers in one pass over them.
 
-    Exact rules meet their terms by an equality join; only terms that have to be
-    searched meet the searching rules, and only on the dictionary of terms.
+    Exact rules meet their terms by an equality join; the searching ones are tried
+    on the distinct terms of their layer. Rules that measure little enough are
+    broadcast; others are dealt out by pattern, or by layer if they search. Null
+    terms are terms without a rule.
     """
-    exact, search = rules.filter("kind <> 'regex'"), rules.filter("kind <> 'exact'")
-    if rules.count() <= BROADCAST_RULES:
-        exact, search = F.broadcast(exact), F.broadcast(search)
-    equal = terms.join(exact, terms[key] == exact["pattern"]).select(key, "priority", "label")
-    inside = (F.col("kind") == "contains") & (F.length("pattern") > 3) & F.contains(F.col(key), F.col("pattern"))
-    found = terms.join(search, inside | ((F.col("kind") == "regex") & F.regexp_like(F.col(key), F.col("pattern")))).select(key, "priority", "label")
-    return equal.unionByName(found).groupBy(key).agg(F.min_by("label", "priority").alias("label"))
+    used = rules.filter(F.col("layer").isin(*layers))
+    size = used.agg(F.coalesce(F.sum(F.octet_length("pattern") + F.octet_length("label") + 40), F.lit(0))).first()[0]
+    sent = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+    code = F.struct("priority", "label")
+    exact = used.filter("kind <> 'regex'").groupBy("layer", F.col("pattern").alias("key")).agg(F.min(code).alias("listed"))
+    search = used.filter("kind <> 'exact'").select(F.col("layer").alias("of"), "kind", "pattern", code.alias("found"))
+    keys = F.array(*(F.struct(F.lit(x).alias("layer"), LAYERS[x][1](F.col(col)).alias("key")) for x in layers))
+    keyed = terms.select(col).distinct().select(col, F.explode(keys).alias("x")).select(col, "x.*")
+    inside = ((F.col("kind") == "contains") & (F.length("pattern") > 3) & F.contains("key", "pattern")) | ((F.col("kind") == "regex") & F.regexp_like("key", F.col("pattern")))
+    met = keyed.join(sent(exact), ["layer", "key"], "left").join(sent(search), (F.col("layer") == F.col("of")) & inside, "left")
+    mine = lambda x, c: F.min(F.when(F.col("layer") == x, F.col(c))).alias(f"{x}_{c}")
+    best = met.groupBy(col).agg(*(mine(x, c) for x in layers for c in ("listed", "found")))
+    codes = []
+    for x in layers:
+        name, _, default = LAYERS[x]
+        listed, found = F.col(f"{x}_listed"), F.col(f"{x}_found")
+        first = F.lit(True) if x == "status" else listed.priority <= F.coalesce(found.priority, listed.priority)
+        codes.append(F.coalesce(F.when(listed.isNotNull() & first, listed.label), found.label, listed.label, default(F.col(col))).alias(name))
+    return best.select(col, *codes)
 
 
 def canonicalize(terms: DataFrame, rules: DataFrame, col: str = "term") -> DataFrame:
     """(col, canonical) for distinct terms; without a rule, the term in title case."""
-    distinct = terms.select(col, F.lower(F.trim(col)).alias("key")).distinct()
-    labels = first_match(distinct.select("key").distinct(), _layer(rules, "canonical"))
-    return distinct.join(labels, "key", "left").select(col, F.coalesce("label", title_case(F.trim(col))).alias("canonical"))
-
-
-def _coded(terms: DataFrame, rules: DataFrame, layer: str, col: str, name: str, default: str) -> DataFrame:
-    distinct = terms.select(col, term_key(F.col(col)).alias("key")).distinct()
-    labels = first_match(distinct.select("key").distinct(), _layer(rules, layer))
-    return distinct.join(labels, "key", "left").select(col, F.coalesce("label", F.lit(default)).alias(name))
+    return code_terms(terms, rules, ("canonical",), col)
 
 
 def status_category(terms: DataFrame, rules: DataFrame, col: str = "term") -> DataFrame:
     """(col, status_category); listed terms first, then patterns, else for review."""
-    return _coded(terms, rules, "status", col, "status_category", UNMATCHED)
+    return code_terms(terms, rules, ("status",), col)
 
 
 def target_group(terms: DataFrame, rules: DataFrame, col: str = "term") -> DataFrame:
     """(col, target_group): the first group with an item equal to the term or in it."""
-    return _coded(terms, rules, "target", col, "target_group", GENERAL)
+    return code_terms(terms, rules, ("target",), col)
 
 
 def code_posts(posts: DataFrame, rules: DataFrame, col: str = "supplements") -> DataFrame:
     """C4: a row for each term of each post, with its position and all three codes."""
     mentions = posts.select(*(c for c in POST_COLUMNS if c in posts.columns), F.posexplode(named_terms(col)).alias("pos", "raw_term"))
-    terms = mentions.select("raw_term").distinct()
-    for code in (canonicalize, status_category, target_group):
-        mentions = mentions.join(code(terms, rules, "raw_term"), "raw_term")
-    return mentions
+    return mentions.join(code_terms(mentions, rules, col="raw_term"), "raw_term")
 
 
 def coding_coverage(coded: DataFrame) -> DataFrame:

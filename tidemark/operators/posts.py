@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CODING_SENTINELS, drop_sentinels, split_terms
-from ..schemas import METADATA, PLATFORMS
+from ..schemas import METADATA, PLATFORMS, Profile
 
 #: Shorter titles are too general to tell a copy by.
 TITLE_LENGTH = 15
@@ -51,6 +51,19 @@ def pick_results(base: DataFrame, alternative: DataFrame) -> DataFrame:
     return base if alternative.isEmpty() else alternative
 
 
+def run_profiles(df: DataFrame, profiles: Iterable[Profile], mode: str = "strict") -> dict[str, DataFrame]:
+    """For each profile, by name, its posts: on its topic, without copies if it says so.
+
+    A profile without any post is left out; one row is looked for to tell.
+    """
+    found = {}
+    for p in profiles:
+        inside = screen_flag(df, p.flag, mode)
+        if not inside.isEmpty():
+            found[p.name] = dedup_posts(inside) if p.dedup else inside
+    return found
+
+
 def union_ragged(parts: Sequence[DataFrame]) -> DataFrame:
     """Tables one below another; columns that one lacks are null there."""
     out = parts[0]

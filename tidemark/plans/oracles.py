@@ -68,9 +68,9 @@ ALIASED = "CASE lower(x) " + " ".join(f"WHEN {_q(k)} THEN {_q(n)}" for k, n in R
 REPORT = f"said AS (SELECT id, date, sentiment, marketing, misleading, {ALIASED} AS term FROM (SELECT *, unnest({parse('supplements')}) AS x FROM lenient))"
 _SYMPTOM = f"CASE WHEN lower(x) IN {_in(MOOD_WORDS)} THEN {_q(MOOD_LABEL)} ELSE lower(x) END"
 _SHOWN = f"list_transform(list_transform(list_filter({{}}, lambda x: lower(x) NOT IN {_in(SYMPTOM_EXCLUSIONS)}), lambda x: {_SYMPTOM}), lambda y: CASE WHEN y = {_q(MOOD_LABEL)} THEN 'Mood Changes' ELSE upper(y[1]) || substr(y, 2) END)"
-LINKS = "links AS (SELECT page_id, url AS link, CAST(page_id % 60 AS VARCHAR) || ':0' || CAST(page_id % 10 AS VARCHAR) AS duration, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/?#]*)', 1) AS source, 'someone' AS author FROM pages), old AS (SELECT * FROM links WHERE page_id % 3 <> 0), now AS (SELECT * FROM links WHERE page_id % 2 = 0)"
+LINKS = "links AS (SELECT page_id, url AS link, CAST(page_id % 60 AS VARCHAR) || ':0' || CAST(page_id % 10 AS VARCHAR) AS duration, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '^https?://([^/?#]*)', 1) AS source, 'someone' AS author FROM pages), old AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN link || '&old' ELSE link END AS link, duration, title, source, author FROM links), now AS (SELECT * FROM links)"
 MERGED = "merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY age, page_id) AS r FROM (SELECT *, 0 AS age FROM now UNION ALL SELECT *, 1 AS age FROM old)) WHERE r = 1)"
-META = "meta AS (SELECT CAST(doc_id AS VARCHAR) AS file_key, source AS extractor, string_split(text, chr(10))[1] AS title, substr(text, 1, 20) AS description, n_chars AS view_count, n_chars % 7 AS like_count, CASE WHEN lang = 'de' THEN 'mp3' WHEN lang <> 'en' THEN lang END AS ext FROM documents)"
+META = "meta AS (SELECT CAST(doc_id AS VARCHAR) AS file_key, source AS extractor, string_split(text, chr(10))[1] AS title, text AS description, n_chars AS view_count, n_chars % 7 AS like_count, CASE WHEN lang = 'de' THEN 'mp3' WHEN lang <> 'en' THEN lang END AS ext FROM documents)"
 SECONDS = "secs AS (SELECT event_id, CAST(minute(ts) AS VARCHAR) || ':' || lpad(CAST(second(ts) AS VARCHAR), 2, '0') AS clock, minute(ts) * 60 + second(ts) AS seconds FROM events)"
 DOCS = f"docs AS (SELECT *, {COPIES} FROM (SELECT CAST(doc_id AS VARCHAR) AS id, string_split(text, chr(10))[1] AS title, CAST(n_chars AS DOUBLE) AS duration, doc_id AS view_count, lang AS extractor FROM documents))"
 RAW_DATES = "raw AS (SELECT o_orderkey, o_orderkey % 5 AS k, CAST(o_orderdate AS DATE) AS day FROM orders)"
@@ -104,6 +104,13 @@ _STRESSED = "replace(symptoms, 'ECONOMY', 'Stress')"
 _SYMPTOMS = f"syms AS (SELECT unnest({_SHOWN.format(split('symptoms'))}) AS symptom FROM scope WHERE symptoms IS NOT NULL AND lower(symptoms) <> 'none')"
 
 SQL: dict[str, str] = {
+    "annotate": f"WITH {META}, asked AS (SELECT file_key, length('From ' || coalesce(extractor, '') || ' by an unknown uploader: ' || coalesce(title, '')) AS n FROM meta) SELECT file_key, CASE WHEN n % 9 <> 0 THEN '{{\"length\": ' || n || '}}' END AS response, CAST(CASE WHEN n % 9 <> 0 THEN 1 ELSE 3 END AS INTEGER) AS attempts, CASE WHEN n % 9 = 0 THEN 'JSONDecodeError: Expecting value: line 1 column 1 (char 0)' END AS error FROM asked",
+    "run_profiles": f"WITH {POSTS}, copies AS (SELECT *, {COPIES} FROM posts WHERE topic) SELECT 'first' AS profile, id FROM copies WHERE copy = 1 UNION ALL SELECT 'second', id FROM posts WHERE marketing",
+    "union_ragged": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS customer, NULL AS lang FROM orders UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, lang FROM documents",
+    "links_written_and_read": f"WITH {LINKS} SELECT link, duration, nullif(trim(title), '') AS title, source, author FROM links",
+    "link_list_written_and_read": f"WITH {LINKS} SELECT DISTINCT link AS term FROM links",
+    "posts_written_and_read": f"WITH {POSTS} SELECT id, title, extractor, sentiment, view_count, supplements FROM posts",
+    "coding_written_and_read": f"WITH {CODED} SELECT 'mentions' AS name, count(*) AS n FROM coded UNION ALL SELECT 'mapping', count(DISTINCT raw_term) FROM coded",
     "top_terms": f"WITH {SCOPE}, {MENTIONS} {_top('mentions', 'canonical', 10)}",
     "platform_summary": f"WITH {SCOPE} {_SUMMARY}",
     "platform_summary_coerced": f"WITH {LENIENT} SELECT extractor, count(*) AS n_posts, CAST(sum(CASE WHEN like_count % 7 = 0 THEN 0 ELSE like_count END) AS DOUBLE) AS like_count, CAST(sum(view_count) AS DOUBLE) AS view_count, CAST(0 AS DOUBLE) AS comment_count FROM lenient GROUP BY extractor",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import annotate, coding, funnel, links, posts, stats
 from ..schemas import Profile
+from ..sources import files
 from . import views as v
 
 #: The profile of the event properties.
@@ -105,7 +106,53 @@ def _pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.pick_results(found, found.filter("file_key = 'none'")).select("file_key")
 
 
+def _run_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three profiles over all posts; the last has none and is left out."""
+    made = [Profile(name, flag, (), (), (), dedup=name == "first") for name, flag in (("first", v.FLAG), ("second", "marketing"), ("third", "sentiment"))]
+    found = posts.run_profiles(v.posts(spark, sf_dir), made, "text")
+    return v.union_all([df.select(F.lit(name).alias("profile"), "id") for name, df in found.items()])
+
+
+def _union_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").alias("customer"))
+    return posts.union_ragged([orders, v.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")])
+
+
+def _links_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All links as CSV, written and read."""
+    path = files.shared_folder(spark, "links")
+    files.write_links(v.links(spark, sf_dir).drop("page_id"), path)
+    return files.read_links(spark, path).withColumn("title", F.nullif(F.trim("title"), F.lit("")))
+
+
+def _link_list_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct links as lines, written and read as terms."""
+    path = files.shared_folder(spark, "list")
+    files.write_link_list(v.links(spark, sf_dir), path)
+    return files.read_terms(spark, path)
+
+
+def _posts_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts as Parquet, written and read."""
+    path = files.shared_folder(spark, "posts") + ".parquet"
+    files.write_posts(v.posts(spark, sf_dir), path)
+    return files.read_posts(spark, path).select("id", "title", "extractor", "sentiment", "view_count", "supplements")
+
+
+def _coding_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coded mentions and the mapping of terms, written and counted."""
+    folder, table = files.shared_folder(spark, "coding"), coded(spark, sf_dir)
+    files.write_coding({"mentions": table, "mapping": coding.term_mapping(table)}, folder)
+    return v.union_all([spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in ("mentions", "mapping")])
+
+
 Q: dict[str, v.Query] = {
+    "run_profiles": _run_profiles,
+    "union_ragged": _union_ragged,
+    "links_written_and_read": _links_again,
+    "link_list_written_and_read": _link_list_again,
+    "posts_written_and_read": _posts_again,
+    "coding_written_and_read": _coding_again,
     # terms and statistics
     "top_terms": lambda s, d: stats.top_terms(scope(s, d), v.rules(s)),
     "platform_summary": lambda s, d: stats.platform_summary(scope(s, d)),

@@ -83,11 +83,14 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(spark, sf_dir).filter("page_id % 3 <> 0")
+    """All pages as they were linked before: every third by an address that has changed since."""
+    old = F.when(F.col("page_id") % 3 == 0, F.concat("link", F.lit("&old"))).otherwise(F.col("link"))
+    return links(spark, sf_dir).withColumn("link", old)
 
 
 def links_now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links(spark, sf_dir).filter("page_id % 2 = 0")
+    """All pages as links of today."""
+    return links(spark, sf_dir)
 
 
 def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +112,7 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
     return docs.select(
         F.col("doc_id").cast("string").alias("file_key"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("extractor"), F.col("source").alias("channel"), *nothing("string", "channel_id", "uploader", "uploader_id"),
-        F.element_at(F.split("text", "\n"), 1).alias("title"), F.substr("text", F.lit(1), F.lit(20)).alias("description"), *nothing("long", "timestamp"), F.col("n_chars").alias("view_count"), (F.col("n_chars") % 7).alias("like_count"), *nothing("long", "comment_count"),
+        F.element_at(F.split("text", "\n"), 1).alias("title"), F.col("text").alias("description"), *nothing("long", "timestamp"), F.col("n_chars").alias("view_count"), (F.col("n_chars") % 7).alias("like_count"), *nothing("long", "comment_count"),
         F.col("n_chars").cast("double").alias("duration"), F.lit("20240101").alias("upload_date"), F.lit("u").alias("webpage_url"), F.when(F.col("lang") == "de", "mp3").when(F.col("lang") != "en", F.col("lang")).alias("ext"),
     )
 

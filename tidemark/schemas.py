@@ -48,7 +48,7 @@ SUPPLEMENTS = Profile(
     ("usefulness", "misleading", "quality", "emotional_intensity"), ("problem_solution",), dedup=True,
 )
 PARENTING = Profile(
-    "parenting", "timeout", ("alternative_strategies",), ("description", "transcript", "sentiment", "parenting_approach", "child_age", "criticism"),
+    "parenting", "topic", ("alternative_strategies",), ("description", "transcript", "sentiment", "parenting_approach", "child_age", "criticism"),
     ("usefulness", "misleading", "quality", "emotional_intensity"), ("asd", "adhd", "anxiety"),
 )
 PROFILES = {p.name: p for p in (SUPPLEMENTS, PARENTING)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,20 @@ RESULT_SUFFIX, METADATA_SUFFIX = ".result.json", ".info.json"
 _TEXT_FILE = T.StructType([T.StructField("value", T.StringType())])
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` that driver and executors share, below ``spark.checkpoint.dir``.
+
+    In a local session without that setting a temporary folder does; anywhere else
+    it has to be set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors reach")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """A links table from CSV with header; quoted titles can span lines."""
     return spark.read.schema(LINKS).csv(path, header=True, multiLine=True, quote='"', escape='"')
@@ -57,6 +73,9 @@ def _reason() -> Column:
 
 def good_results(files: DataFrame) -> DataFrame:
     said = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    # A sentiment of another type than text is none.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.sentiment", "variant"))
+    said = F.transform_values(said, lambda k, v: F.when((k != "sentiment") | (kind == "STRING"), v))
     return files.filter(_reason().isNull()).select("file_key", said.alias("annotation"))
 
 
