@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -10,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>
-    |<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>"']|"[^"]{0,100000}"|'[^']{0,100000}')*+|[^>]*)>""",
-    re.S | re.X,
-)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile("[>\"']")
+#: A quoted value in a tag is this long at most; else its quote is a character like others.
+VALUE = 100_000
+#: Elements nested deeper than this are read as part of the one they stand in.
+DEPTH = 512
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements whose content is no markup.
@@ -45,9 +47,9 @@ class Node:
         self.points: float | None = None
 
 
-def _judge(tag: str, rest: str, inside: set[str]) -> tuple[bool, int]:
+def _judge(tag: str, rest: str, inside: bool) -> tuple[bool, int]:
     """Whether an element is out, and what its class and id add to its worth."""
-    out = tag in OUT or (tag == "header" and not inside & {"article", "main"})
+    out = tag in OUT or (tag == "header" and not inside)
     if "=" not in rest and "hidden" not in rest:
         return out, 0
     found = {k.lower(): unescape(a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(rest)}
@@ -62,53 +64,129 @@ def _judge(tag: str, rest: str, inside: set[str]) -> tuple[bool, int]:
     return out, 25 * bool(likely) - 25 * bool(unlikely)
 
 
+class Scanner:
+    """Finds the tags of a page, each character looked at a few times at most however broken the page is."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.gone: set[str] = set()  # what isn't to be found behind here
+        self.quotes = True
+
+    def _find(self, what: str, at: int, stop: int | None = None) -> int:
+        if what in self.gone:
+            return -1
+        found = self.html.find(what, at) if stop is None else self.html.find(what, at, stop)
+        if found < 0 and (stop is None or stop >= len(self.html)):
+            self.gone.add(what)
+        return found
+
+    def _end(self, at: int) -> int:
+        """The place of the tag's ``>``; those in quotes don't count, unless no other is left."""
+        here = at
+        while self.quotes:
+            m = STOP.search(self.html, here)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                close = self._find(m[0], m.end(), m.end() + VALUE)
+                if close < 0:
+                    break
+                here = close + 1
+        return self._find(">", at)
+
+    def tags(self) -> Iterator[tuple[int, int, str | None, bool, str]]:
+        """(start, end, name, whether it closes, attributes) of each tag; comments and the like have no name.
+
+        A caller who sends a place makes it go on from there.
+        """
+        html, at = self.html, 0
+        while (lt := html.find("<", at)) >= 0:
+            first = html[lt + 1 : lt + 2]
+            name, close, rest = None, first == "/", ""
+            if html.startswith("<!--", lt):
+                end = self._find("-->", lt + 4)
+                end = len(html) if end < 0 else end + 3
+            elif html.startswith("<![CDATA[", lt) and (end := self._find("]]>", lt)) >= 0:
+                end += 3
+            elif first in ("!", "?"):
+                end = self._find(">", lt) + 1
+            elif m := NAME.match(html, lt + 1 + close):
+                end = self._end(m.end()) + 1
+                name, rest = m[0].lower(), html[m.end() : end - 1]
+            else:
+                at = lt + 1
+                continue
+            if not end:  # no tag is closed any more
+                return
+            at = (yield lt, end, name, close, rest) or end
+
+
 def parse(html: str) -> Node:
     """The tree of a page's block elements. Inline elements leave only their text."""
     root = here = Node("#", None)
-    at, in_link, lower = 0, False, None
-    while m := TAG.search(html, at):
-        if m.start() > at:
-            here.parts.append((html[at : m.start()], in_link))
-        at = m.end()
-        name = m["name"]
+    opened: Counter[str] = Counter()
+    depth, at, in_link = 0, 0, False
+    raw_end: dict[str, re.Pattern] = {}
+
+    def leave(node: Node) -> None:
+        """Makes the parent of ``node`` the present element."""
+        nonlocal here, depth
+        stop = node.parent
+        while here is not stop:
+            opened[here.tag] -= 1
+            depth -= 1
+            here = here.parent
+
+    tags, go_on = Scanner(html).tags(), None
+    while True:
+        try:
+            start, end, name, closes, rest = tags.send(go_on)
+        except StopIteration:
+            break
+        go_on = None
+        if start > at:
+            here.parts.append((html[at:start], in_link))
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name == "br" or name == "hr":
             here.parts.append((" " if name == "br" else None, False))
         elif name == "a":
-            in_link = not m["end"]
-        elif name in RAW and not m["end"]:
-            lower = html.lower() if lower is None else lower
-            stop = lower.find(f"</{name}", at)
-            at = len(html) if stop < 0 else stop
+            in_link = not closes
+        elif name in RAW and not closes:
+            pattern = raw_end.setdefault(name, re.compile(f"</{name}", re.I))
+            m = pattern.search(html, at)
+            at = go_on = len(html) if m is None else m.start()
         elif name in BLOCKS:
-            in_link = in_link and not m["end"]
-            if m["end"]:
-                node = here
-                while node is not None and node.tag != name:
-                    node = node.parent
-                if node is not None and node.parent is not None:
-                    here = node.parent
+            in_link = in_link and not closes
+            if closes:
+                if opened[name]:
+                    node = here
+                    while node.tag != name:
+                        node = node.parent
+                    leave(node)
                 continue
             shut, limits = CLOSES.get(name, (set(), set()))
             node, close = here, None
-            while node.parent is not None and node.tag not in limits:
-                if node.tag in shut or node.tag == "p":
-                    close = node
-                if node.tag in ("table", "div", "section", "article", "main", "body", "li", "td", "blockquote") and node.tag not in shut:
-                    break
-                node = node.parent
-            here = close.parent if close is not None else here
+            if opened["p"] or any(opened[t] for t in shut):
+                while node.parent is not None and node.tag not in limits:
+                    if node.tag in shut or node.tag == "p":
+                        close = node
+                    if node.tag in ("table", "div", "section", "article", "main", "body", "li", "td", "blockquote") and node.tag not in shut:
+                        break
+                    node = node.parent
+            if close is not None:
+                leave(close)
             if here.tag in HEADINGS and name in HEADINGS | {"p", "div"}:
-                here = here.parent
-            inside, up = set(), here
-            while up is not None:
-                inside.add(up.tag)
-                up = up.parent
-            child = Node(name, here, *_judge(name, m["rest"] or "", inside))
+                leave(here)
+            child = Node(name, here, *_judge(name, rest, bool(opened["article"] or opened["main"])))
             here.parts.append(child)
-            here = child
+            if depth < DEPTH:
+                here = child
+                opened[name] += 1
+                depth += 1
     if at < len(html):
         here.parts.append((html[at:], in_link))
     return root
@@ -227,6 +305,7 @@ def extract(pages: DataFrame) -> DataFrame:
     of its siblings that score or read like it are kept, without menus, headers,
     footers, sidebars, notices, adverts, forms, scripts and comments inside.
 
+    The time for a page grows with its length only, however broken its markup.
     Returns page_id, url, text, n_chars (code points). Null, empty and textless
     pages have an empty text; a page without long texts gives its article, main or
     body. All rows are kept, whatever their ids; other columns are not read.
