@@ -88,6 +88,24 @@ def test_top_k_few(spark):
     assert {tuple(x) for x in topk.top_k(df, F.col("vec_id") == 0).collect()} == {(0, 1, 2, 768 * 256), (0, 2, 1, 512 * 256)}
 
 
+@pytest.mark.parametrize("dims,n", [(64, 700), (1, 50), (3, 4), (16, 5000)])
+def test_list_reads_give_the_scores(dims, n):
+    """Components of the same weight, ties, and large integers, against plain sums."""
+    r = np.random.default_rng(dims)
+    vectors = np.floor(r.normal(0, 40, (n, dims)))
+    vectors[n // 2 :: 7] = vectors[0]
+    if dims == 3:
+        vectors *= 1 << 22
+    ids = r.permutation(n) + 10
+    queries, query_ids = vectors[:9], ids[:9]
+    found = topk.no_random_access(queries, query_ids, vectors, ids, 5)
+    expected = []
+    for q, own in zip(queries, query_ids, strict=True):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(q, v, strict=True)), int(i)) for v, i in zip(vectors, ids, strict=True) if i != own)
+        expected += [(int(own), i, -s) for s, i in scores[:5]]
+    assert sorted(found) == sorted(expected)
+
+
 def test_lists_are_left_early():
     """Clear winners are found before the lists end, with the same result."""
     r = np.random.default_rng(0)
@@ -226,6 +244,16 @@ def test_html_of_depth_and_length():
     assert html_text.main_text('<a href="' * 3000) is not None
 
 
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>" * 200_000, "</section>" * 100_000 + "<div>" * 100_000 + "</p>" * 100_000, "<a '" * 200_000 + ">", "<![CDATA[" * 100_000, "<ul>" * 100_000, '<a ">" ' * 60_000, "<td><table>" + "<center>" * 600 + "<td></td>" * 30_000, "<!--" * 200_000])
+def test_time_grows_with_a_broken_page(page):
+    """Each of these takes minutes or more if a tag is looked for from every place."""
+    import time
+
+    start = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
 # --- 4, 5, 8
 
 

@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Vectors of a block of candidates, and of one of queries.
-BLOCK, QUERY_BLOCK = 4096, 512
-#: Parts of the lists that are read before bounds are looked at.
-DEPTHS = (1 / 16, 1 / 4, 1 / 2, 3 / 4)
-#: Candidates whose score may still count are resolved once so few are left.
-RESOLVE = 1 / 64
+BLOCK, QUERY_BLOCK = 4096, 128
+#: The lists are read in so many steps; after each but the first few bounds are looked at.
+STEPS, FIRST = 16, 2
 
 BLOCKS = "ids binary, vectors binary, width int"
 
@@ -55,41 +53,54 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
 def no_random_access(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """The k best of a block for each query: (query id, vector id, score).
 
-    Each component has a list of the block's vectors in order of its value. A
-    query reads every list from the end that its own component's sign makes the
-    best, all lists equally deep and only onward. What it has read of a vector
-    adds up to its score so far; an unread component adds at least what the worst
-    end of its list would and at most what the place just reached does. That
-    bounds every score from below and above, those of vectors that no list has
-    shown yet included. A vector whose upper bound is under the k-th best lower
-    bound is out. Once few are left, their scores are resolved by reading on; if
-    they stay many, the lists are read to their ends. Ties go to the smaller id.
+    Each component has a list of the block's vectors, (value, vector) in order of
+    value. A query reads every list from the end that its own component's sign
+    makes the best, all lists equally deep and only onward. What is read of a vector
+    is added to its lower bound, which counts the worst end of the lists for
+    components not read yet; the upper bound counts the places just reached instead.
+    A vector whose upper bound is under the k-th best lower bound, also one that no
+    list has shown yet, is out, and entries of vectors that are out for all queries
+    are passed over. The others are read on to the ends of the lists, where both
+    bounds are the score. Ties go to the smaller id.
     """
     n = len(ids)
-    ordered = np.sort(vectors, axis=0)
+    queries, vectors = queries.astype(np.int64), vectors.astype(np.int64)
+    order = np.argsort(vectors, axis=0, kind="stable")
+    ordered = np.take_along_axis(vectors, order, axis=0)
+    low, high = ordered[0], ordered[-1]
     up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T  # what reads from the top, and from the bottom
-    own = ids[:, None] == query_ids[None, :]
-    alive = ~own
-    for depth in (max(1, int(n * d)) for d in DEPTHS):
-        high, low = ordered[n - depth], ordered[depth - 1]
-        upper = np.maximum(vectors, high) @ up + np.minimum(vectors, low) @ down
-        lower = np.where(vectors >= high, vectors, ordered[0]) @ up + np.where(vectors <= low, vectors, ordered[-1]) @ down
-        lower[own] = -np.inf
-        if n > k:
-            alive &= upper >= np.partition(lower, n - k, axis=0)[n - k]
-        if alive.sum() <= RESOLVE * alive.size:
-            break
+    alive = ids[:, None] != query_ids[None, :]
+    lower = np.repeat((low @ up + high @ down)[None, :], n, axis=0)
+    live = np.ones(n, bool)
+    unread = np.ones((n, vectors.shape[1]), np.float64), np.ones((n, vectors.shape[1]), np.float64)
+    least = np.iinfo(np.int64).min
+    exact = float((np.abs(queries) @ np.maximum(np.abs(low), np.abs(high))).max(initial=0)) < 1 << 52
+
+    def read(places: slice, j: int, worst: int, weights: np.ndarray, open_: np.ndarray) -> None:
+        """Takes the next entries of a list."""
+        seen, values = order[places, j], ordered[places, j]
+        open_[seen, j] = 0
+        on = live[seen]
+        lower[seen[on]] += (values[on] - worst)[:, None] * weights[j]
+
+    depths = [n * step // STEPS for step in range(STEPS + 1)]
+    for step, (start, depth) in enumerate(zip(depths, depths[1:], strict=False)):
+        for j in range(vectors.shape[1]):
+            read(slice(n - depth, n - start), j, low[j], up, unread[0])
+            read(slice(start, depth), j, high[j], down, unread[1])
+        if step < FIRST or depth in (0, n) or n <= k:
+            continue
+        rows = np.flatnonzero(live)
+        gains = (ordered[n - depth] - low)[:, None] * up, (ordered[depth - 1] - high)[:, None] * down
+        kind = np.float64 if exact else np.int64  # products of floats are faster
+        more = sum(u[rows].astype(kind) @ g.astype(kind) for u, g in zip(unread, gains, strict=True)).astype(np.int64)
+        bounds = np.where(alive[rows], lower[rows], least)
+        if len(rows) > k:
+            alive[rows] &= lower[rows] + more >= np.partition(bounds, len(rows) - k, axis=0)[len(rows) - k]
+        live = alive.any(axis=1)
     out = []
-    if alive.sum() <= RESOLVE * alive.size:
-        row, column = np.nonzero(alive)
-        scores = (vectors[row] * queries[column]).sum(axis=1)
-    else:
-        full = vectors @ queries.T
-        if n > k:
-            full[own] = -np.inf
-            alive &= full >= np.partition(full, n - k, axis=0)[n - k]
-        row, column = np.nonzero(alive)
-        scores = full[row, column]
+    row, column = np.nonzero(alive)
+    scores = lower[row, column]
     order = np.lexsort((ids[row], -scores, column))
     row, column, scores = row[order], column[order], scores[order]
     place = np.arange(len(column)) - np.searchsorted(column, column)
@@ -110,8 +121,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     hold a null or non-finite component, take no part, nor do rows without an id;
     vectors of another width than the query's aren't compared with it. Rows that
     share an id are one row's copies: all but the query's own id are candidates,
-    each copy by itself, and a query is asked once per distinct vector. Scores
-    are exact while |score| < 2**53.
+    each copy by itself, and a query is asked once per distinct vector. Scores are
+    sums of 64-bit integers.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), integer_vectors(F.col("embedding"), scale).alias("vector"), is_query.alias("asks")).filter("id IS NOT NULL AND size(vector) > 0")
     settings = vectors.sparkSession.conf
