@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block of candidates, and of one of queries.
 BLOCK, QUERY_BLOCK = 4096, 128
-#: The lists are read in so many steps; after each but the first few bounds are looked at.
-STEPS, FIRST = 16, 2
+#: The lists are read in so many steps; after some of them bounds are looked at.
+STEPS, LOOKS = 16, (4, 8, 12, 14)
 
 BLOCKS = "ids binary, vectors binary, width int"
 
@@ -88,15 +88,16 @@ def no_random_access(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
         for j in range(vectors.shape[1]):
             read(slice(n - depth, n - start), j, low[j], up, unread[0])
             read(slice(start, depth), j, high[j], down, unread[1])
-        if step < FIRST or depth in (0, n) or n <= k:
+        if step + 1 not in LOOKS or not depth or n <= k:
             continue
         rows = np.flatnonzero(live)
         gains = (ordered[n - depth] - low)[:, None] * up, (ordered[depth - 1] - high)[:, None] * down
         kind = np.float64 if exact else np.int64  # products of floats are faster
         more = sum(u[rows].astype(kind) @ g.astype(kind) for u, g in zip(unread, gains, strict=True)).astype(np.int64)
-        bounds = np.where(alive[rows], lower[rows], least)
         if len(rows) > k:
-            alive[rows] &= lower[rows] + more >= np.partition(bounds, len(rows) - k, axis=0)[len(rows) - k]
+            bounds = np.ascontiguousarray(np.where(alive[rows], lower[rows], least).T)
+            bounds.partition(len(rows) - k, axis=1)
+            alive[rows] &= lower[rows] + more >= bounds[:, len(rows) - k]
         live = alive.any(axis=1)
     out = []
     row, column = np.nonzero(alive)
