@@ -49,3 +49,39 @@ def test_pipeline(spark, library, tmp_path):
         ids = library.encode(seen[3][i]["text"] or "", add_special_tokens=False).ids
         assert x["n_tokens"] == len(ids) and x["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert sorted(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(seen[4])
+
+
+def test_stages_handle_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, a text of 5 MB, and columns that clash with what the operators make."""
+    r = random.Random(12)
+    plain = [(i, some_words(r, 40)) for i in range(60)]
+    long = " ".join(f"w{i}" for i in range(700_000))
+    odd = [(100, None), (101, ""), (None, plain[0][1]), (None, None), plain[1], plain[1], (102, long)]
+    names = ["score", "predicted", "repeats", "component_id", "kept", "n_hit", "ids", "__c"]
+    made = [(i, t, *(f"{name} {k}" for name in names)) for k, (i, t) in enumerate(plain + odd)]
+    schema = "doc_id long, text string, " + ", ".join(f"{name} string" for name in names)
+    save = lambda name, data, kind: spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("labels", [(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    save("benchmark", [(1, "never in here"), (2, None)], "item_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name, data):
+        out = f"{tmp_path}/{name}-{len(data)}"
+        stages[name](spark, spark.createDataFrame(data, schema), str(tmp_path)).write.parquet(out)
+        return spark.read.parquet(out)
+
+    for name in ("toxicity", "near_dedup", "substring_dedup", "decontamination"):
+        found, columns = run(name, made), ["doc_id", "text", *names]
+        assert found.columns == columns and run(name, []).columns == columns
+        rows = sorted(map(tuple, found.collect()), key=str)
+        if name == "near_dedup":  # of three rows that repeat id and text one stays
+            assert len(rows) == len(made) - 2 and set(rows) < set(made)
+        elif name == "substring_dedup":  # what stands twice goes, from each of its rows
+            gone = {plain[0][1], plain[1][1]}
+            assert [x[2:] for x in rows] == [x[2:] for x in sorted(((x[0], "" if x[1] in gone else x[1], *x[2:]) for x in made), key=str)]
+            assert all(x[1] == ("" if m[1] in gone else m[1]) for x, m in zip(sorted(rows, key=lambda x: x[2]), sorted(made, key=lambda x: x[2]), strict=True))
+        else:
+            assert rows == sorted(made, key=str)
+    last = run("bpe", made)
+    assert last.count() == len(made) and [c for c in last.columns if c in names] == names
+    assert run("bpe", []).count() == 0
