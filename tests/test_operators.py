@@ -184,3 +184,22 @@ def test_writers(spark, tmp_path):
 def test_pick_results(spark):
     base, none = spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([], "a int")
     assert posts.pick_results(base, none) is base and posts.pick_results(none, base) is base
+
+
+def test_a_sentiment_that_is_no_text_is_none(spark):
+    said = [("a", '{"sentiment": 5, "n": 5}'), ("b", '{"sentiment": "Good"}'), ("c", '{"n": 1}'), ("d", '{"sentiment": null}')]
+    found = {r["file_key"]: r["annotation"] for r in files.good_results(spark.createDataFrame(said, "file_key string, value string")).collect()}
+    assert found == {"a": {"sentiment": None, "n": "5"}, "b": {"sentiment": "Good"}, "c": {"n": "1"}, "d": {"sentiment": None}}
+
+
+def test_listed_terms_go_before_patterns(spark):
+    made = spark.createDataFrame([("status", 1, "regex", "zinc", "Pattern"), ("status", 2, "exact", "zinc", "Listed")], schemas.RULES)
+    found = coding.status_category(spark.createDataFrame([("Zinc",), ("zinc oxide",), ("iron",), (None,)], "term string"), made).collect()
+    assert {(r["term"], r["status_category"]) for r in found} == {("Zinc", "Listed"), ("zinc oxide", "Pattern"), ("iron", coding.UNMATCHED), (None, coding.UNMATCHED)}
+
+
+def test_profiles_without_posts_are_left_out(spark):
+    rows = spark.createDataFrame([("1", "a title of some length", 1.0, 5, True, False), ("2", "A title of some length", 1.0, 9, True, False)], POST + ", one boolean, two boolean")
+    made = [schemas.Profile("x", "one", (), (), (), dedup=True), schemas.Profile("y", "two", (), (), ()), schemas.Profile("z", "one", (), (), ())]
+    found = posts.run_profiles(rows, made)
+    assert {name: sorted(r["id"] for r in df.collect()) for name, df in found.items()} == {"x": ["2"], "z": ["1", "2"]}
