@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empties, repeats and odd columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -580,80 +581,95 @@ def test_most_frequent(spark):
     assert checkpoint_dir(spark)
 
 
-def small_tree(train, depth=3):
-    grams, counts = np.unique(np.concatenate([lm_score.grams_of(t.encode(), depth) for t in train]), return_counts=True)
-    units = grams & np.uint64(0xFFFF00)
-    tops, keys, values = [], [], []
-    for u in np.unique(units):
-        level = lm_score.levels(grams[units == u], counts[units == u].astype(float), 2, depth)[2]
-        row = np.zeros(256)
-        row[(level.grams & np.uint64(255)).astype(int)] = level.counts
-        tops.append((int(level.contexts[0] & np.uint64(255)), row, level.weighted[0]))
-    crown = lm_score.Crown(np.array([t[0] for t in tops]), np.array([t[1] for t in tops]), np.array([t[2] for t in tops]))
-    for u in np.unique(units):
-        k, v = lm_score.entries(grams[units == u], counts[units == u].astype(float), crown, depth)
-        keys.append(k), values.append(v)
-    return crown, lm_score.Table(np.concatenate(keys), np.concatenate(values))
+def gram_logs(train, grams, depth):
+    """The operator's value of each gram, from a tree of the training texts."""
+    known, counts = np.unique(np.concatenate([lm_score.grams_of(t, depth) for t in train]), return_counts=True)
+    every = np.union1d(known, grams)
+    n = np.zeros(len(every), np.int64)
+    n[np.searchsorted(every, known)] = counts
+    units = every & np.uint64(0xFFFF00)
+    trees = [lm_score.Tree(every[units == u], n[units == u], depth) for u in np.unique(units)]
+    crown = lm_score.Crown(*(np.array(x) for x in zip(*(t.top() for t in trees), strict=True)))
+    values = {int(g): v for t in trees for g, v in zip(t.grams[depth], t.logs(crown), strict=True)}
+    return [values[int(g)] for g in grams]
 
 
-@pytest.mark.parametrize("before", ["", "a", "th", "the", "qz", "hez", "éà"])
-def test_tree_is_a_distribution(before):
-    crown, table = small_tree(["the cat sat", "the hat", "a that theme", "", "été à"] * 3)
-    raw = b"\xff" * 3 + before.encode()
-    context = int.from_bytes(raw[-3:], "big")
-    logs = lm_score.score_grams(table, crown.logs, np.array([context << 8 | b for b in range(256)], np.uint64), 3)
-    assert abs(sum(10**x for x in logs) - 1) < 1e-3
-
-
-def test_tree_weights_follow_the_definition():
-    """The seen bytes' probabilities are the mixture computed node by node."""
-    train = ["abab", "abba", "bab"]
-    crown, table = small_tree(train, 2)
-    count = defaultdict(Counter)
+def brute_tree(train, depth):
+    """log10 of a byte after its context, node by node as context-tree weighting defines it."""
+    count, longer = defaultdict(Counter), defaultdict(set)
     for t in train:
-        raw = b"\xff\xff" + t.encode() + b"\xff"
-        for i in range(2, len(raw)):
-            for d in range(3):
+        raw = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(raw)):
+            for d in range(depth + 1):
                 count[raw[i - d : i]][raw[i]] += 1
+                if d:
+                    longer[raw[i - d + 1 : i]].add(raw[i - d : i])
 
     def bits(context, node):
-        depth = node.bit_length() - 1
-        out = [0, 0]
-        for byte, n in count[context].items():
-            if (byte | 256) >> (8 - depth) == node:
-                out[byte >> (7 - depth) & 1] += n
+        level, out = node.bit_length() - 1, [0, 0]
+        for byte, n in count[context].items() if context in count else ():
+            if (byte | 256) >> (8 - level) == node:
+                out[byte >> (7 - level) & 1] += n
         return out
 
-    def kt(a, b):
-        return math.prod((i + 0.5) for i in range(a)) * math.prod((i + 0.5) for i in range(b)) / math.prod(range(1, a + b + 1))
-
+    @functools.cache
     def weighted(context, node):
-        own = kt(*bits(context, node))
-        if len(context) == 2:
+        """ln of the weighted probability and the weight of the context's own estimate."""
+        zeros, ones = bits(context, node)
+        own = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+        if len(context) == depth:
             return own, 1.0
-        deeper = math.prod(weighted(c, node)[0] for c in list(count) if len(c) == len(context) + 1 and c.endswith(context))
-        return (own + deeper) / 2, own / (own + deeper)
+        deeper = sum(weighted(c, node)[0] for c in longer[context] if sum(bits(c, node)))
+        top = max(own, deeper)
+        both = top + math.log(math.exp(own - top) + math.exp(deeper - top))
+        return both - math.log(2), math.exp(own - both)
 
+    @functools.cache
     def one(context, node):
-        p, share = 0.0, 1.0
-        for d in range(3):
-            c = context[2 - d :]
+        p, share = 0.5, 1.0  # nothing known
+        done = 0.0
+        for d in range(depth + 1):
+            c = context[depth - d :]
             zeros, ones = bits(c, node)
+            if not zeros + ones:
+                break
+            kt = (ones + 0.5) / (zeros + ones + 1)
+            p = done + share * kt
             weight = weighted(c, node)[1]
-            p += share * weight * (ones + 0.5) / (zeros + ones + 1)
-            share *= 1 - weight
+            done, share = done + share * weight * kt, share * (1 - weight)
         return p
 
-    for context, byte in ((b"ab", ord("b")), (b"ab", ord("a")), (b"ba", ord("b")), (b"\xffa", ord("b"))):
-        p = 1.0
-        for i in range(8):
-            node, bit = (byte | 256) >> (8 - i), byte >> (7 - i) & 1
-            p *= one(context, node) if bit else 1 - one(context, node)
-        gram = np.array([int.from_bytes(context + bytes([byte]), "big")], np.uint64)
-        assert abs(lm_score.score_grams(table, crown.logs, gram, 2)[0] - math.log10(p)) < 1e-4
+    def log(context, byte):
+        nodes = [((byte | 256) >> (8 - i), byte >> (7 - i) & 1) for i in range(8)]
+        return sum(math.log10(one(context, n) if bit else 1 - one(context, n)) for n, bit in nodes)
 
+    return log
 
-def test_lm_score_in_parts(spark, docs, monkeypatch):
-    whole = sorted((round(x["score"], 3) for x in lm_score.score_documents(docs).collect()))
-    monkeypatch.setattr(lm_score, "ENTRIES", 20_000)
-    assert sorted(round(x["score"], 3) for x in lm_score.score_documents(docs).collect()) == whole
+
+@pytest.mark.parametrize("before", ["", "a", "th", "the", "qz", "hez", "éà"])
+def test_tree_is_a_distribution(before):
+    train = [t.encode() for t in ["the cat sat", "the hat", "a that theme", "", "été à"] * 3]
+    context = (b"\xff" * 3 + before.encode())[-3:]
+    logs = gram_logs(train, np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64), 3)
+    assert abs(sum(10**x for x in logs) - 1) < 1e-6
+    log = brute_tree(train, 3)
+    assert all(abs(x - log(context, b)) < 1e-6 for b, x in enumerate(logs))
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 300, "BUCKET_GRAMS": 200, "PIECE": 50}])
+def test_lm_score_by_brute_force(spark, rows, monkeypatch, limits):
+    """Every text's whole score, whatever the sizes of blocks and buckets."""
+    for name, value in limits.items():
+        monkeypatch.setattr(lm_score, name, value)
+    some = [(i, t) for i, t in rows if len(t or "") < 700]
+    train = [as_bytes(t) for i, t in some if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    log = brute_tree(train, lm_score.DEPTH)
+    pad = b"\xff" * lm_score.DEPTH
+    score = functools.cache(lambda t: sum(log(raw[i - lm_score.DEPTH : i], raw[i]) for raw in [pad + t + b"\xff"] for i in range(lm_score.DEPTH, len(raw))))
+    found = lm_score.score_documents(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert np.allclose(sorted(x["score"] for x in found), sorted(score(as_bytes(t)) for _, t in some), atol=1e-3)
+
+
+def test_packed_grams():
+    grams = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64))
+    assert (lm_score.unpack(lm_score.pack(grams)) == grams).all() and len(lm_score.pack(grams)) == 6 * len(grams)

@@ -9,19 +9,23 @@ from math import log10
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, most_frequent, remainder, row_key, settle, split_words
+from .common import lower_ascii, most_frequent, remainder, row_key, settle, shared_dir, split_words
 from .near_dedup import mix
-from .tokens import by_size
 
 #: Stands before and after every text; UTF-8 never holds it.
 MARK = 255
 #: Bytes of the deepest contexts.
 DEPTH = 5
-#: Entries of the model that go to a task at a time (12 bytes each, in a table half empty).
-ENTRIES = 4_000_000
+#: Bytes of text that ask for their grams' values together; a longer text is a block of its own.
+BLOCK = 8 << 20
+#: Distinct grams, and bytes of text whose grams are looked up, for each bucket of the model.
+BUCKET_GRAMS, BUCKET_BYTES = 250_000, 32 << 20
+#: Grams sorted at a time.
+PIECE = 1 << 20
 FREQUENT = 200_000
 
 
@@ -37,9 +41,22 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+#: ln gamma of n + 1/2 and of n + 1 for small n.
+HALVES, WHOLES = (log_gamma(np.arange(1 << 16) + add) for add in (0.5, 1.0))
+
+
+def log_gamma_at(n: np.ndarray, table: np.ndarray, add: float) -> np.ndarray:
+    """ln gamma of n + add, from the table as far as it goes."""
+    large = n >= len(table)
+    out = table[np.where(large, 0, n)]
+    out[large] = log_gamma(n[large] + add)
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
+    """ln of the Krichevsky-Trofimov probability of so many zeros and ones; 0 for none."""
+    found = log_gamma_at(zeros, HALVES, 0.5) + log_gamma_at(ones, HALVES, 0.5) - log_gamma_at(zeros + ones, WHOLES, 1.0) - np.log(np.pi)
+    return np.where(zeros + ones > 0, found, 0.0)
 
 
 def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +65,7 @@ def bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ``counts`` has a row of 256 byte counts for each context. Node 1 splits on the
     highest bit; node n has the children 2n and 2n+1.
     """
-    nodes = np.zeros((len(counts), 512))
+    nodes = np.zeros((len(counts), 512), np.int64)
     nodes[:, 256:] = counts
     for n in range(7, -1, -1):
         level = nodes[:, 2 << n : 4 << n]
@@ -68,161 +85,103 @@ def mixture(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both - np.log(2), np.exp(own - both)
 
 
-def sparse_log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    out = np.zeros(zeros.shape)
-    some = zeros + ones > 0
-    out[some] = log_kt(zeros[some], ones[some])
-    return out
-
-
 def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """The KT probability of a one."""
     return (ones + 0.5) / (zeros + ones + 1)
 
 
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 of each byte's probability from those of a one at each node."""
-    logs = np.zeros((len(one), 1))
-    yes, no = np.log10(one), np.log10(1 - one)
-    for bit in range(8):
-        nodes = slice((1 << bit) - 1, (2 << bit) - 1)
-        logs = np.stack([logs + no[:, nodes], logs + yes[:, nodes]], axis=2).reshape(len(one), -1)
-    return logs
-
-
 def suffix(grams: np.ndarray, depth: int) -> np.ndarray:
     """Grams cut to a byte and the ``depth`` bytes before it."""
     return grams & np.uint64((1 << 8 * (depth + 1)) - 1)
 
 
-def tag(keys: np.ndarray, depth: int, context: bool) -> np.ndarray:
-    """Keys of the model's entries: grams and contexts of each depth apart."""
-    return keys | np.uint64((2 * depth + 1 + context) << 56)
+class Nodes:
+    """One bit's nodes in all contexts of one depth: a node is a context and the byte's bits before that one."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, bit: int):
+        prefix = grams >> np.uint64(8 - bit)
+        new = np.append(True, prefix[1:] != prefix[:-1])
+        self.of, self.first = np.cumsum(new) - 1, np.flatnonzero(new)
+        self.ones = np.add.reduceat(np.where(grams >> np.uint64(7 - bit) & np.uint64(1), counts, 0), self.first)
+        self.zeros = np.add.reduceat(counts, self.first) - self.ones
+        #: The node's place among the 255 of a byte.
+        self.place = (np.uint64(1 << bit) | (grams[self.first] & np.uint64(255)) >> np.uint64(8 - bit)).astype(int) - 1
 
 
-class Level:
-    """The contexts of one depth among some grams: counts, estimates and weights."""
+class Tree:
+    """The contexts from two bytes on that end in the same two bytes, for some grams of full depth."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int):
-        self.grams, where = np.unique(suffix(grams, depth), return_inverse=True)
-        self.counts = np.bincount(where, counts)
-        self.contexts, self.row = np.unique(self.grams >> np.uint64(8), return_inverse=True)
-        table = np.zeros((len(self.contexts), 256))
-        table[self.row, (self.grams & np.uint64(255)).astype(int)] = self.counts
-        zeros, ones = bit_counts(table)
-        del table
-        self.own, self.kt = sparse_log_kt(zeros, ones), estimate(zeros, ones)
-
-    def weigh(self, below: Level | None, depth: int) -> None:
-        """Sets the weighted probabilities, from the deeper level's."""
-        if below is None:
-            self.weighted = self.own
-            return
-        product = np.zeros_like(self.own)
-        np.add.at(product, np.searchsorted(self.contexts, below.contexts & np.uint64((1 << 8 * depth) - 1)), below.weighted)
-        self.weighted, self.weight = mixture(self.own, product)
-
-
-def levels(grams: np.ndarray, counts: np.ndarray, top: int, depth: int) -> dict[int, Level]:
-    """The levels from ``depth`` up to ``top``, weighted from the deepest on."""
-    out, below = {}, None
-    for d in range(depth, top - 1, -1):
-        out[d] = Level(grams, counts, d)
-        out[d].weigh(below, d)
-        below = out[d]
-    return out
+        """Distinct grams in order and how often each stands in the training texts, 0 included."""
+        self.depth, self.grams, self.counts, self.into = depth, {depth: grams}, {depth: counts}, {}
+        for d in range(depth - 1, 1, -1):
+            self.grams[d], self.into[d + 1] = np.unique(suffix(self.grams[d + 1], d), return_inverse=True)
+            self.counts[d] = np.bincount(self.into[d + 1], self.counts[d + 1]).astype(np.int64)
+
+    def weigh(self, bit: int) -> dict[int, Nodes]:
+        """The bit's nodes at each depth, their weights set from the deepest on."""
+        out: dict[int, Nodes] = {}
+        for d in range(self.depth, 1, -1):
+            out[d] = here = Nodes(self.grams[d], self.counts[d], bit)
+            here.weighted = log_kt(here.zeros, here.ones)
+            if d < self.depth:
+                below = out[d + 1]
+                below.parent = here.of[self.into[d + 1][below.first]]
+                here.weighted, here.weight = mixture(here.weighted, np.bincount(below.parent, below.weighted, len(here.first)))
+        return out
+
+    def top(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """The newer byte of the two, the counts of the bytes after both, and the weighted logarithms of their 255 nodes."""
+        counts, weighted = np.zeros(256, np.int64), np.zeros(255)
+        counts[(self.grams[2] & np.uint64(255)).astype(int)] = self.counts[2]
+        for bit in range(8):
+            nodes = self.weigh(bit)[2]
+            weighted[nodes.place] = nodes.weighted
+        return int(self.grams[2][0] >> np.uint64(8) & np.uint64(255)), counts, weighted
+
+    def logs(self, crown: Crown) -> np.ndarray:
+        """log10 of each gram's last byte after its context.
+
+        A bit's probability mixes the estimates of the contexts on its path by
+        their weights. The path ends at the deepest context that has met the bits
+        before it; that one's estimate takes all the weight that is left.
+        """
+        grams = self.grams[self.depth]
+        newest, out = int(grams[0] >> np.uint64(8) & np.uint64(255)), np.zeros(len(grams))
+        for bit in range(8):
+            nodes = self.weigh(bit)
+            base, share, mixed = (x[newest][nodes[2].place] for x in (crown.base, crown.share, crown.mixed))
+            for d in range(2, self.depth + 1):
+                here = nodes[d]
+                if d > 2:
+                    base, share, mixed = base[here.parent], share[here.parent], mixed[here.parent]
+                kt = estimate(here.zeros, here.ones)
+                mixed = np.where(here.zeros + here.ones > 0, base + share * kt, mixed)
+                if d < self.depth:
+                    base, share = base + share * here.weight * kt, share * (1 - here.weight)
+            one = np.clip(mixed, 1e-12, 1 - 1e-12)[nodes[self.depth].of]
+            out += np.log10(np.where(grams >> np.uint64(7 - bit) & np.uint64(1), one, 1 - one))
+        return out
 
 
 class Crown:
     """Depths 0 and 1 of the tree, in dense tables."""
 
     def __init__(self, newest: np.ndarray, counts: np.ndarray, weighted: np.ndarray):
-        """For each two-byte context: its newer byte, its byte counts, its weighted logarithms."""
-        near, below = np.zeros((256, 256)), np.zeros((256, 255))
+        """For each two-byte context, or sum of those with the same newer byte: that byte, the byte counts, the weighted logarithms."""
+        near, below = np.zeros((256, 256), np.int64), np.zeros((256, 255))
         np.add.at(near, newest, counts)
         np.add.at(below, newest, weighted)
         zeros, ones = bit_counts(near)
-        near_kt, (near_log, near_own) = estimate(zeros, ones), mixture(sparse_log_kt(zeros, ones), below)
+        seen, near_kt, (near_log, near_own) = zeros + ones > 0, estimate(zeros, ones), mixture(log_kt(zeros, ones), below)
         zeros, ones = bit_counts(near.sum(axis=0, keepdims=True))
-        root_kt, (_, root_own) = estimate(zeros, ones), mixture(sparse_log_kt(zeros, ones), near_log.sum(axis=0, keepdims=True))
-        # A one's probability is base + share * (what the deeper contexts say).
+        root_kt, (_, root_own) = estimate(zeros, ones), mixture(log_kt(zeros, ones), near_log.sum(axis=0, keepdims=True))
+        # A one's probability is base + share * (what the deeper contexts say), or mixed if there are none.
         base, share = root_own * root_kt, 1 - root_own
-        seen = near.any(axis=1, keepdims=True)
-        self.logs = byte_logs(np.where(seen, base + share * near_kt, root_kt))
+        self.mixed = np.where(seen, base + share * near_kt, root_kt)
         self.base, self.share = base + share * near_own * near_kt, share * (1 - near_own)
 
 
-def entries(grams: np.ndarray, counts: np.ndarray, crown: Crown, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, log10) of the grams that end in one two-byte context, from depth 2 on.
-
-    At each depth a context mixes the estimates of its ancestors, by their weights,
-    with its own. Bytes that it has not seen share what the seen ones leave, as the
-    context a byte shorter has them: a context's entry is the factor for that.
-    """
-    keys, values = [], []
-    found = levels(grams, counts, 2, depth)
-    newest = int(found[2].contexts[0] & np.uint64(255))
-    base, share, logs = crown.base[[newest]], crown.share[[newest]], crown.logs[[newest]]
-    parents = np.zeros(1, int)
-    for d in range(2, depth + 1):
-        level = found[d]
-        up, share_up = base[parents], share[parents]
-        mixed = byte_logs(np.clip(up + share_up * level.kt, 1e-9, 1 - 1e-9))
-        at = (level.grams & np.uint64(255)).astype(int)
-        here, before = mixed[level.row, at], logs[parents[level.row], at]
-        left = np.maximum(1 - np.bincount(level.row, 10**here), 1e-12)
-        others = np.maximum(1 - np.bincount(level.row, 10**before), 1e-12)
-        keys += [tag(level.grams, d, False), tag(level.contexts, d, True)]
-        values += [here, np.log10(left / others)]
-        if d < depth:
-            base, share, logs = up + share_up * level.weight * level.kt, share_up * (1 - level.weight), mixed
-            parents = np.searchsorted(level.contexts, found[d + 1].contexts & np.uint64((1 << 8 * d) - 1))
-    return np.concatenate(keys), np.concatenate(values).astype(np.float32)
-
-
-class Table:
-    """Keys to values by open addressing in flat arrays; key 0 means nothing.
-
-    It travels as plain keys and values, and is laid out where it is first used.
-    """
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.raw = keys, values
-
-    def _lay_out(self) -> None:
-        (keys, values), self.raw = self.raw, None
-        size = 1 << max(4, (2 * len(keys)).bit_length())
-        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
-        for start in range(0, len(keys), 1 << 18):
-            left, kept = keys[start : start + (1 << 18)], values[start : start + (1 << 18)]
-            slot = self._slot(left)
-            while len(left):
-                free = np.flatnonzero(self.keys[slot] == 0)
-                first = free[np.unique(slot[free], return_index=True)[1]]
-                self.keys[slot[first]], self.values[slot[first]] = left[first], kept[first]
-                rest = np.ones(len(left), bool)
-                rest[first] = False
-                left, kept, slot = left[rest], kept[rest], (slot[rest] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> np.uint64(20)).astype(np.int64) & (len(self.keys) - 1)
-
-    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value or 0, whether there is one) for each key."""
-        if self.raw is not None:
-            self._lay_out()
-        slot = self._slot(keys)
-        there = self.keys[slot]
-        found = there == keys
-        left = np.flatnonzero(~found & (there != 0))
-        while len(left):
-            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
-            there = self.keys[slot[left]]
-            found[left] = there == keys[left]
-            left = left[~found[left] & (there != 0)]
-        return np.where(found, self.values[slot], np.float32(0)), found
-
-
 def grams_of(text: bytes, depth: int = DEPTH) -> np.ndarray:
     """The gram of each byte of a text and of its end: the byte after the ``depth`` before it."""
     b = np.frombuffer(bytes([MARK]) * depth + text + bytes([MARK]), np.uint8).astype(np.uint64)
@@ -233,102 +192,167 @@ def grams_of(text: bytes, depth: int = DEPTH) -> np.ndarray:
     return out
 
 
-def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
-    """Which part of the model holds a gram: that of its two-byte context."""
-    return (mix((grams >> np.uint64(8) & np.uint64(0xFFFF)) + np.uint64(1)) % np.uint64(parts)).astype(int)
-
-
-def score_grams(table: Table, crown_logs: np.ndarray, grams: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """log10 of each gram's probability."""
-    out, left = np.zeros(len(grams)), np.arange(len(grams))
-    for d in range(depth, 1, -1):
-        grams = suffix(grams, d)
-        value, found = table.get(tag(grams, d, False))
-        out[left] += value
-        left, grams = left[~found], grams[~found]
-        if not len(left):
-            return out
-        out[left] += table.get(tag(grams >> np.uint64(8), d, True))[0]
-    out[left] += crown_logs[(grams >> np.uint64(8) & np.uint64(255)).astype(int), (grams & np.uint64(255)).astype(int)]
-    return out
-
-
-def score_texts(table: Table, crown_logs: np.ndarray, texts: list[bytes], depth: int = DEPTH, parts: int = 1, part: int = 0) -> np.ndarray:
-    """The sum for each text of the grams that this part of the model holds."""
-    out = []
-    for cut in by_size(texts, 100_000):
-        grams = [grams_of(t, depth) for t in texts[cut]]
-        ends = np.cumsum([len(g) for g in grams])
-        joined = np.concatenate(grams)
-        values = np.zeros(len(joined))
-        mine = slice(None) if parts == 1 else np.flatnonzero(part_of(joined, parts) == part)
-        values[mine] = score_grams(table, crown_logs, joined[mine], depth)
-        out.append(np.add.reduceat(values, np.append(0, ends[:-1])))
-    return np.concatenate(out) if out else np.empty(0)
-
-
-def count_grams(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n) over all texts. Each task adds up its own before they are dealt out."""
+def count_grams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n): how often each gram of all texts stands in those not held out. Each task adds up its own first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        raw: list[np.ndarray] = []
+        raw: dict[bool, list[np.ndarray]] = {True: [], False: []}
         size = 0
 
         def fold() -> None:
-            if raw:
-                held.append(np.unique(np.concatenate(raw), return_counts=True))
-                raw.clear()
+            for out, arrays in raw.items():
+                if arrays:
+                    keys, n = np.unique(np.concatenate(arrays), return_counts=True)
+                    held.append((keys, n * (not out)))
+                    arrays.clear()
             if len(held) > 1:
                 keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
                 held[:] = [(keys, np.bincount(where, np.concatenate([n for _, n in held])))]
 
-        def rows() -> pd.DataFrame:
+        def rows_() -> pd.DataFrame:
             keys, n = held.pop() if held else (np.empty(0, np.uint64), np.empty(0))
             return pd.DataFrame({"gram": keys.astype(np.int64), "n": n.astype(np.int64)})
 
         for batch in batches:
-            for text in batch["text"]:
-                raw.append(grams_of(text.encode(), depth))
-                size += len(raw[-1])
-                if size > 4_000_000:
+            for text, out in zip(batch["text"], batch["held_out"], strict=True):
+                raw[bool(out)].append(grams_of(text.encode(), depth))
+                size += len(text) + 1
+                if size > 2_000_000:
                     size = 0
                     fold()
                     if len(held[0][0]) > 4_000_000:
-                        yield rows()
+                        yield rows_()
         fold()
-        yield rows()
+        yield rows_()
+
+    return rows.select("text", "held_out").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
 
-    return train.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def tree_of(unit: pd.DataFrame, depth: int) -> Tree:
+    rows = unit.sort_values("gram")
+    return Tree(rows["gram"].to_numpy().astype(np.uint64), rows["n"].to_numpy(np.int64), depth)
 
 
-def fit_tree(train: DataFrame, depth: int = DEPTH) -> tuple[Crown, DataFrame, int]:
-    """The model of all texts: its crown, its entries (key, value, unit) and their number.
+def fit_tree(grams: DataFrame, buckets: int, depth: int = DEPTH) -> DataFrame:
+    """(gram, value, bucket): log10 of the last byte's probability for each gram of all texts.
 
     KT estimates depend on counts alone, which Spark adds up. The grams of each
-    two-byte context are weighed by themselves; the two top levels then need 65,536
-    rows at most, whose weights go back to the contexts.
+    two-byte context are weighed by themselves; of those contexts the sums by
+    their newer byte, 256 rows at most, make the crown. Its weights go back to
+    the contexts, which give each gram its value.
     """
-    grams = settle(count_grams(train, depth).withColumn("unit", F.col("gram").bitwiseAND(0xFFFF00)))
+    units = grams.withColumn("unit", F.col("gram").bitwiseAND(0xFFFF00))
 
     def top(unit: pd.DataFrame) -> pd.DataFrame:
-        level = levels(unit["gram"].to_numpy().astype(np.uint64), unit["n"].to_numpy(float), 2, depth)[2]
-        counts = np.zeros(256)
-        counts[(level.grams & np.uint64(255)).astype(int)] = level.counts
-        return pd.DataFrame({"newest": [int(level.contexts[0] & np.uint64(255))], "counts": [counts.tobytes()], "weighted": [level.weighted[0].tobytes()]})
+        newest, counts, weighted = tree_of(unit, depth).top()
+        return pd.DataFrame({"newest": [newest], "counts": [counts.tobytes()], "weighted": [weighted.tobytes()]})
 
-    tops = grams.groupBy("unit").applyInPandas(top, "newest int, counts binary, weighted binary").toPandas()
-    shaped = lambda c, n: np.frombuffer(b"".join(tops[c])).reshape(-1, n)
-    crown = Crown(tops["newest"].to_numpy(int), shaped("counts", 256), shaped("weighted", 255))
-    del tops
-    sent = train.sparkSession.sparkContext.broadcast(crown)
+    def add(tops: pd.DataFrame) -> pd.DataFrame:
+        counts, weighted = (np.frombuffer(b"".join(tops[c]), t).reshape(len(tops), -1).sum(axis=0) for c, t in (("counts", np.int64), ("weighted", float)))
+        return pd.DataFrame({"newest": tops["newest"].iloc[:1], "counts": [counts.tobytes()], "weighted": [weighted.tobytes()]})
+
+    packed = "newest int, counts binary, weighted binary"
+    tops = units.groupBy("unit").applyInPandas(top, packed).groupBy("newest").applyInPandas(add, packed).toPandas()
+    shaped = lambda c, n, t: np.frombuffer(b"".join(tops[c]), t).reshape(-1, n)
+    crown = Crown(tops["newest"].to_numpy(int), shaped("counts", 256, np.int64), shaped("weighted", 255, float))
+    sent = grams.sparkSession.sparkContext.broadcast(crown)
 
     def fill(unit: pd.DataFrame) -> pd.DataFrame:
-        keys, values = entries(unit["gram"].to_numpy().astype(np.uint64), unit["n"].to_numpy(float), sent.value, depth)
-        return pd.DataFrame({"key": keys.astype(np.int64), "value": values, "unit": unit["unit"].iloc[0]})
+        tree = tree_of(unit, depth)
+        keys = tree.grams[depth]
+        return pd.DataFrame({"gram": keys.astype(np.int64), "value": tree.logs(sent.value).astype(np.float32), "bucket": bucket_of(keys, buckets)})
+
+    return units.groupBy("unit").applyInPandas(fill, "gram long, value float, bucket int")
+
+
+# --- blocks of texts meet the model bucket by bucket
+
+
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(grams) % np.uint64(buckets)).astype(np.int32)
+
+
+def pack(grams: np.ndarray, depth: int = DEPTH) -> bytes:
+    """Grams in order, their highest bytes first, then the next: such runs compress well."""
+    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - depth :].T).tobytes()
+
+
+def unpack(raw: bytes, depth: int = DEPTH) -> np.ndarray:
+    out = np.zeros((len(raw) // (depth + 1), 8), np.uint8)
+    out[:, 7 - depth :] = np.frombuffer(raw, np.uint8).reshape(depth + 1, -1).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def distinct(grams: np.ndarray) -> np.ndarray:
+    """The distinct grams, in order, sorted piece by piece."""
+    return np.unique(np.concatenate([np.unique(grams[i : i + PIECE]) for i in range(0, len(grams), PIECE)]))
+
 
-    model = settle(grams.groupBy("unit").applyInPandas(fill, "key long, value float, unit long"))
-    return crown, model, model.count()
+def joined_grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all texts one after another, and where each text's begin."""
+    grams = [grams_of(t, depth) for t in texts]
+    return np.concatenate(grams), np.cumsum([0] + [len(g) for g in grams[:-1]])
+
+
+BLOCKS = "doc_id string, k2 long, held_out boolean, text string, block long, bucket int, grams binary"
+
+
+def write_blocks(rows: DataFrame, path: str, buckets: int, depth: int = DEPTH) -> None:
+    """Writes the texts in blocks of about ``BLOCK`` bytes, and what each block asks of each bucket.
+
+    Rows of a text have no bucket, rows that ask have no text.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def emit() -> Iterator[pd.DataFrame]:
+            texts = pd.concat(held, ignore_index=True)
+            yield texts.assign(block=block, bucket=None, grams=None)
+            grams = distinct(joined_grams([t.encode() for t in texts["text"]], depth)[0])
+            bucket = bucket_of(grams, buckets)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.flatnonzero(np.diff(bucket[order])) + 1
+            asked = [(block, int(bucket[g[0]]), pack(grams[g], depth)) for g in np.split(order, ends)]
+            yield pd.DataFrame(asked, columns=["block", "bucket", "grams"]).assign(doc_id=None, k2=None, held_out=None, text=None)
+
+        for batch in batches:
+            sizes = batch["text"].str.len().to_numpy()
+            start = 0
+            for i, n in enumerate(sizes.tolist()):
+                size += n
+                if size >= BLOCK:
+                    held.append(batch.iloc[start : i + 1])
+                    yield from emit()
+                    block, held, size, start = block + 1, [], 0, i + 1
+            if start < len(batch):
+                held.append(batch.iloc[start:])
+        if held:
+            yield from emit()
+
+    rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(cut, BLOCKS).write.option("compression", "zstd").parquet(path)
+
+
+def answer(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The values of the grams that blocks ask of one bucket, in their order."""
+    order = np.argsort(model["gram"].to_numpy())
+    keys, values = model["gram"].to_numpy()[order].astype(np.uint64), model["value"].to_numpy(np.float32)[order]
+    found = [values[np.searchsorted(keys, unpack(g))].tobytes() for g in asked["grams"]]
+    return pd.DataFrame({"block": asked["block"], "bucket": asked["bucket"], "found": found})
+
+
+def score_block(texts: list[bytes], answers: pd.DataFrame, buckets: int) -> np.ndarray:
+    """The sum of each text's grams, from the answers to its block."""
+    grams, starts = joined_grams(texts)
+    keys = distinct(grams)
+    values = np.empty(len(keys), np.float32)
+    values[np.argsort(bucket_of(keys, buckets), kind="stable")] = np.frombuffer(b"".join(answers.sort_values("bucket")["found"]), np.float32)
+    out = np.empty(len(grams), np.float32)
+    for i in range(0, len(grams), PIECE):
+        some, where = np.unique(grams[i : i + PIECE], return_inverse=True)
+        out[i : i + PIECE] = values[np.searchsorted(keys, some)][where]
+    return np.add.reduceat(out.astype(float), starts)
 
 
 # --- the scores
@@ -344,9 +368,10 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     most, go to every task; a text's other words are dealt out to meet theirs, one row for
     each word of a text. Null and empty texts are an end alone; repeated rows
     each get their scores; without training texts the base counts nothing and the
-    tree expects every bit alike. The tree's entries are sent to the tasks in parts
-    of about ``ENTRIES``; with more than one part, each scores its share of every
-    text's bytes in a pass of its own. Null ids count as the empty text in the fold.
+    tree expects every bit alike. The tree gives every gram of all
+    texts its value by Spark; texts lie in blocks, which ask for the values of
+    their distinct grams bucket by bucket, so that no task and no driver holds the
+    model. Null ids count as the empty text in the fold.
     """
     held_out = remainder(F.col("doc_id"), folds) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text"))[1], held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
@@ -359,72 +384,58 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     top = most_frequent(counts, frequent, "c").toPandas()
     context = docs.sparkSession.sparkContext
     known = context.broadcast((top["h"].to_numpy(), top["c"].to_numpy()))
-    crown, model, n_entries = fit_tree(train)
-    parts = -(-n_entries // ENTRIES) or 1
-
-    def part(k: int):
-        """The part of the model that holds the grams of every ``parts``-th unit."""
-        units = model.select("unit").distinct().toPandas()["unit"].to_numpy(np.uint64)
-        mine = [int(u) for u, p in zip(units, part_of(units, parts), strict=True) if p == k]
-        rows_ = model.filter(F.col("unit").isin(mine)).select("key", "value").toArrow()
-        return context.broadcast(Table(rows_["key"].to_numpy().astype(np.uint64), rows_["value"].to_numpy()))
-
-    tables = [part(k) for k in range(parts)]
+    grams = settle(count_grams(rows))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(grams.count() // BUCKET_GRAMS, size // BUCKET_BYTES) + 1
+    path = shared_dir(docs.sparkSession, "lm-blocks")
+    write_blocks(rows, path, buckets)
+    written = docs.sparkSession.read.schema(BLOCKS).parquet(path)
+    asked = written.filter("bucket IS NOT NULL").select("block", "bucket", "grams")
+    answers = fit_tree(grams, buckets).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(answer, "block long, bucket int, found binary")
     total = n + 0.1 * (v + 1)
     end = log10((n_train + 0.1) / total)
 
-    def score(batches):
-        table, (hashes, seen) = tables[0].value, known.value
+    def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        hashes, seen = known.value
         common = dict(zip(hashes.tolist(), seen.tolist(), strict=True))
         logs: dict[bytes, float] = {}  # of frequent words
         others: dict[bytes, int] = {}  # hashes of other words
-        for batch in batches:
-            out, raws = [], [t.encode() for t in batch["text"]]
-            scores = score_texts(table, crown.logs, raws, DEPTH, parts, 0)
-            for raw, by_tree in zip(raws, scores.tolist(), strict=True):
-                found = Counter(raw.lower().split())
-                words, times = list(found), list(found.values())
-                for word in words:
-                    if word not in logs and word not in others:
-                        h = xxhash.xxh64_intdigest(word, seed=42)
-                        h = h - (1 << 64) if h >> 63 else h
-                        if h in common:
-                            logs[word] = log10((common[h] + 0.1) / total)
-                        else:
-                            others[word] = h
-                values = list(map(logs.get, words))
-                rare = [(others[w], t) for w, t, x in zip(words, times, values, strict=True) if x is None]
-                base = end + sum(x * t for x, t in zip(values, times, strict=True) if x is not None)
-                n = sum(times)
-                out.append((n + 1, int(n_train > 0) + n - sum(t for _, t in rare), base, by_tree, len(raw), [h for h, _ in rare], [t for _, t in rare]))
-            if len(others) > 200_000:
-                others.clear()
-            yield pd.concat([batch[["doc_id", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
-
-    def rest(k: int):
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[["doc_id", "k2"]].assign(more=score_texts(tables[k].value, crown.logs, [t.encode() for t in batch["text"]], DEPTH, parts, k))
-
-        return add
-
-    schema = "doc_id long, k2 long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>"
-    scored = rows.mapInPandas(score, schema)
+        out, raws = [], [t.encode() for t in texts["text"]]
+        scores = score_block(raws, answers, buckets)
+        for raw, by_tree in zip(raws, scores.tolist(), strict=True):
+            found = Counter(raw.lower().split())
+            words, times = list(found), list(found.values())
+            for word in words:
+                if word not in logs and word not in others:
+                    h = xxhash.xxh64_intdigest(word, seed=42)
+                    h = h - (1 << 64) if h >> 63 else h
+                    if h in common:
+                        logs[word] = log10((common[h] + 0.1) / total)
+                    else:
+                        others[word] = h
+            values = list(map(logs.get, words))
+            rare = [(others[w], t) for w, t, x in zip(words, times, values, strict=True) if x is None]
+            base = end + sum(x * t for x, t in zip(values, times, strict=True) if x is not None)
+            n = sum(times)
+            out.append((n + 1, int(n_train > 0) + n - sum(t for _, t in rare), base, by_tree, len(raw), [h for h, _ in rare], [t for _, t in rare]))
+        return pd.concat([texts[["doc_id", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
+
+    schema = "doc_id string, k2 long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>"
+    texts = written.filter("bucket IS NULL").select("block", "doc_id", "k2", "held_out", "text")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
     # Each text's rare words become rows; the first of them carries the rest of the text's row.
     whole = F.struct("held_out", "n_tokens", "n_known", "base", "score", "n_bytes")
     rare = scored.select("doc_id", "k2", whole.alias("whole"), F.posexplode_outer(F.arrays_zip("rare", "times")).alias("pos", "w"))
-    rare = rare.select("doc_id", "k2", F.lit(None).cast("double").alias("more"), F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"), F.col("w.rare").alias("h"), F.col("w.times").alias("tf"))
-    for k in range(1, parts):  # the other parts of the model, each in a pass of its own
-        rare = rare.unionByName(rows.mapInPandas(rest(k), "doc_id long, k2 long, more double"), allowMissingColumns=True)
+    rare = rare.select("doc_id", "k2", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("whole")).alias("whole"), F.col("w.rare").alias("h"), F.col("w.times").alias("tf"))
     met = rare.join(counts, "h", "left")
     c = F.coalesce("c", F.lit(0))
     parts = met.groupBy("doc_id", "k2").agg(
         F.count("whole").alias("copies"), F.max("whole").alias("whole"),
-        F.sum(F.coalesce("tf", F.lit(0)) * F.log10((c + 0.1) / total)).alias("base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum("more").alias("more"),
+        F.sum(F.coalesce("tf", F.lit(0)) * F.log10((c + 0.1) / total)).alias("base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"),
     )
     # Rows that share id and text have added up: each gets its share.
-    one = parts.select("doc_id", F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole"), (F.coalesce("base", F.lit(0.0)) / F.col("copies")).alias("base"), (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"), (F.coalesce("more", F.lit(0.0)) / F.col("copies")).alias("more"))
-    score_of = F.col("whole.score") + F.col("more")
+    one = parts.select("doc_id", F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole"), (F.coalesce("base", F.lit(0.0)) / F.col("copies")).alias("base"), (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"))
+    score_of = F.col("whole.score")
     return one.select(
         "doc_id", "whole.held_out", "whole.n_tokens", (F.col("whole.n_known") + F.col("known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("whole.base") + F.col("base")).alias("base_score"), score_of.alias("score"),
