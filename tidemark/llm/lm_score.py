@@ -23,7 +23,7 @@ DEPTH = 5
 #: Bytes of text that ask for their grams' values together; a longer text is a block of its own.
 BLOCK = 8 << 20
 #: Distinct grams, and bytes of text whose grams are looked up, for each bucket of the model.
-BUCKET_GRAMS, BUCKET_BYTES = 250_000, 32 << 20
+BUCKET_GRAMS, BUCKET_BYTES = 50_000, 32 << 20
 #: Grams sorted at a time.
 PIECE = 1 << 20
 FREQUENT = 200_000
@@ -285,8 +285,9 @@ def unpack(raw: bytes, depth: int = DEPTH) -> np.ndarray:
 
 
 def distinct(grams: np.ndarray) -> np.ndarray:
-    """The distinct grams, in order, sorted piece by piece."""
-    return np.unique(np.concatenate([np.unique(grams[i : i + PIECE]) for i in range(0, len(grams), PIECE)]))
+    """The distinct grams, in order."""
+    ordered = np.sort(grams)  # several times as fast as np.unique
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
 
 
 def joined_grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
