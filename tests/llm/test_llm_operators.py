@@ -672,4 +672,4 @@ def test_lm_score_by_brute_force(spark, rows, monkeypatch, limits):
 
 def test_packed_grams():
     grams = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64))
-    assert (lm_score.unpack(lm_score.pack(grams)) == grams).all() and len(lm_score.pack(grams)) == 6 * len(grams)
+    assert (lm_score.unpack(lm_score.pack(grams)) == grams).all() and len(lm_score.pack(grams)) < 6.1 * len(grams)

@@ -8,7 +8,9 @@ from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -274,16 +276,30 @@ def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack(grams: np.ndarray, depth: int = DEPTH) -> bytes:
-    """Grams in order, their highest bytes first, then the next: such runs compress well."""
-    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - depth :].T).tobytes()
+    """Grams in order, compressed: their highest bytes first, then the next."""
+    planes = grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - depth :].T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpack(raw: bytes, depth: int = DEPTH) -> np.ndarray:
-    out = np.zeros((len(raw) // (depth + 1), 8), np.uint8)
-    out[:, 7 - depth :] = np.frombuffer(raw, np.uint8).reshape(depth + 1, -1).T
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(depth + 1, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 7 - depth :] = planes.T
     return out.view(">u8").ravel().astype(np.uint64)
 
 
+def pack_rows(rows: pd.DataFrame) -> bytes:
+    """Rows as one compressed Arrow stream."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+        stream.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_pandas()
+
+
 def distinct(grams: np.ndarray) -> np.ndarray:
     """The distinct grams, in order."""
     ordered = np.sort(grams)  # several times as fast as np.unique
@@ -296,13 +312,13 @@ def joined_grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np
     return np.concatenate(grams), np.cumsum([0] + [len(g) for g in grams[:-1]])
 
 
-BLOCKS = "doc_id string, k2 long, held_out boolean, text string, block long, bucket int, grams binary"
+BLOCKS = "block long, bucket int, packed binary"
 
 
 def write_blocks(rows: DataFrame, path: str, buckets: int, depth: int = DEPTH) -> None:
     """Writes the texts in blocks of about ``BLOCK`` bytes, and what each block asks of each bucket.
 
-    Rows of a text have no bucket, rows that ask have no text.
+    A block's texts are one row without a bucket; what it asks of a bucket is one more.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,13 +326,13 @@ def write_blocks(rows: DataFrame, path: str, buckets: int, depth: int = DEPTH) -
 
         def emit() -> Iterator[pd.DataFrame]:
             texts = pd.concat(held, ignore_index=True)
-            yield texts.assign(block=block, bucket=None, grams=None)
             grams = distinct(joined_grams([t.encode() for t in texts["text"]], depth)[0])
             bucket = bucket_of(grams, buckets)
             order = np.argsort(bucket, kind="stable")
             ends = np.flatnonzero(np.diff(bucket[order])) + 1
             asked = [(block, int(bucket[g[0]]), pack(grams[g], depth)) for g in np.split(order, ends)]
-            yield pd.DataFrame(asked, columns=["block", "bucket", "grams"]).assign(doc_id=None, k2=None, held_out=None, text=None)
+            out = pd.DataFrame([(block, None, pack_rows(texts)), *asked], columns=["block", "bucket", "packed"])
+            yield out.astype({"bucket": "Int32"})
 
         for batch in batches:
             sizes = batch["text"].str.len().to_numpy()
@@ -332,14 +348,14 @@ def write_blocks(rows: DataFrame, path: str, buckets: int, depth: int = DEPTH) -
         if held:
             yield from emit()
 
-    rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(cut, BLOCKS).write.option("compression", "zstd").parquet(path)
+    rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(cut, BLOCKS).write.parquet(path)
 
 
 def answer(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """The values of the grams that blocks ask of one bucket, in their order."""
     order = np.argsort(model["gram"].to_numpy())
     keys, values = model["gram"].to_numpy()[order].astype(np.uint64), model["value"].to_numpy(np.float32)[order]
-    found = [values[np.searchsorted(keys, unpack(g))].tobytes() for g in asked["grams"]]
+    found = [values[np.searchsorted(keys, unpack(g))].tobytes() for g in asked["packed"]]
     return pd.DataFrame({"block": asked["block"], "bucket": asked["bucket"], "found": found})
 
 
@@ -391,12 +407,13 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     path = shared_dir(docs.sparkSession, "lm-blocks")
     write_blocks(rows, path, buckets)
     written = docs.sparkSession.read.schema(BLOCKS).parquet(path)
-    asked = written.filter("bucket IS NOT NULL").select("block", "bucket", "grams")
+    asked = written.filter("bucket IS NOT NULL")
     answers = fit_tree(grams, buckets).groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(answer, "block long, bucket int, found binary")
     total = n + 0.1 * (v + 1)
     end = log10((n_train + 0.1) / total)
 
-    def score(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def score(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        texts = unpack_rows(block["packed"].iloc[0])
         hashes, seen = known.value
         common = dict(zip(hashes.tolist(), seen.tolist(), strict=True))
         logs: dict[bytes, float] = {}  # of frequent words
@@ -422,7 +439,7 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
         return pd.concat([texts[["doc_id", "k2", "held_out"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_tokens", "n_known", "base", "score", "n_bytes", "rare", "times"])], axis=1)
 
     schema = "doc_id string, k2 long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>"
-    texts = written.filter("bucket IS NULL").select("block", "doc_id", "k2", "held_out", "text")
+    texts = written.filter("bucket IS NULL").select("block", "packed")
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
     # Each text's rare words become rows; the first of them carries the rest of the text's row.
     whole = F.struct("held_out", "n_tokens", "n_known", "base", "score", "n_bytes")
