@@ -23,7 +23,7 @@ MARK = 255
 #: Bytes of the deepest contexts.
 DEPTH = 5
 #: Bytes of text that ask for their grams' values together; a longer text is a block of its own.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Distinct grams, and bytes of text whose grams are looked up, for each bucket of the model.
 BUCKET_GRAMS, BUCKET_BYTES = 50_000, 32 << 20
 #: Grams sorted at a time.
@@ -308,8 +308,11 @@ def distinct(grams: np.ndarray) -> np.ndarray:
 
 def joined_grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """The grams of all texts one after another, and where each text's begin."""
-    grams = [grams_of(t, depth) for t in texts]
-    return np.concatenate(grams), np.cumsum([0] + [len(g) for g in grams[:-1]])
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    out = np.empty(starts[-1], np.uint64)
+    for text, start, end in zip(texts, starts, starts[1:]):
+        out[start:end] = grams_of(text, depth)
+    return out, starts[:-1]
 
 
 BLOCKS = "block long, bucket int, packed binary"
@@ -369,7 +372,7 @@ def score_block(texts: list[bytes], answers: pd.DataFrame, buckets: int) -> np.n
     for i in range(0, len(grams), PIECE):
         some, where = np.unique(grams[i : i + PIECE], return_inverse=True)
         out[i : i + PIECE] = values[np.searchsorted(keys, some)][where]
-    return np.add.reduceat(out.astype(float), starts)
+    return np.add.reduceat(out, starts, dtype=float)
 
 
 # --- the scores
