@@ -143,12 +143,14 @@ def encode_vectors(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds
     folder = shared_dir(spark, "vectors")
     rows.write.parquet(f"{folder}/whole")
     rows = spark.read.parquet(f"{folder}/whole")
-    first = [r["vector"] for r in rows.orderBy(F.col("vec_id").asc_nulls_last(), "vector").limit(entries).collect()]  # so many rows
-    width = len(first[0]) if first else 0
+    order = [F.col("vec_id").asc_nulls_last(), "vector"]
+    least = rows.orderBy(*order).first()
+    width = len(least["vector"]) if least else 0
     if width % parts:
         raise ValueError(f"{width} components can't be cut into {parts} equal parts")
     rows = rows.filter(F.size("vector") == width)
-    books = [np.ascontiguousarray(b) for b in np.split(np.array([v for v in first if len(v) == width], np.int64).reshape(-1, width), parts, axis=1)]
+    first = [r["vector"] for r in rows.orderBy(*order).limit(entries).collect()]  # so many rows
+    books = [np.ascontiguousarray(b) for b in np.split(np.array(first, np.int64), parts, axis=1)] if first else []
     for _ in range(rounds if first else 0):
         books = refine(rows, books, cell)
 
