@@ -198,8 +198,10 @@ def test_listed_terms_go_before_patterns(spark):
     assert {(r["term"], r["status_category"]) for r in found} == {("Zinc", "Listed"), ("zinc oxide", "Pattern"), ("iron", coding.UNMATCHED), (None, coding.UNMATCHED)}
 
 
-def test_profiles_without_posts_are_left_out(spark):
-    rows = spark.createDataFrame([("1", "a title of some length", 1.0, 5, True, False), ("2", "A title of some length", 1.0, 9, True, False)], POST + ", one boolean, two boolean")
-    made = [schemas.Profile("x", "one", (), (), (), dedup=True), schemas.Profile("y", "two", (), (), ()), schemas.Profile("z", "one", (), (), ())]
-    found = posts.run_profiles(rows, made)
-    assert {name: sorted(r["id"] for r in df.collect()) for name, df in found.items()} == {"x": ["2"], "z": ["1", "2"]}
+def test_profiles_without_posts_are_left_out(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a title of some length", 1.0, 5, True, False), ("2", "A title of some length", 1.0, 9, True, None)], POST + ", one boolean, two boolean")
+    made = [schemas.Profile("x", "one", (), (), (), dedup=True), schemas.Profile("y", "two", (), (), ()), schemas.Profile("z", "one", (), (), ()), schemas.Profile("w", "absent", (), (), ())]
+    assert posts.run_profiles(rows, made, str(tmp_path / "p")) == {"x": 1, "z": 2}
+    assert {(r["profile"], r["id"]) for r in spark.read.parquet(str(tmp_path / "p")).collect()} == {("x", "2"), ("z", "1"), ("z", "2")}
+    assert not (tmp_path / "p" / "profile=y").exists()
+    assert posts.run_profiles(rows, made[3:], str(tmp_path / "q")) == {} and posts.run_profiles(rows.limit(0), made, str(tmp_path / "r")) == {}

@@ -9,7 +9,7 @@ they occur, and the codes are joined back to the mentions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import term_key, title_case
@@ -31,24 +31,64 @@ LAYERS = {
 }
 
 
+def _grams(col: Column) -> Column:
+    """All runs of three letters of a text, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - 2, F.lit(1))), lambda i: F.substr(col, i, F.lit(3))))
+
+
+def containing(keyed: DataFrame, patterns: DataFrame, col: str) -> DataFrame:
+    """(col, layer, found) of every row of ``keyed(col, layer, key)`` and of ``patterns(layer, pattern, found)`` that lies in its key.
+
+    A pattern goes under the run of three of its letters that the fewest keys have, a
+    key under all of its own; they meet by equality, and the test follows. For patterns of more than
+    three letters.
+    """
+    runs = keyed.select(F.col(col).alias("__term"), "layer", "key", F.explode(_grams(F.col("key"))).alias("gram"))
+    often = runs.groupBy("layer", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = patterns.withColumn("gram", F.explode(_grams(F.col("pattern")))).join(often, ["layer", "gram"]).groupBy("layer", "pattern", "found").agg(F.min(F.struct("n", "gram")).alias("rarest"))
+    under = rarest.select("layer", F.col("rarest.gram").alias("gram"), "pattern", "found")
+    return runs.join(under, ["layer", "gram"]).filter(F.contains("key", "pattern")).select(F.col("__term").alias(col), "layer", "found")
+
+
+def matching(keyed: DataFrame, patterns: DataFrame, col: str, blocks: int, parts: int) -> DataFrame:
+    """As ``containing``, for patterns to be matched, which have no fixed letters to meet by.
+
+    A grid: patterns are dealt into ``blocks`` and keys into ``parts`` by hash, and each
+    cell of the two is a key of the join, so no task has all keys or all patterns.
+    """
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    dealt = keyed.select(F.col(col).alias("__term"), "layer", "key", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), F.explode(upto(blocks)).alias("block"))
+    rules = patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks))).withColumn("part", F.explode(upto(parts)))
+    return dealt.join(rules, ["layer", "block", "part"]).filter(F.regexp_like("key", F.col("pattern"))).select(F.col("__term").alias(col), "layer", "found")
+
+
 def code_terms(terms: DataFrame, rules: DataFrame, layers: tuple[str, ...] = tuple(LAYERS), col: str = "term") -> DataFrame:
     """(col, a code of each layer) for the distinct terms, all layers in one pass over them.
 
     Exact rules meet their terms by an equality join; the searching ones are tried
     on the distinct terms of their layer. Rules that measure little enough are
-    broadcast; others are dealt out by pattern, or by layer if they search. Null
+    broadcast; beyond that, patterns to be contained meet terms by runs of letters
+    (``containing``) and those to be matched in a grid (``matching``). Null
     terms are terms without a rule.
     """
     used = rules.filter(F.col("layer").isin(*layers))
-    size = used.agg(F.coalesce(F.sum(F.octet_length("pattern") + F.octet_length("label") + 40), F.lit(0))).first()[0]
-    sent = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
+    bytes_ = F.octet_length("pattern") + F.octet_length("label") + 40
+    size, matched = used.agg(F.coalesce(F.sum(bytes_), F.lit(0)), F.coalesce(F.sum(F.when(F.col("kind") == "regex", bytes_)), F.lit(0))).first()
     code = F.struct("priority", "label")
     exact = used.filter("kind <> 'regex'").groupBy("layer", F.col("pattern").alias("key")).agg(F.min(code).alias("listed"))
     search = used.filter("kind <> 'exact'").select(F.col("layer").alias("of"), "kind", "pattern", code.alias("found"))
     keys = F.array(*(F.struct(F.lit(x).alias("layer"), LAYERS[x][1](F.col(col)).alias("key")) for x in layers))
     keyed = terms.select(col).distinct().select(col, F.explode(keys).alias("x")).select(col, "x.*")
-    inside = ((F.col("kind") == "contains") & (F.length("pattern") > 3) & F.contains("key", "pattern")) | ((F.col("kind") == "regex") & F.regexp_like("key", F.col("pattern")))
-    met = keyed.join(sent(exact), ["layer", "key"], "left").join(sent(search), (F.col("layer") == F.col("of")) & inside, "left")
+    if size <= BROADCAST_BYTES:
+        inside = ((F.col("kind") == "contains") & (F.length("pattern") > 3) & F.contains("key", "pattern")) | ((F.col("kind") == "regex") & F.regexp_like("key", F.col("pattern")))
+        met = keyed.join(F.broadcast(exact), ["layer", "key"], "left").join(F.broadcast(search), (F.col("layer") == F.col("of")) & inside, "left")
+    else:
+        patterns = search.withColumnRenamed("of", "layer")
+        regex = patterns.filter("kind = 'regex'").drop("kind")
+        blocks, parts = int(matched // max(1, BROADCAST_BYTES)) + 1, int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        hits = containing(keyed, patterns.filter((F.col("kind") == "contains") & (F.length("pattern") > 3)).drop("kind"), col).unionByName(matching(keyed, regex, col, blocks, parts))
+        listed = keyed.join(exact, ["layer", "key"], "left").select(col, "layer", "listed")
+        met = listed.unionByName(hits, allowMissingColumns=True)
     mine = lambda x, c: F.min(F.when(F.col("layer") == x, F.col(c))).alias(f"{x}_{c}")
     best = met.groupBy(col).agg(*(mine(x, c) for x in layers for c in ("listed", "found")))
     codes = []
@@ -104,6 +144,22 @@ def term_mapping(coded: DataFrame) -> DataFrame:
     return coded.groupBy("raw_term", "canonical", "status_category", "target_group").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "raw_term")
 
 
+#: The tables of a coding, with the columns that tell their rows.
+TABLES = {
+    "category_counts": ("status_category", "post_count", "total_likes", "total_views"), "target_counts": ("target_group", "post_count", "total_likes", "total_views"),
+    "posts_by_category": ("status_category", "canonical", "id", "pos"), "posts_by_target": ("target_group", "canonical", "id", "pos"),
+    "term_mapping": ("raw_term", "canonical", "status_category", "target_group", "count"),
+}
+
+
+def coding_tables(coded: DataFrame) -> dict[str, DataFrame]:
+    """The five tables that a coding leaves, by name: C6 and C7 of both groups, and C8."""
+    return {
+        "category_counts": group_summary(coded, "status_category"), "target_counts": group_summary(coded, "target_group"),
+        "posts_by_category": posts_by(coded, "status_category"), "posts_by_target": posts_by(coded, "target_group"), "term_mapping": term_mapping(coded),
+    }
+
+
 def primary_category(coded: DataFrame) -> DataFrame:
     """(id, primary_category): the category most of a post's terms have.
 
@@ -123,6 +179,8 @@ def primary_counts(primary: DataFrame) -> DataFrame:
 def shadowed_rules(rules: DataFrame) -> DataFrame:
     """``contains`` rules of the target layer that can never win: an earlier item lies inside them."""
     layer = rules.filter("layer = 'target' AND kind = 'contains'").select("priority", "pattern", "label")
-    earlier = F.broadcast(layer.select(F.col("priority").alias("before"), F.col("pattern").alias("by"), F.col("label").alias("wins")))
-    inside = (F.col("before") < F.col("priority")) & (F.length("by") > 3) & F.contains(F.col("pattern"), F.col("by")) & (F.col("wins") != F.col("label"))
-    return layer.join(earlier, inside).groupBy("priority", "pattern", "label").agg(F.min_by("by", "before").alias("shadowed_by"))
+    keyed = layer.select("pattern", F.lit("target").alias("layer"), F.col("pattern").alias("key")).distinct()
+    items = layer.filter(F.length("pattern") > 3).select(F.lit("target").alias("layer"), "pattern", F.struct(F.col("priority").alias("before"), F.col("pattern").alias("by"), F.col("label").alias("wins")).alias("found"))
+    met = layer.join(containing(keyed, items, "pattern").select("pattern", "found.*"), "pattern")
+    earlier = met.filter((F.col("before") < F.col("priority")) & (F.col("wins") != F.col("label")))
+    return earlier.groupBy("priority", "pattern", "label").agg(F.min_by("by", "before").alias("shadowed_by"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import pairwise
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PLATFORMS
 from .coding import code_posts, primary_category, primary_counts
-from .posts import dedup_posts, is_flagged, mark_duplicates, named_terms, screen_flag, screen_has_terms, screen_platform
+from .posts import copy_key, dedup_posts, first_of_copies, is_flagged, named_terms, screen_flag, screen_has_terms, screen_platform
 
 STAGES = ("links", "processed", "topic", "unique", "has_terms")
 
@@ -26,65 +27,121 @@ def platform_processed(links: DataFrame, posts: DataFrame, allowed: Sequence[str
     return platform_links(links).join(done, "platform", "left").select("platform", "n_links", F.coalesce("n", F.lit(0)).alias("n_processed"))
 
 
-def funnel_counts(links: DataFrame, posts: DataFrame, flag: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
-    """(stage, n), what passes each screen; what it removes is ``not_<stage>``.
+def _screened(posts: DataFrame, flag: str, allowed: Sequence[str], *more: Column) -> DataFrame:
+    """Posts by what they share with their copies: (platforms, n, topic, has_terms and what ``more`` adds of the first).
 
-    One pass over the posts on topic finds copies and terms; the others are counted
-    on the way.
+    Posts off topic are one group; so are those with short titles that have the same id
+    and terms, all of which stay. ``n_first`` says how many of a group stay, ``platforms``
+    counts its posts on each of ``allowed``. Groups are merged before they move, so
+    a popular title is no task's.
     """
     inside = screen_platform(posts, allowed).withColumn("__topic", is_flagged(posts, flag))
-    marked = mark_duplicates(inside.filter("__topic"))
-    with_terms = F.size(named_terms()) > 0
-    once = F.col("copy") == 1
-    topic = marked.agg(F.count(F.lit(1)).alias("topic"), F.count_if(once).alias("unique"), F.count_if(~once).alias("not_unique"), F.count_if(once & with_terms).alias("has_terms"), F.count_if(once & ~with_terms).alias("not_has_terms"))
-    processed = inside.agg(F.count(F.lit(1)).alias("processed"), F.count_if(~F.col("__topic")).alias("not_topic"))
+    title, duration = copy_key(inside)
+    lone = F.when(F.col("__topic") & title.isNull(), F.struct("id", "supplements"))
+    keyed = inside.withColumns({"__title": F.when(F.col("__topic"), title), "__duration": F.when(F.col("__topic"), duration), "__lone": lone})
+    first = F.struct((F.size(named_terms()) > 0).alias("has_terms"), *more)
+    platforms = F.array(*(F.count_if(F.col("extractor") == p) for p in allowed))
+    groups = keyed.groupBy("__topic", "__title", "__duration", "__lone").agg(F.count(F.lit(1)).alias("n"), platforms.alias("platforms"), F.min_by(first, first_of_copies()).alias("first"))
+    stay = F.when(~F.col("__topic"), 0).when(F.col("__title").isNull(), F.col("n")).otherwise(1)
+    return groups.select(F.col("__topic").alias("topic"), "n", stay.alias("n_first"), "platforms", "first.*")
+
+
+def _tallies(screened: DataFrame, n_platforms: int) -> DataFrame:
+    """One row: how many posts pass and fail each screen, and how many each platform has."""
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    topic, first = F.when(F.col("topic"), F.col("n")), F.col("n_first")
+    return screened.agg(
+        sums("n").alias("processed"), sums(topic).alias("topic"), sums(first).alias("unique"), sums(F.when(F.col("has_terms"), first)).alias("has_terms"),
+        F.array(*(sums(F.col("platforms")[i]) for i in range(n_platforms))).alias("platforms"),
+    )
+
+
+def _stage_rows(one: DataFrame) -> DataFrame:
+    """(stage, n) of a row with the numbers of all stages; what a screen removes is ``not_<stage>``."""
+    removed = [F.struct(F.lit(f"not_{s}").alias("stage"), (F.col(before) - F.col(s)).alias("n")) for before, s in pairwise(STAGES)]
+    return one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).alias("n")) for s in STAGES), *removed)).alias("x")).select("x.stage", "x.n")
+
+
+def funnel_counts(links: DataFrame, posts: DataFrame, flag: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
+    """(stage, n), what passes each screen; what it removes is ``not_<stage>``. One pass over the posts."""
     total = links.filter("source IS NOT NULL").agg(F.count(F.lit(1)).alias("links"))
-    one = total.crossJoin(processed).crossJoin(topic).withColumn("not_processed", F.col("links") - F.col("processed"))  # one row each
-    names = [*STAGES, *(f"not_{s}" for s in STAGES[1:])]
-    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("stage"), F.col(n).alias("n")) for n in names))).alias("x")).select("x.stage", "x.n")
+    return _stage_rows(total.crossJoin(_tallies(_screened(posts, flag, allowed), len(allowed))))  # one row each
 
 
-def category_counts(posts: DataFrame, rules: DataFrame, flag: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
-    """Posts of each primary category among those that pass every screen."""
+def categories(posts: DataFrame, rules: DataFrame, flag: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
+    """The posts that pass every screen, as (id, primary_category)."""
     kept = screen_has_terms(dedup_posts(screen_flag(screen_platform(posts, allowed), flag)))
-    return primary_counts(primary_category(code_posts(kept, rules)))
+    return primary_category(code_posts(kept, rules))
+
+
+def funnel_cube(links: DataFrame, posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
+    """The numbers that the whole funnel is made of, as a few rows: (part, name, n, m).
 
+    Parts: ``links`` of each platform (n) and its processed posts (m), ``stage`` for
+    what passes each screen, ``category`` of the posts that pass them all.
 
-def funnel_edges(links: DataFrame, posts: DataFrame, rules: DataFrame, flag: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
+    Posts are read once: what copies share becomes one row of a table in
+    ``folder``, with the terms of the first, and all that follows reads that table.
+    """
+    terms = F.when(F.size(named_terms()) > 0, F.struct("id", F.col("supplements")))
+    _screened(posts, flag, allowed, terms.alias("named")).write.mode("overwrite").parquet(f"{folder}/screened")
+    screened = posts.sparkSession.read.parquet(f"{folder}/screened")
+    named = screened.filter("n_first > 0 AND has_terms").select("named.*")
+    counted = primary_counts(primary_category(code_posts(named, rules)))
+    tallies = _tallies(screened, len(allowed))
+    linked = platform_links(links)
+    done = tallies.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, allowed)), "platforms")).alias("platform", "done"))
+    row = lambda part, name, n, m: [F.lit(part).alias("part"), name.alias("name"), n.cast("long").alias("n"), m.cast("long").alias("m")]
+    nothing = F.lit(None)
+    by_platform = linked.join(done, "platform", "left").select(*row("links", F.col("platform"), F.col("n_links"), F.coalesce("done", F.lit(0))))
+    stages = F.explode(F.map_from_arrays(F.array(*map(F.lit, STAGES[1:])), F.array(*STAGES[1:]))).alias("stage", "n")
+    screens = tallies.select(stages).select(*row("stage", F.col("stage"), F.col("n"), nothing))
+    by_category = counted.select(*row("category", F.col("primary_category"), F.col("n"), nothing))
+    return by_platform.unionByName(screens).unionByName(by_category)
+
+
+def funnel_edges(cube: DataFrame) -> DataFrame:
     """(src, dst, n, kind): links by platform to processed or failed, screens to kept or removed, posts to categories.
 
     Links and posts are two tables, so that what failed can be negative.
     """
-    platforms = platform_processed(links, posts, allowed)
-    two = F.explode(F.array(F.struct(F.lit("processed").alias("dst"), F.col("n_processed").alias("n"), F.lit("kept").alias("kind")), F.struct(F.lit("not_processed").alias("dst"), (F.col("n_links") - F.col("n_processed")).alias("n"), F.lit("removed").alias("kind"))))
-    first = platforms.select(F.col("platform").alias("src"), two.alias("x")).select("src", "x.*")
-    counts = funnel_counts(links, posts, flag, allowed)
-    before = dict(zip(STAGES[2:], STAGES[1:-1], strict=True))
-    source = F.create_map(*(F.lit(x) for s, b in before.items() for pair in ((s, b), (f"not_{s}", b)) for x in pair))
-    screens = counts.filter(F.col("stage").isin(*before, *(f"not_{s}" for s in before)))
-    second = screens.select(source[F.col("stage")].alias("src"), F.col("stage").alias("dst"), "n", F.when(F.col("stage").startswith("not_"), "removed").otherwise("kept").alias("kind"))
-    third = category_counts(posts, rules, flag, allowed).select(F.lit("has_terms").alias("src"), F.col("primary_category").alias("dst"), "n", F.lit("kept").alias("kind"))
-    return first.unionByName(second).unionByName(third)
+    edge = lambda src, dst, n, kind: F.struct(src.alias("src"), dst.alias("dst"), n.alias("n"), F.lit(kind).alias("kind"))
+    name, n, m = F.col("name"), F.col("n"), F.col("m")
+    before = F.lag("n").over(Window.partitionBy("part").orderBy(_place("name")))  # four rows of the part that counts
+    source = F.element_at(F.create_map(*(F.lit(x) for a, b in pairwise(STAGES[1:]) for x in (b, a))), name)
+    edges = (
+        F.when(F.col("part") == "links", F.array(edge(name, F.lit("processed"), m, "kept"), edge(name, F.lit("not_processed"), n - m, "removed")))
+        .when((F.col("part") == "stage") & (name != "processed"), F.array(edge(source, name, n, "kept"), edge(source, F.concat(F.lit("not_"), name), F.col("before") - n, "removed")))
+        .when(F.col("part") == "category", F.array(edge(F.lit("has_terms"), name, n, "kept")))
+    )
+    return cube.withColumn("before", before).select(F.explode(edges).alias("x")).select("x.*")
+
+
+def _place(name: str) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for i, s in enumerate(STAGES) for x in (s, i))), F.col(name))
 
 
 def funnel_shares(edges: DataFrame, total: DataFrame) -> DataFrame:
     """P5: edges with their percent of the source and the destination's percent of all links.
 
     A node's size is what flows into it, or out of it if nothing does. ``total`` is
-    one row with ``n``. Shares of an empty node are null.
+    one row with ``n``. Shares of an empty node are null. Each edge tells both its
+    nodes what flows, so that sizes are windows over the edges, which are few.
     """
-    inward = edges.groupBy(F.col("dst").alias("node")).agg(F.sum("n").alias("n_in"))
-    outward = edges.groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("n_out"))
-    size = outward.join(inward, "node", "full_outer").select("node", F.coalesce("n_in", "n_out").alias("size"))
-    named = edges.join(size.select(F.col("node").alias("src"), F.col("size").alias("src_size")), "src").join(size.select(F.col("node").alias("dst"), F.col("size").alias("dst_size")), "dst")
+    edges = edges.withColumn("__edge", F.monotonically_increasing_id())
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit("out").alias("way")), F.struct(F.col("dst").alias("node"), F.lit("in").alias("way")))).alias("end")
+    told = edges.select("*", ends).select("__edge", "src", "dst", "n", "kind", "end.*")
+    flow = lambda way: F.sum(F.when(F.col("way") == way, F.col("n"))).over(Window.partitionBy("node"))
+    sized = told.withColumn("size", F.coalesce(flow("in"), flow("out")))
+    size = lambda way: F.max(F.when(F.col("way") == way, F.col("size")))
+    named = sized.groupBy("__edge", "src", "dst", "n", "kind").agg(size("out").alias("src_size"), size("in").alias("dst_size"))
     percent = lambda a, b: F.try_divide(100.0 * a, b.cast("double"))
     return named.crossJoin(F.broadcast(total.select(F.col("n").alias("__all")))).select("src", "dst", "n", "kind", percent(F.col("n"), F.col("src_size")).alias("percent_of_src"), percent(F.col("dst_size"), F.col("__all")).alias("dst_percent_of_links"))
 
 
 def funnel_stages(counts: DataFrame) -> DataFrame:
     """(stage, n_in, kept, removed) for each screen, in order."""
-    place = F.create_map(*(F.lit(x) for i, s in enumerate(STAGES) for x in (s, i)))
-    main = counts.filter(F.col("stage").isin(*STAGES)).withColumn("place", F.element_at(place, F.col("stage")))
+    main = counts.filter(F.col("stage").isin(*STAGES)).withColumn("place", _place("stage"))
     steps = main.withColumn("n_in", F.lag("n").over(Window.orderBy("place")))  # five rows
     return steps.filter("place > 0").select("place", "stage", "n_in", F.col("n").alias("kept"), (F.col("n_in") - F.col("n")).alias("removed"))
 

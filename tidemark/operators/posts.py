@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import CODING_SENTINELS, drop_sentinels, split_terms
@@ -51,17 +51,24 @@ def pick_results(base: DataFrame, alternative: DataFrame) -> DataFrame:
     return base if alternative.isEmpty() else alternative
 
 
-def run_profiles(df: DataFrame, profiles: Iterable[Profile], mode: str = "strict") -> dict[str, DataFrame]:
-    """For each profile, by name, its posts: on its topic, without copies if it says so.
+def run_profiles(df: DataFrame, profiles: Iterable[Profile], folder: str, mode: str = "strict") -> dict[str, int]:
+    """Writes each profile's posts to ``folder/profile=<name>`` and returns their numbers.
 
-    A profile without any post is left out; one row is looked for to tell.
+    A post goes to every profile whose flag it bears (a profile whose flag the table lacks has none), without copies
+    where the profile says so. All profiles are written by one job, which counts on
+    the way; one without posts has no folder and no number. A null flag is no flag.
     """
-    found = {}
-    for p in profiles:
-        inside = screen_flag(df, p.flag, mode)
-        if not inside.isEmpty():
-            found[p.name] = dedup_posts(inside) if p.dedup else inside
-    return found
+    used = [p for p in profiles if p.flag in df.columns]
+    if not used:
+        return {}
+    marks = F.array(*(F.when(is_flagged(df, p.flag, mode), F.lit(p.name)) for p in used))
+    marked = df.withColumn("profile", F.explode(F.filter(marks, lambda x: x.isNotNull())))
+    once = [p.name for p in used if p.dedup]
+    found = dedup_posts(marked.filter(F.col("profile").isin(*once)), ("profile",)).unionByName(marked.filter(~F.col("profile").isin(*once))) if once else marked
+    seen = Observation()
+    counts = [F.count_if(F.col("profile") == p.name).alias(p.name) for p in used]
+    found.observe(seen, *counts).write.partitionBy("profile").mode("overwrite").parquet(folder)
+    return {name: n for name, n in seen.get.items() if n}
 
 
 def union_ragged(parts: Sequence[DataFrame]) -> DataFrame:
@@ -100,31 +107,41 @@ def screen_flag(df: DataFrame, flag: str, mode: str = "strict") -> DataFrame:
     return df.filter(is_flagged(df, flag, mode))
 
 
-def mark_duplicates(df: DataFrame) -> DataFrame:
-    """Adds ``copy``: 1 for a post that stays, more for its copies on other platforms.
+def copy_key(df: DataFrame) -> tuple[Column, Column]:
+    """What copies of a post share: the title, trimmed and in lower case, and the duration, rounded half to even.
 
-    Posts are copies if they share the title (trimmed, lower case, of 15 characters
-    or more) and the duration, rounded half to even, where nulls are equal. Of
-    copies the most viewed comes first, then the least id. Shorter titles are
-    nobody's copy and are kept out of the shuffle.
+    The title is null where it is too short to tell a copy by; a null duration equals another.
     """
     title = F.btrim(F.lower(F.coalesce("title", F.lit(""))))
-    duration = F.bround(F.col("duration")) if "duration" in df.columns else F.lit(0)
-    keyed = df.withColumns({"__title": title, "__duration": duration})
-    place = Window.partitionBy("__title", "__duration").orderBy(F.col("view_count").desc_nulls_last(), "id")
-    long, short = keyed.filter(F.length("__title") >= TITLE_LENGTH), keyed.filter(F.length("__title") < TITLE_LENGTH)
-    marked = long.withColumn("copy", F.row_number().over(place)).unionByName(short.withColumn("copy", F.lit(1)))
-    return marked.drop("__title", "__duration")
+    return F.when(F.length(title) >= TITLE_LENGTH, title), F.bround(F.col("duration")) if "duration" in df.columns else F.lit(0)
+
+
+def first_of_copies() -> Column:
+    """By what the first of copies is told: the most viewed, nulls last, then the least id."""
+    return F.struct(F.col("view_count").isNull(), -F.col("view_count"), F.col("id"))
 
 
-def dedup_posts(df: DataFrame) -> DataFrame:
-    """posts without copies of another post."""
-    return mark_duplicates(df).filter("copy = 1").drop("copy")
+def dedup_posts(df: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """posts without copies of another post, of which the first (``first_of_copies``) stays.
+
+    Only posts with the same values of ``within`` are copies. The least of a group is
+    found by an aggregate that tasks start before rows move, so a title that many posts
+    share is a row a task, never a group of rows. Short titles don't move.
+    """
+    title, duration = copy_key(df)
+    keyed = df.withColumns({"__title": title, "__duration": duration})
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    first = keyed.filter("__title IS NOT NULL").groupBy("__title", "__duration", *within).agg(F.min_by(row, first_of_copies()).alias("__row"))
+    return first.select("__row.*").unionByName(keyed.filter("__title IS NULL").select(*(F.col(f"`{c}`") for c in df.columns)))
 
 
 def dedup_stats(df: DataFrame) -> DataFrame:
-    """one row with the numbers of posts, of those that stay and of copies."""
-    return mark_duplicates(df).agg(F.count(F.lit(1)).alias("n_posts"), F.count_if(F.col("copy") == 1).alias("n_kept"), F.count_if(F.col("copy") > 1).alias("n_removed"))
+    """one row with the numbers of posts, of those that stay and of copies; only keys and counts move."""
+    title, duration = copy_key(df)
+    groups = df.groupBy(title.alias("title"), duration.alias("duration")).agg(F.count(F.lit(1)).alias("n"))
+    kept = F.coalesce(F.sum(F.when(F.col("title").isNull(), F.col("n")).otherwise(1)), F.lit(0))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return groups.agg(total.alias("n_posts"), kept.alias("n_kept"), (total - kept).alias("n_removed"))
 
 
 def named_terms(col: str = "supplements") -> Column:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_end
 from ..functions.text import REPORT_ALIASES, TOP_SENTINELS, alias_title, drop_sentinels, loose_bool, normalize_symptoms, parse_list, split_terms, title_case
+from ..schemas import PLATFORMS
 from .coding import canonicalize
 from .links import value_counts
-from .posts import is_flagged
+from .posts import dedup_posts, is_flagged, screen_flag, screen_platform
 
 METRICS = ("like_count", "view_count", "comment_count")
 SENTIMENTS = ("negative", "neutral", "positive")
@@ -88,16 +90,28 @@ def top_terms_by_month(df: DataFrame, rules: DataFrame, k: int = 3) -> DataFrame
     return every.join(counts, ["year_month", "canonical"], "left").select("year_month", "canonical", F.coalesce("n", F.lit(0)).alias("mentions"))
 
 
-def content_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """For each name, posts whose raw list contains it: their number, by sentiment, and their three most common symptom fields."""
+def _naming(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A row for each name that a post's raw list contains."""
     name = F.explode(F.filter(F.array(*(F.lit(n) for n in names)), lambda n: F.contains(F.col("supplements"), n)))
-    rows = df.filter(F.col("supplements").isNotNull()).select(name.alias("name"), "sentiment", "symptoms")
-    counts = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n_posts"), *(F.count_if(F.col("sentiment") == s).alias(s) for s in SENTIMENTS))
+    return df.filter(F.col("supplements").isNotNull()).select(name.alias("name"), "sentiment", "symptoms")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n_posts"), *(F.count_if(F.col("sentiment") == s).alias(s) for s in SENTIMENTS))
+
+
+def _common_symptoms(rows: DataFrame, k: int = 3) -> DataFrame:
+    """(name, symptoms, n, rank): each name's k most common symptom fields."""
     fields = rows.filter(F.col("symptoms").isNotNull()).groupBy("name", "symptoms").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("name").orderBy(F.desc("n"), "symptoms")
-    common = fields.withColumn("rank", F.row_number().over(first)).filter("rank <= 3").groupBy("name")
-    listed = common.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "symptoms"))), lambda x: x["symptoms"]), " / ").alias("common_symptoms"))
-    return counts.join(listed, "name", "left")
+    return fields.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+
+
+def content_profile(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """For each name, posts whose raw list contains it: their number, by sentiment, and their three most common symptom fields."""
+    rows = _naming(df, names)
+    listed = _common_symptoms(rows).groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "symptoms"))), lambda x: x["symptoms"]), " / ").alias("common_symptoms"))
+    return _counted(rows).join(listed, "name", "left")
 
 
 def report_terms(col: str = "supplements") -> Column:
@@ -150,25 +164,125 @@ def inclusion_counts(df: DataFrame, flag: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("loaded"), F.count(F.lit(1)).alias("after_platform_filter"), F.count_if(inside).alias("included"))
 
 
-def long_form(df: DataFrame, section: str, key: str, metrics: Sequence[str]) -> DataFrame:
-    """(section, key, metric, value) rows of a summary."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("m")
-    return df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), pairs).select("section", "key", "m.metric", "m.value")
+#: What a post adds to a fact it bears.
+FACTS = ("n", "ids", "like_count", "view_count", "comment_count", *SENTIMENTS, "told", "marketed")
 
 
-def findings(df: DataFrame, rules: DataFrame, flag: str) -> DataFrame:
-    """The results of a profile as one long table, for posts with dates and periods."""
-    inside = inclusion_counts(df, flag).withColumn("all", F.lit("all"))
+def _bears(kind: str, name: Column | None, at: Column | None, **sums: Column) -> Column:
+    """A fact of a post: what kind, of which name, when; ``sums`` are what it adds besides one."""
+    values = [(sums[c].cast("double") if c in sums else F.lit(1.0 if c == "n" else 0.0)).alias(c) for c in FACTS]
+    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
+    return F.struct(F.lit(kind).alias("kind"), text(name).alias("name"), text(at).alias("at"), *values)
+
+
+def _number(df: DataFrame, metric: str) -> Column:
+    """A metric as a number; texts that are none, nulls and absent ones are 0."""
+    return F.coalesce(F.col(metric).try_cast("double"), F.lit(0.0)) if metric in df.columns else F.lit(0.0)
+
+
+def analysis_facts(scope: DataFrame) -> DataFrame:
+    """What the posts of the analysis add to its sections: by platform, month, sentiment, term and symptom."""
+    said = {s: (F.lower("sentiment") == s).cast("int") for s in SENTIMENTS}
+    said = {s: F.coalesce(c, F.lit(0)) for s, c in said.items()}
+    sums = {m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in METRICS} | said
+    sums |= {"ids": F.col("id").isNotNull().cast("int"), "told": F.col("sentiment").isNotNull().cast("int")}
+    terms = drop_sentinels(F.transform(split_terms(F.col("supplements")), F.lower), TOP_SENTINELS)
+    symptoms = F.when(F.col("symptoms").isNotNull() & (F.lower("symptoms") != "none"), normalize_symptoms(split_terms(F.col("symptoms"))))
+    one = [F.when(F.col(c).isNotNull(), _bears(kind, F.col(c), None, **sums)) for kind, c in (("platforms", "extractor"), ("months", "year_month"), ("sentiment", "sentiment"))]
+    many = [F.transform(terms, lambda t: _bears("terms", t, F.col("year_month"))), F.coalesce(F.transform(symptoms, lambda t: _bears("top_symptoms", t, None)), F.array())]
+    return scope.select(F.explode(F.concat(F.array(*one), *many)).alias("x")).filter("x IS NOT NULL").select("x.*")
+
+
+def report_facts(df: DataFrame, flag: str) -> DataFrame:
+    """What posts add to the report's sections: whether they are included, and by platform, term, member and symptom if so."""
+    inside = is_flagged(df, flag, "text") if flag in df.columns else F.lit(True)
+    said = {s: F.coalesce((F.col("sentiment") == s).cast("int"), F.lit(0)) for s in SENTIMENTS}
+    terms = report_terms()
+    month = month_end(F.col("date"))
+    symptoms = F.transform(parse_list(F.col("symptoms")), title_case)
+    included = F.concat(
+        F.array(F.when(F.col("extractor").isNotNull(), _bears("report_platforms", F.col("extractor"), None, **{m: _number(df, m) for m in METRICS}))),
+        F.transform(terms, lambda t: _bears("report_top_terms", t, month)),
+        F.transform(F.array_distinct(terms), lambda t: _bears("members", t, F.col("misleading").try_cast("double"), marketed=loose_bool(F.col("marketing")).cast("int"), **said)),
+        F.transform(symptoms, lambda t: _bears("report_top_symptoms", t, None)),
+    )
+    all_ = F.array(_bears("inclusion", F.lit("all"), None, ids=inside.cast("int")))
+    return df.select(F.explode(F.concat(all_, F.when(inside, included).otherwise(F.array()))).alias("x")).filter("x IS NOT NULL").select("x.*")
+
+
+def _long(df: DataFrame, section: str, metrics: Mapping[str, Column], key: str = "name", rank: Column | None = None) -> DataFrame:
+    """(section, rank, key, metric, value) rows of a summary that has ``rank``, or is ranked by ``rank`` over its few rows."""
+    place = F.col("rank") if rank is None else F.row_number().over(Window.orderBy(rank, key))
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in metrics.items()))
+    ranked = df.select(place.cast("int").alias("rank"), F.col(key).cast("string").alias("key"), pairs.alias("m"))
+    return ranked.select(F.lit(section).alias("section"), "rank", "key", F.explode("m").alias("m")).select("section", "rank", "key", "m.metric", "m.value")
+
+
+def _densely(months: DataFrame, top: DataFrame, counts: DataFrame, section: str) -> DataFrame:
+    """Mentions of each top term in every month, 0 where there are none; the rank is the month's."""
+    every = months.withColumn("rank", F.row_number().over(Window.orderBy("at"))).crossJoin(F.broadcast(top.select("name")))  # months times a few
+    met = every.join(counts, ["at", "name"], "left")
+    return met.select(F.lit(section).alias("section"), "rank", F.col("at").alias("key"), F.col("name").alias("metric"), F.coalesce("n", F.lit(0.0)).alias("value"))
+
+
+def findings(posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed: Sequence[str] = PLATFORMS, k: int = 10, tracked: int = 3) -> DataFrame:
+    """All results of a profile as one long table: (section, rank, key, metric, value).
+
+    ``posts`` have dates and periods. The analysis is of posts on topic of the allowed
+    platforms without copies, the report of those whose flag reads true. Sections of
+    the analysis: platforms, sentiment_by_month, sentiment_share, popularity_by_month,
+    posts_per_month, sentiment, top_terms, top_terms_by_month, content_profile, content_symptoms and
+    top_symptoms; of the report: inclusion, report_platforms, report_top_terms, report_trend,
+    report_profile and report_top_symptoms. A rank counts from 1 in a section, by number or month; of a
+    term's symptoms within the term. Months without a date and shares of nothing are left out
+    or null.
+
+    Every post is turned into the facts it bears, in one pass a scope, and these are
+    added up before they move, to a row for each name and month. Those sums are written
+    to ``folder``; all sections are made from them, but for the posts that name the
+    terms found on top, whose few names a second pass looks for.
+    """
+    spark = posts.sparkSession
+    scope = dedup_posts(screen_flag(screen_platform(posts, allowed), flag))
+    facts = analysis_facts(scope).unionByName(report_facts(posts, flag)).groupBy("kind", "name", "at").agg(*(F.sum(c).alias(c) for c in FACTS))
+    facts.write.mode("overwrite").parquet(f"{folder}/facts")
+    facts = spark.read.parquet(f"{folder}/facts")
+    of = lambda *kinds: facts.filter(F.col("kind").isin(*kinds))
+    raw = of("terms").select(F.col("name").alias("term"), "at", "n")
+    named = raw.join(canonicalize(raw.select("term"), rules), "term").select(F.lit("top_terms").alias("kind"), F.col("canonical").alias("name"), "at", "n")
+    mentions = named.unionByName(of("report_top_terms", "top_symptoms", "report_top_symptoms").select("kind", "name", "at", "n")).groupBy("kind", "name", "at").agg(F.sum("n").alias("n"))
+    best = Window.partitionBy("kind").orderBy(F.desc("mentions"), "name")
+    top = mentions.groupBy("kind", "name").agg(F.sum("n").alias("mentions")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    top.write.mode("overwrite").parquet(f"{folder}/top")
+    top = spark.read.parquet(f"{folder}/top")  # k rows a kind
+    first = {kind: top.filter((F.col("kind") == kind) & (F.col("rank") <= tracked)).select("name", "rank") for kind in ("top_terms", "report_top_terms")}
+    followed = {kind: mentions.filter((F.col("kind") == kind) & F.col("at").isNotNull()).join(F.broadcast(first[kind]), "name").select("at", "name", "n") for kind in first}
+    months = of("months")
+    ranked = lambda n: -F.col(n)
+    same = lambda *names: {n: F.col(n) for n in names}
+    told = months.filter("told > 0")
+    classes = sum((F.col(s) for s in SENTIMENTS[1:]), F.col(SENTIMENTS[0]))
+    members = of("members").join(F.broadcast(first["report_top_terms"]), "name")
+    median = F.percentile(F.col("at").cast("double"), 0.5, F.col("n").cast("long"))
+    profiles = members.groupBy("name", "rank").agg(*(F.sum(c).alias(c) for c in ("n", *SENTIMENTS, "marketed")), median.alias("median_misleading"))
     parts = [
-        long_form(inside, "inclusion", "all", ("loaded", "after_platform_filter", "included")),
-        long_form(platform_summary(df), "platforms", "extractor", ("n_posts", *METRICS)),
-        long_form(sentiment_by_month(df), "sentiment_by_month", "year_month", SENTIMENTS),
-        long_form(popularity_by_month(df), "popularity_by_month", "year_month", ("n_posts", "like_count", "view_count")),
-        long_form(sentiment_distribution(df), "sentiment", "sentiment", ("n",)),
-        long_form(top_terms(df, rules), "top_terms", "canonical", ("mentions",)),
-        long_form(top_symptoms(df), "top_symptoms", "symptom", ("mentions",)),
+        _long(of("inclusion"), "inclusion", {"loaded": F.col("n"), "after_platform_filter": F.col("n"), "included": F.col("ids")}, rank=F.lit(1)),
+        _long(of("platforms"), "platforms", {"n_posts": F.col("ids"), **same(*METRICS)}, rank=ranked("ids")),
+        _long(told, "sentiment_by_month", same(*SENTIMENTS), rank=F.lit(1)),
+        _long(told, "sentiment_share", {s: F.try_divide(F.col(s), classes) for s in SENTIMENTS}, rank=F.lit(1)),
+        _long(months, "popularity_by_month", {"n_posts": F.col("ids"), **same("like_count", "view_count")}, rank=F.lit(1)),
+        _long(months, "posts_per_month", {"n_posts": F.col("n")}, rank=F.lit(1)),
+        _long(of("sentiment"), "sentiment", same("n"), rank=ranked("n")),
+        *(_long(top.filter(F.col("kind") == kind), kind, same("mentions")) for kind in ("top_terms", "top_symptoms", "report_top_terms", "report_top_symptoms")),
+        _densely(months.select(F.col("name").alias("at")), first["top_terms"], followed["top_terms"], "top_terms_by_month"),
+        _long(of("report_platforms"), "report_platforms", {"n_posts": F.col("n"), **same(*METRICS)}, rank=ranked("n")),
+        _densely(followed["report_top_terms"].select("at").distinct(), first["report_top_terms"], followed["report_top_terms"], "report_trend"),
+        _long(profiles, "report_profile", {"n_posts": F.col("n"), **same(*SENTIMENTS), "marketing_percent": F.floor(100 * (F.col("marketed") / F.col("n"))), **same("median_misleading")}),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    names = [r["name"] for r in first["top_terms"].orderBy("rank").collect()]  # a few
+    if names:
+        rows = _naming(scope, names)
+        place = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i + 1))), F.col("name"))
+        parts.append(_long(_counted(rows).withColumn("rank", place), "content_profile", same("n_posts", *SENTIMENTS)))
+        parts.append(_common_symptoms(rows).select(F.lit("content_symptoms").alias("section"), F.col("rank").cast("int").alias("rank"), F.col("name").alias("key"), F.col("symptoms").alias("metric"), F.col("n").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)

@@ -96,21 +96,48 @@ def _top(source: str, col: str, k: int, name: str = "mentions") -> str:
     return f"SELECT {col}, count(*) AS {name} FROM {source} GROUP BY {col} ORDER BY count(*) DESC, {col} LIMIT {k}"
 
 
-def _long(section: str, source: str, key: str, metrics: list[str]) -> str:
-    return " UNION ALL ".join(f"SELECT '{section}' AS section, CAST({key} AS VARCHAR) AS key, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({source})" for m in metrics)
+def _long(section: str, source: str, key: str, metrics: list[str], order: str) -> str:
+    """Rows of a section, ranked by ``order``."""
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank, CAST({key} AS VARCHAR) AS key, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ({source})" for m in metrics
+    )
+
+
+def _dense(section: str, months: str, top: str, source: str, at: str, term: str) -> str:
+    """Mentions of the terms of ``top`` in each month of ``months``."""
+    return f"SELECT '{section}', CAST(dense_rank() OVER (ORDER BY m.m) AS INTEGER), CAST(m.m AS VARCHAR), t.{term}, CAST((SELECT count(*) FROM {source} x WHERE x.{at} = m.m AND x.{term} = t.{term}) AS DOUBLE) FROM ({months}) m CROSS JOIN ({top}) t"
 
 
 _STRESSED = "replace(symptoms, 'ECONOMY', 'Stress')"
 _SYMPTOMS = f"syms AS (SELECT unnest({_SHOWN.format(split('symptoms'))}) AS symptom FROM scope WHERE symptoms IS NOT NULL AND lower(symptoms) <> 'none')"
 
+_ASKED = "asked AS (SELECT file_key, view_count, length('From ' || coalesce(extractor, '') || ' by nobody: ' || coalesce(title, '') || chr(10) || coalesce(description, 'nothing')) AS n FROM meta)"
+_ANSWER = "CASE WHEN n % 9 <> 0 THEN '{\"length\": ' || n || '}' END AS response"
+_ATTEMPTS = "CAST(CASE WHEN n % 9 <> 0 THEN 1 ELSE 3 END AS INTEGER) AS attempts"
+_FAILED = "CASE WHEN n % 9 = 0 THEN 'JSONDecodeError: Expecting value: line 1 column 1 (char 0)' END AS error"
+_RESPONSES = """responses AS (
+    SELECT 'a post+ [' || doc_id || ']' AS file_key, CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 <> 0 THEN 'quality ' || quality END AS description,
+        CASE WHEN doc_id % 7 = 0 THEN '{broken' WHEN doc_id % 11 = 0 THEN '[1, 2]' END AS value, CASE WHEN doc_id % 7 = 0 THEN 'no JSON' WHEN doc_id % 11 = 0 THEN 'no object' END AS reason, doc_id FROM labels)"""
+_WHOLE = """rtrim(props, '} ') || ', "tags": ' || CASE event_id % 3 WHEN 0 THEN '["' || event_type || '", "x y"]' WHEN 1 THEN '"[''' || event_type || ''', ''x y'']"' ELSE 'null' END
+    || ', "note": "' || event_type || '", "flag": ' || CASE event_id % 4 WHEN 0 THEN 'true' WHEN 1 THEN '"False"' WHEN 2 THEN '"maybe"' ELSE 'null' END || '}'"""
+
 SQL: dict[str, str] = {
-    "annotate": f"WITH {META}, asked AS (SELECT file_key, length('From ' || coalesce(extractor, '') || ' by an unknown uploader: ' || coalesce(title, '')) AS n FROM meta) SELECT file_key, CASE WHEN n % 9 <> 0 THEN '{{\"length\": ' || n || '}}' END AS response, CAST(CASE WHEN n % 9 <> 0 THEN 1 ELSE 3 END AS INTEGER) AS attempts, CASE WHEN n % 9 = 0 THEN 'JSONDecodeError: Expecting value: line 1 column 1 (char 0)' END AS error FROM asked",
-    "run_profiles": f"WITH {POSTS}, copies AS (SELECT *, {COPIES} FROM posts WHERE topic) SELECT 'first' AS profile, id FROM copies WHERE copy = 1 UNION ALL SELECT 'second', id FROM posts WHERE marketing",
+    "annotate": f"WITH {META}, {_ASKED} SELECT file_key, {_ANSWER}, {_ATTEMPTS}, {_FAILED} FROM asked",
+    "annotate_new": f"WITH {META}, {_ASKED} SELECT file_key, CASE WHEN view_count % 3 = 0 THEN '{{\"before\": true}}' ELSE response END AS response, CAST(CASE WHEN view_count % 3 = 0 THEN 1 ELSE attempts END AS INTEGER) AS attempts, CASE WHEN view_count % 3 <> 0 THEN error END AS error FROM (SELECT *, {_ANSWER}, {_ATTEMPTS}, {_FAILED} FROM asked)",
+    "read_results": f"WITH {_RESPONSES} SELECT file_key, description, value, reason FROM responses",
+    "stream_results": f"WITH {_RESPONSES} SELECT file_key, description, value, reason, CAST(doc_id % 2 AS INTEGER) AS run FROM responses",
+    "read_metadata": f"WITH {META} SELECT file_key, file_key AS id, extractor, title, view_count, like_count, CAST(NULL AS BIGINT) AS comment_count, CAST(view_count AS DOUBLE) AS duration, ext FROM meta WHERE file_key IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)",
+    "run_profiles": f"WITH {POSTS}, copies AS (SELECT *, {COPIES} FROM posts WHERE marketing), p AS (SELECT 'supplements' AS profile, id FROM copies WHERE copy = 1 UNION ALL SELECT 'parenting', id FROM posts WHERE topic) SELECT profile, id, count(*) OVER (PARTITION BY profile) AS n_posts FROM p",
+    "posts_from_csv": f"WITH {SCOPE} {_SUMMARY}",
+    "posts_from_broken_csv": f"WITH {POSTS}, o AS (SELECT *, CAST(id AS BIGINT) AS k FROM posts) SELECT id, CASE WHEN k % 7 <> 0 THEN like_count END AS like_count, view_count, CASE WHEN k % 5 <> 0 THEN topic END AS topic, CASE WHEN k % 7 = 0 THEN 'many' END AS like_count_was, CASE WHEN k % 5 = 0 THEN 'maybe' END AS topic_was, CAST((k % 7 = 0)::INTEGER + (k % 5 = 0)::INTEGER AS INTEGER) AS n_broken FROM o",
     "union_ragged": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey AS customer, NULL AS lang FROM orders UNION ALL SELECT CAST(doc_id AS VARCHAR), NULL, lang FROM documents",
     "links_written_and_read": f"WITH {LINKS} SELECT link, duration, nullif(trim(title), '') AS title, source, author FROM links",
     "link_list_written_and_read": f"WITH {LINKS} SELECT DISTINCT link AS term FROM links",
     "posts_written_and_read": f"WITH {POSTS} SELECT id, title, extractor, sentiment, view_count, supplements FROM posts",
-    "coding_written_and_read": f"WITH {CODED} SELECT 'mentions' AS name, count(*) AS n FROM coded UNION ALL SELECT 'mapping', count(DISTINCT raw_term) FROM coded",
+    "coding_written_and_read": f"WITH {CODED} " + " UNION ALL ".join([
+        *(f"SELECT '{name}' AS name, concat_ws('|', {c}, count(*), sum(like_count)::BIGINT, sum(view_count)::BIGINT) AS row FROM (SELECT DISTINCT id, {c}, like_count, view_count FROM coded) GROUP BY {c}" for name, c in (("category_counts", "status_category"), ("target_counts", "target_group"))),
+        *(f"SELECT '{name}', concat_ws('|', {c}, canonical, id, pos) FROM coded" for name, c in (("posts_by_category", "status_category"), ("posts_by_target", "target_group"))),
+        "SELECT 'term_mapping', concat_ws('|', raw_term, canonical, status_category, target_group, count(*)) FROM coded GROUP BY raw_term, canonical, status_category, target_group"]),
     "top_terms": f"WITH {SCOPE}, {MENTIONS} {_top('mentions', 'canonical', 10)}",
     "platform_summary": f"WITH {SCOPE} {_SUMMARY}",
     "platform_summary_coerced": f"WITH {LENIENT} SELECT extractor, count(*) AS n_posts, CAST(sum(CASE WHEN like_count % 7 = 0 THEN 0 ELSE like_count END) AS DOUBLE) AS like_count, CAST(sum(view_count) AS DOUBLE) AS view_count, CAST(0 AS DOUBLE) AS comment_count FROM lenient GROUP BY extractor",
@@ -129,14 +156,28 @@ SQL: dict[str, str] = {
     "report_top_terms": f"WITH {LENIENT}, {REPORT} {_top('said', 'term', 10)}",
     "report_top_symptoms": f"WITH {LENIENT}, syms AS (SELECT {title('x')} AS symptom FROM (SELECT unnest({parse('symptoms')}) AS x FROM lenient)) {_top('syms', 'symptom', 10)}",
     "inclusion_counts": f"WITH {POSTS} SELECT count(*) AS loaded, count(*) AS after_platform_filter, count(*) FILTER (WHERE topic) AS included FROM posts",
-    "findings": f"WITH {SCOPE}, {MENTIONS}, {_SYMPTOMS} " + " UNION ALL ".join([
-        _long("inclusion", "SELECT 'all' AS k, count(*) AS loaded, count(*) AS after_platform_filter, count(*) FILTER (WHERE topic) AS included FROM scope", "k", ["loaded", "after_platform_filter", "included"]),
-        _long("platforms", _SUMMARY, "extractor", ["n_posts", "like_count", "view_count", "comment_count"]),
-        _long("sentiment_by_month", _MONTHLY, "year_month", ["negative", "neutral", "positive"]),
-        _long("popularity_by_month", "SELECT year_month, count(id) AS n_posts, sum(like_count) AS like_count, sum(view_count) AS view_count FROM scope GROUP BY year_month", "year_month", ["n_posts", "like_count", "view_count"]),
-        _long("sentiment", "SELECT sentiment, count(*) AS n FROM scope GROUP BY sentiment", "sentiment", ["n"]),
-        _long("top_terms", _top("mentions", "canonical", 10), "canonical", ["mentions"]),
-        _long("top_symptoms", _top("syms", "symptom", 10), "symptom", ["mentions"])]),
+    "findings": f"""WITH {SCOPE}, lenient AS (SELECT * FROM posts WHERE topic), {MENTIONS}, {_SYMPTOMS}, {REPORT}, rsyms AS (SELECT {title('x')} AS symptom FROM (SELECT unnest({parse('symptoms')}) AS x FROM lenient)),
+        trend AS (SELECT last_day(date) AS m, term FROM said), rtop AS ({_top('said', 'term', 3)}), ctop AS ({_top('mentions', 'canonical', 3)}),
+        members AS (SELECT DISTINCT id, sentiment, marketing, misleading, term FROM said WHERE term IN (SELECT term FROM rtop)),
+        placed AS (SELECT canonical, row_number() OVER (ORDER BY mentions DESC, canonical) AS r FROM ctop), hits AS (SELECT canonical, r, sentiment, symptoms FROM scope JOIN placed ON contains(supplements, canonical)),
+        fields AS (SELECT canonical, symptoms, count(*) AS n, row_number() OVER (PARTITION BY canonical ORDER BY count(*) DESC, symptoms) AS r FROM hits WHERE symptoms IS NOT NULL GROUP BY canonical, symptoms) """ + " UNION ALL ".join([
+        _long("inclusion", "SELECT 'all' AS k, count(*) AS loaded, count(*) AS after_platform_filter, count(*) FILTER (WHERE topic) AS included FROM posts", "k", ["loaded", "after_platform_filter", "included"], "k"),
+        _long("platforms", _SUMMARY, "extractor", ["n_posts", "like_count", "view_count", "comment_count"], "n_posts DESC, extractor"),
+        _long("sentiment_by_month", _MONTHLY, "year_month", ["negative", "neutral", "positive"], "year_month"),
+        _long("sentiment_share", f"SELECT year_month, round(negative / (negative + neutral + positive), 9) AS negative, round(neutral / (negative + neutral + positive), 9) AS neutral, round(positive / (negative + neutral + positive), 9) AS positive FROM ({_MONTHLY})", "year_month", ["negative", "neutral", "positive"], "year_month"),
+        _long("popularity_by_month", "SELECT year_month, count(id) AS n_posts, sum(like_count) AS like_count, sum(view_count) AS view_count FROM scope GROUP BY year_month", "year_month", ["n_posts", "like_count", "view_count"], "year_month"),
+        _long("posts_per_month", "SELECT year_month, count(*) AS n_posts FROM scope GROUP BY year_month", "year_month", ["n_posts"], "year_month"),
+        _long("sentiment", "SELECT sentiment, count(*) AS n FROM scope GROUP BY sentiment", "sentiment", ["n"], "n DESC, sentiment"),
+        _long("top_terms", _top("mentions", "canonical", 10), "canonical", ["mentions"], "mentions DESC, canonical"),
+        _long("top_symptoms", _top("syms", "symptom", 10), "symptom", ["mentions"], "mentions DESC, symptom"),
+        _long("report_top_terms", _top("said", "term", 10), "term", ["mentions"], "mentions DESC, term"),
+        _long("report_top_symptoms", _top("rsyms", "symptom", 10), "symptom", ["mentions"], "mentions DESC, symptom"),
+        _dense("top_terms_by_month", "SELECT DISTINCT year_month AS m FROM scope", "SELECT canonical FROM ctop", "mentions", "year_month", "canonical"),
+        _long("report_platforms", "SELECT extractor, count(*) AS n_posts, sum(like_count) AS like_count, sum(view_count) AS view_count, sum(comment_count) AS comment_count FROM lenient GROUP BY extractor", "extractor", ["n_posts", "like_count", "view_count", "comment_count"], "n_posts DESC, extractor"),
+        _dense("report_trend", "SELECT DISTINCT m FROM trend WHERE term IN (SELECT term FROM rtop)", "SELECT term FROM rtop", "trend", "m", "term"),
+        _long("report_profile", f"SELECT term, count(*) AS n_posts, {_SENT}, floor(100 * avg(CAST(marketing AS INTEGER))) AS marketing_percent, median(misleading) AS median_misleading, (SELECT mentions FROM rtop WHERE rtop.term = members.term) AS m FROM members GROUP BY term", "term", ["n_posts", "negative", "neutral", "positive", "marketing_percent", "median_misleading"], "m DESC, term"),
+        *(f"SELECT 'content_profile', CAST(r AS INTEGER), canonical, '{m}', CAST({x} AS DOUBLE) FROM hits GROUP BY canonical, r" for m, x in (("n_posts", "count(*)"), *((s, f"count(*) FILTER (WHERE sentiment = '{s}')") for s in ("negative", "neutral", "positive")))),
+        "SELECT 'content_symptoms', CAST(r AS INTEGER), canonical, symptoms, CAST(n AS DOUBLE) FROM fields WHERE r <= 3"]),
     "canonical_terms": f"WITH {TERMS} SELECT term, {canonical('lower(term)')} AS canonical FROM terms",
     "status_category": f"WITH {TERMS} SELECT term, {status('lower(term)')} AS status_category FROM terms",
     "target_group": f"WITH {TERMS} SELECT term, {target('lower(term)')} AS target_group FROM terms",
@@ -183,13 +224,13 @@ SQL: dict[str, str] = {
     "funnel_stages": f"WITH {COUNTS} SELECT place, stage, n_in, kept, n_in - kept AS removed FROM (SELECT 1 AS place, 'processed' AS stage, links AS n_in, processed AS kept FROM c UNION ALL SELECT 2, 'topic', processed, topic FROM c UNION ALL SELECT 3, 'unique', topic, uniq FROM c UNION ALL SELECT 4, 'has_terms', uniq, terms FROM c)",
     "relabel": "SELECT CASE lower(o_orderpriority) WHEN '1-urgent' THEN 'Urgent' WHEN '2-high' THEN 'High' ELSE lower(o_orderpriority) END AS platform, count(*) AS n_links FROM orders GROUP BY 1",
     "join_results": f"WITH {META} SELECT CAST(l.doc_id AS VARCHAR) AS file_key, extractor, title, CASE WHEN toxic = 1 THEN NULL ELSE view_count END AS view_count, 'quality ' || CAST(quality AS VARCHAR) AS \"AI_description\", CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment, CAST(toxic AS VARCHAR) AS mood FROM labels l LEFT JOIN meta ON file_key = CAST(l.doc_id AS VARCHAR)",
-    "pick_results": "SELECT CAST(doc_id AS VARCHAR) AS file_key FROM labels",
+    "pick_results": "SELECT 'none' AS alternative, CAST(doc_id AS VARCHAR) AS file_key, CAST(toxic AS VARCHAR) AS mood FROM labels UNION ALL SELECT 'some', 'think-' || doc_id, lang FROM documents",
     "normalize_sentiment": "SELECT CAST(doc_id AS VARCHAR) AS file_key, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment FROM labels",
     "pending": f"WITH {META} SELECT file_key FROM meta WHERE file_key NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)",
     "eligible": f"WITH {META} SELECT file_key, ext, CASE WHEN ext IS NULL THEN 'no extension' WHEN ext IN ('mp3', 'm4a') THEN 'sound only' WHEN view_count % 2 <> 0 THEN 'no media file' END AS reason FROM meta",
-    "render_prompt": f"WITH {META} SELECT file_key, 'From ' || extractor || ' by an unknown uploader: ' || coalesce(description, 'No description available') || '. ' || CAST(like_count AS VARCHAR) || ' likes, an unknown number of comments.' AS prompt FROM meta",
-    "clean_response": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN props END AS clean FROM events",
-    "project_annotation": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) END AS k FROM events",
+    "render_prompt": f"WITH {META} SELECT file_key, 'From ' || extractor || ' by nobody: ' || coalesce(description, 'nothing') || '. ' || CAST(like_count AS VARCHAR) || ' likes, no comments.' AS prompt FROM meta",
+    "clean_response": f"SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN {_WHOLE} END AS clean FROM events",
+    "project_annotation": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) END AS k, CASE WHEN event_id % 5 <> 0 AND event_id % 3 <> 2 THEN event_type || '|x y' END AS tags, CASE WHEN event_id % 5 <> 0 THEN event_type END AS note, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN false END AS flag FROM events",
     "parse_ymd": f"WITH {RAW_DATES} SELECT o_orderkey, CASE WHEN k = 0 THEN CAST(day AS VARCHAR) END AS date FROM raw",
     "parse_date_loose": f"WITH {RAW_DATES} SELECT o_orderkey, CASE WHEN k < 3 THEN CAST(day AS VARCHAR) END AS date FROM raw",
     "month_end": f"WITH {POSTS} SELECT id, CAST(last_day(date) AS VARCHAR) AS month_end FROM posts",

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import annotate, coding, funnel, links, posts, stats
-from ..schemas import Profile
+from ..schemas import PROFILES, Profile
+from ..schemas import posts as post_columns
 from ..sources import files
+from ..streaming.pickup import pick_up, read_picked_up
 from . import views as v
 
 #: The profile of the event properties.
@@ -74,10 +76,13 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
 
 
+def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.funnel_cube(v.order_links(spark, sf_dir), v.posts(spark, sf_dir), v.rules(spark), v.FLAG, files.shared_folder(spark, "funnel"), v.PLATFORMS)
+
+
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links_ = v.order_links(spark, sf_dir)
-    edges = funnel.funnel_edges(links_, v.posts(spark, sf_dir), v.rules(spark), v.FLAG, v.PLATFORMS)
-    return _rounded(funnel.funnel_shares(edges, links_.agg(F.count(F.lit(1)).alias("n"))))
+    cube = _cube(spark, sf_dir)
+    return _rounded(funnel.funnel_shares(funnel.funnel_edges(cube), v.order_links(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))))
 
 
 def _relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,15 +90,29 @@ def _relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.relabel(funnel.platform_links(v.order_links(spark, sf_dir)), labels, "platform")
 
 
-def _annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's prompt, answered by a stand-in for a model."""
-    meta = v.metadata(spark, sf_dir)
-    prompts = annotate.render_prompt(meta, "From {extractor} by {uploader}: {title}")
+#: What stands in the prompts for what documents lack.
+ABSENT = {"uploader": "nobody", "description": "nothing", "comment_count": "no"}
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's prompt, with its whole text."""
+    return annotate.render_prompt(v.metadata(spark, sf_dir), "From {extractor} by {uploader}: {title}\n{description}", ABSENT)
+
+
+def _infer(prompt: str) -> str:
+    """A stand-in for a model."""
+    return '```json\n{"length": %d}\n```' % len(prompt) if len(prompt) % 9 else "no idea"
+
 
-    def infer(prompt: str) -> str:
-        return '```json\n{"length": %d}\n```' % len(prompt) if len(prompt) % 9 else "no idea"
+def _annotate_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prompts with what was answered for some of them before: the second run asks for the others only."""
+    store, prompts = files.shared_folder(spark, "answers"), _prompts(spark, sf_dir)
 
-    return annotate.annotate(prompts, infer)
+    def before(prompt: str) -> str:
+        return '{"before": true}'
+
+    annotate.annotate_new(prompts.filter("view_count % 3 = 0"), before, store, waves=2)
+    return annotate.annotate_new(prompts, _infer, store, waves=2)
 
 
 def _join_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +121,21 @@ def _join_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = v.results(spark, sf_dir)
-    return posts.pick_results(found, found.filter("file_key = 'none'")).select("file_key")
+    """The base set where the alternative is empty, and the alternative where it isn't, whole."""
+    found, documents = v.results(spark, sf_dir), v.table(spark, sf_dir, "documents")
+    other = documents.select(F.concat(F.lit("think-"), F.col("doc_id").cast("string")).alias("file_key"), F.create_map(F.lit("mood"), F.col("lang")).alias("annotation"))
+    sets = {"none": found.filter("file_key = 'none'"), "some": other}
+    return v.union_all([posts.pick_results(found, alternative).select(F.lit(name).alias("alternative"), "file_key", F.try_element_at("annotation", F.lit("mood")).alias("mood")) for name, alternative in sets.items()])
 
 
 def _run_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three profiles over all posts; the last has none and is left out."""
-    made = [Profile(name, flag, (), (), (), dedup=name == "first") for name, flag in (("first", v.FLAG), ("second", "marketing"), ("third", "sentiment"))]
-    found = posts.run_profiles(v.posts(spark, sf_dir), made, "text")
-    return v.union_all([df.select(F.lit(name).alias("profile"), "id") for name, df in found.items()])
+    """The profiles over all posts, with one that has none and is left out; the posts as written, and their counts."""
+    folder = files.shared_folder(spark, "profiles")
+    table = v.posts(spark, sf_dir).withColumn("menopause", F.when(F.col("marketing") == "true", True).when(F.col("marketing") == "no", False))
+    counts = posts.run_profiles(table, [*PROFILES.values(), Profile("nobody", "sentiment", (), (), ())], folder)
+    written = spark.read.parquet(folder).select("profile", "id")
+    numbers = spark.createDataFrame(sorted(counts.items()), "profile string, n_posts long")
+    return written.join(F.broadcast(numbers), "profile")
 
 
 def _union_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +164,77 @@ def _posts_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_posts(spark, path).select("id", "title", "extractor", "sentiment", "view_count", "supplements")
 
 
+#: The posts of the tables, typed.
+TYPED = post_columns(Profile("posts", v.FLAG, ("supplements", "symptoms"), ("sentiment", "marketing"), ("misleading",)))
+
+
+def _csv(spark: SparkSession, table: DataFrame) -> DataFrame:
+    path = files.shared_folder(spark, "posts") + ".csv"
+    table.write.csv(path, header=True, quote='"', escape='"')
+    return files.read_posts(spark, path, TYPED)
+
+
+def _csv_screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts through a CSV, screened, without copies: by platform, as from the typed table."""
+    table = _csv(spark, v.posts(spark, sf_dir))
+    return stats.platform_summary(posts.dedup_posts(posts.screen_flag(posts.screen_platform(table, v.PLATFORMS), v.FLAG)))
+
+
+def _csv_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts through a CSV in which some numbers and flags are none, with what was there."""
+    odd = lambda n, c, text: F.when(F.col("id").cast("long") % n == 0, text).otherwise(F.col(c).cast("string"))
+    table = v.posts(spark, sf_dir).withColumns({"like_count": odd(7, "like_count", "many"), "view_count": F.concat(F.col("view_count").cast("string"), F.lit(".0")), v.FLAG: odd(5, v.FLAG, "maybe")})
+    was = lambda c: F.try_element_at("broken", F.lit(c)).alias(f"{c}_was")
+    return _csv(spark, table).select("id", "like_count", "view_count", v.FLAG, was("like_count"), was(v.FLAG), F.size("broken").alias("n_broken"))
+
+
 def _coding_again(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The coded mentions and the mapping of terms, written and counted."""
-    folder, table = files.shared_folder(spark, "coding"), coded(spark, sf_dir)
-    files.write_coding({"mentions": table, "mapping": coding.term_mapping(table)}, folder)
-    return v.union_all([spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in ("mentions", "mapping")])
+    """The five tables of a coding, written, read and told apart by name."""
+    folder = files.shared_folder(spark, "coding")
+    names = files.write_coding(coding.coding_tables(coded(spark, sf_dir)), folder)
+    read = {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    text = lambda columns: [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    return v.union_all([df.select(F.lit(name).alias("name"), F.concat_ws("|", *text(coding.TABLES[name])).alias("row")) for name, df in read.items()])
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as responses under keys with brackets and blanks; some are broken, some no object."""
+    labels = v.table(spark, sf_dir, "labels")
+    said = F.to_json(F.struct(F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("description"), F.when(F.col("quality") == 1, "Positive").otherwise("NEGATIVE").alias("sentiment")))
+    value = F.when(F.col("doc_id") % 7 == 0, "{broken").when(F.col("doc_id") % 11 == 0, "[1, 2]").otherwise(said)
+    return labels.select(F.format_string("a post+ [%d]", "doc_id").alias("file_key"), value.alias("value"), "doc_id")
+
+
+def _told(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """Good and bad responses as rows of one table."""
+    one = good.select("file_key", F.try_element_at("annotation", F.lit("description")).alias("description"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("reason"))
+    return one.unionByName(bad.select("file_key", F.lit(None).cast("string").alias("description"), "value", "reason"))
+
+
+def _read_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All responses as files of their own, read back as good and bad ones."""
+    folder = files.shared_folder(spark, "responses")
+    files.write_responses(_responses(spark, sf_dir), folder)
+    return _told(*files.read_results(spark, folder, keyed=True))
+
+
+def _read_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents' metadata as files of their own; some keys are absent, one is unknown."""
+    folder = files.shared_folder(spark, "metadata")
+    meta = v.metadata(spark, sf_dir).join(v.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file_key")).distinct(), "file_key", "left_semi")
+    files.write_responses(meta.select("file_key", F.to_json(F.struct("id", "extractor", "title", "view_count", "like_count", "duration", "ext", F.lit("x").alias("unknown"))).alias("value")), folder)
+    return files.read_metadata(spark, folder, keyed=True).select("file_key", "id", "extractor", "title", "view_count", "like_count", "comment_count", "duration", "ext")
+
+
+def _stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses picked up in three runs of a stream: some, those that came later, and none."""
+    base, told = files.shared_folder(spark, "stream"), []
+    for run, some in enumerate(("doc_id % 2 = 0", "doc_id % 2 = 1", None)):
+        if some:
+            files.write_responses(_responses(spark, sf_dir).filter(some), f"{base}/in")
+        pick_up(spark, f"{base}/in", f"{base}/checkpoint", f"{base}/out/{run}", keyed=True)
+        told.append(_told(*read_picked_up(spark, f"{base}/out/{run}")).withColumn("run", F.lit(run)))
+    return v.union_all(told)
 
 
 Q: dict[str, v.Query] = {
@@ -152,6 +243,8 @@ Q: dict[str, v.Query] = {
     "links_written_and_read": _links_again,
     "link_list_written_and_read": _link_list_again,
     "posts_written_and_read": _posts_again,
+    "posts_from_csv": _csv_screened,
+    "posts_from_broken_csv": _csv_broken,
     "coding_written_and_read": _coding_again,
     # terms and statistics
     "top_terms": lambda s, d: stats.top_terms(scope(s, d), v.rules(s)),
@@ -170,7 +263,7 @@ Q: dict[str, v.Query] = {
     "report_top_terms": lambda s, d: stats.report_top_terms(lenient(s, d)),
     "report_top_symptoms": lambda s, d: stats.report_top_symptoms(lenient(s, d)),
     "inclusion_counts": lambda s, d: stats.inclusion_counts(v.posts(s, d), v.FLAG),
-    "findings": lambda s, d: stats.findings(scope(s, d), v.rules(s), v.FLAG),
+    "findings": lambda s, d: _rounded(stats.findings(v.dated(v.posts(s, d)), v.rules(s), v.FLAG, files.shared_folder(s, "findings"), v.PLATFORMS), 9),
     # coding
     "canonical_terms": lambda s, d: coding.canonicalize(_terms(s, d), v.rules(s)),
     "status_category": lambda s, d: coding.status_category(_terms(s, d), v.rules(s)),
@@ -215,7 +308,7 @@ Q: dict[str, v.Query] = {
     "platform_links": lambda s, d: funnel.platform_links(v.order_links(s, d)),
     "platform_processed": lambda s, d: funnel.platform_processed(v.order_links(s, d), v.posts(s, d), v.PLATFORMS),
     "funnel_counts": lambda s, d: funnel.funnel_counts(v.order_links(s, d), v.posts(s, d), v.FLAG, v.PLATFORMS),
-    "funnel_edges": lambda s, d: funnel.funnel_edges(v.order_links(s, d), v.posts(s, d), v.rules(s), v.FLAG, v.PLATFORMS),
+    "funnel_edges": lambda s, d: funnel.funnel_edges(_cube(s, d)),
     "funnel_shares": _shares,
     "funnel_stages": lambda s, d: funnel.funnel_stages(funnel.funnel_counts(v.order_links(s, d), v.posts(s, d), v.FLAG, v.PLATFORMS)),
     "relabel": _relabel,
@@ -225,10 +318,14 @@ Q: dict[str, v.Query] = {
     "normalize_sentiment": lambda s, d: posts.normalize_sentiment(v.results(s, d).select("file_key", F.try_element_at("annotation", F.lit("sentiment")).alias("sentiment"))),
     "pending": lambda s, d: annotate.pending(v.metadata(s, d), v.results(s, d)).select("file_key"),
     "eligible": lambda s, d: annotate.eligible(v.metadata(s, d), v.metadata(s, d).filter("view_count % 2 = 0").select("file_key", "ext")).select("file_key", "ext", "reason"),
-    "render_prompt": lambda s, d: annotate.render_prompt(v.metadata(s, d), "From {extractor} by {uploader}: {description}. {like_count} likes, {comment_count} comments.").select("file_key", "prompt"),
+    "render_prompt": lambda s, d: annotate.render_prompt(v.metadata(s, d), "From {extractor} by {uploader}: {description}. {like_count} likes, {comment_count} comments.", ABSENT).select("file_key", "prompt"),
     "clean_response": lambda s, d: v.props(s, d).select("event_id", annotate.clean_response(F.col("response")).alias("clean")),
-    "project_annotation": lambda s, d: annotate.project_annotation(v.props(s, d).withColumn("response", annotate.clean_response(F.col("response"))), PROPS).select("event_id", "k"),
-    "annotate": _annotate,
+    "project_annotation": lambda s, d: annotate.project_annotation(v.props(s, d).withColumn("response", annotate.clean_response(F.col("response"))), PROPS).select("event_id", "k", F.array_join("tags", "|").alias("tags"), "note", "flag"),
+    "annotate": lambda s, d: annotate.annotate(_prompts(s, d), _infer),
+    "annotate_new": _annotate_twice,
+    "read_results": _read_results,
+    "read_metadata": _read_metadata,
+    "stream_results": _stream_results,
     # dates
     "parse_ymd": lambda s, d: _dates_as_text(_dates(s, d).select("o_orderkey", dates.parse_ymd(F.col("raw")).alias("date"))),
     "parse_date_loose": lambda s, d: _dates_as_text(_dates(s, d).select("o_orderkey", dates.parse_date_loose(F.col("raw")).alias("date"))),

@@ -126,9 +126,12 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties as responses in code fences; every fifth is broken."""
-    event = table(spark, sf_dir, "events")
-    text = F.concat(F.lit("```json\n"), F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("props")), F.lit("\n``` "))
+    """Event properties as responses in code fences, with a list (in two forms), a text and a flag (in two forms); every fifth is broken."""
+    event, n = table(spark, sf_dir, "events"), F.col("event_id")
+    tags = F.when(n % 3 == 0, F.format_string('["%s", "x y"]', "event_type")).when(n % 3 == 1, F.format_string("\"['%s', 'x y']\"", "event_type")).otherwise(F.lit("null"))
+    flag = F.when(n % 4 == 0, "true").when(n % 4 == 1, '"False"').when(n % 4 == 2, '"maybe"').otherwise("null")
+    whole = F.concat(F.rtrim("props", F.lit("} ")), F.format_string(', "tags": %s, "note": "%s", "flag": %s}', tags, "event_type", flag))
+    text = F.concat(F.lit("```json\n"), F.when(n % 5 == 0, F.lit("{broken")).otherwise(whole), F.lit("\n``` "))
     return event.select("event_id", "event_type", F.col("props"), text.alias("response"))
 
 

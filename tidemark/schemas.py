@@ -52,3 +52,11 @@ PARENTING = Profile(
     ("usefulness", "misleading", "quality", "emotional_intensity"), ("asd", "adhd", "anxiety"),
 )
 PROFILES = {p.name: p for p in (SUPPLEMENTS, PARENTING)}
+
+
+def posts(profile: Profile) -> T.StructType:
+    """The typed columns of a profile's posts: metadata, flags, ratings, lists as texts, and texts."""
+    known = {f.name for f in METADATA.fields}
+    names = {"description": "AI_description"}
+    more = {**{k: T.BooleanType() for k in (profile.flag, *profile.flags)}, **{k: T.IntegerType() for k in profile.ratings}, **{names.get(k, k): _TEXT for k in (*profile.lists, *profile.texts)}}
+    return T.StructType([*METADATA.fields, *(T.StructField(k, t) for k, t in more.items() if k not in known)])
