@@ -82,11 +82,25 @@ def title_case(col: Column) -> Column:
     return F.array_join(F.transform(letters, lambda c, i: F.when(before(i).rlike(r"\p{L}"), c).otherwise(F.upper(c))), "")
 
 
+def alias_key(col: Column, aliases: Mapping[str, str] = REPORT_ALIASES) -> Column:
+    """The alias of a term, or else the term in lower case: equal for terms of the same name, and cheap."""
+    low = F.lower(strip(col))
+    return F.coalesce(F.try_element_at(_table(aliases), low), low) if aliases else low
+
+
+def alias_name(key: Column, aliases: Mapping[str, str] = REPORT_ALIASES) -> Column:
+    """The name that an ``alias_key`` stands for; title case takes a look at every letter, so names are best made of distinct keys."""
+    return F.when(key.isin(*set(aliases.values())), key).otherwise(title_case(key)) if aliases else title_case(key)
+
+
+def _table(mapping: Mapping[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
+
+
 def alias_title(col: Column, aliases: Mapping[str, str] = REPORT_ALIASES) -> Column:
     """T5: the alias of a term, or else the term in title case."""
     text = strip(col)
-    table = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, F.lower(text)), title_case(text))
+    return F.coalesce(F.try_element_at(_table(aliases), F.lower(text)), title_case(text))
 
 
 def term_key(col: Column) -> Column:
@@ -94,10 +108,15 @@ def term_key(col: Column) -> Column:
     return F.rtrim(F.lower(strip(col)), F.lit("."))
 
 
+def symptom_keys(terms: Column) -> Column:
+    """Symptoms in lower case, exclusions dropped, mood words under one label."""
+    kept = F.filter(F.transform(terms, F.lower), lambda x: ~x.isin(*SYMPTOM_EXCLUSIONS))
+    return F.transform(kept, lambda x: F.when(x.isin(*MOOD_WORDS), F.lit(MOOD_LABEL)).otherwise(x))
+
+
 def normalize_symptoms(terms: Column) -> Column:
     """Symptoms in title case, exclusions dropped, mood words under one label."""
-    kept = F.filter(F.transform(terms, F.lower), lambda x: ~x.isin(*SYMPTOM_EXCLUSIONS))
-    return F.transform(kept, lambda x: title_case(F.when(x.isin(*MOOD_WORDS), F.lit(MOOD_LABEL)).otherwise(x)))
+    return F.transform(symptom_keys(terms), title_case)
 
 
 def loose_bool(col: Column) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_end
-from ..functions.text import REPORT_ALIASES, TOP_SENTINELS, alias_title, drop_sentinels, loose_bool, normalize_symptoms, parse_list, split_terms, title_case
+from ..functions.text import REPORT_ALIASES, TOP_SENTINELS, alias_key, alias_name, alias_title, drop_sentinels, loose_bool, parse_list, split_terms, symptom_keys, title_case
 from ..schemas import PLATFORMS
 from .coding import canonicalize
 from .links import value_counts
@@ -130,20 +130,40 @@ def content_profile_member(df: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
+def _named(keys: DataFrame, name: str, shown: Callable[[Column], Column], *by: str) -> DataFrame:
+    """(name, *by, n): how often each name occurs; names are made of the distinct values of ``key``."""
+    counts = keys.groupBy("key", *by).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn(name, shown(F.col("key"))).groupBy(name, *by).agg(F.sum("n").alias("n"))
+
+
+def _first(counts: DataFrame, name: str, k: int) -> DataFrame:
+    """The k names with most mentions; of equals the first."""
+    return counts.select(name, F.col("n").alias("mentions")).orderBy(F.desc("mentions"), name).limit(k)
+
+
+def report_keys(col: str = "supplements") -> Column:
+    """A field's terms, by the key of the name that the report gives them."""
+    return F.transform(parse_list(F.col(col)), lambda x: alias_key(x, REPORT_ALIASES))
+
+
+def _said_symptoms() -> Column:
+    """The keys of a post's symptoms; null for a post that says none."""
+    return F.when(F.col("symptoms").isNotNull() & (F.lower("symptoms") != "none"), symptom_keys(split_terms(F.col("symptoms"))))
+
+
 def top_symptoms(df: DataFrame, k: int = 10) -> DataFrame:
     """The k symptoms with most mentions; an empty item of a list counts too."""
-    said = df.filter(F.col("symptoms").isNotNull() & (F.lower("symptoms") != "none"))
-    return _top(said.select(F.explode(normalize_symptoms(split_terms(F.col("symptoms")))).alias("symptom")), "symptom", k)
+    return _first(_named(df.select(F.explode(_said_symptoms()).alias("key")), "symptom", title_case), "symptom", k)
 
 
 def report_top_terms(df: DataFrame, k: int = 10) -> DataFrame:
     """The k terms with most mentions, as the report names them."""
-    return _top(df.select(F.explode(report_terms()).alias("term")), "term", k)
+    return _first(_named(df.select(F.explode(report_keys()).alias("key")), "term", alias_name), "term", k)
 
 
 def report_top_symptoms(df: DataFrame, k: int = 10) -> DataFrame:
     """The k symptoms with most mentions, in title case."""
-    return _top(df.select(F.explode(F.transform(parse_list(F.col("symptoms")), title_case)).alias("symptom")), "symptom", k)
+    return _first(_named(df.select(F.explode(F.transform(parse_list(F.col("symptoms")), F.lower)).alias("key")), "symptom", title_case), "symptom", k)
 
 
 def report_trend(df: DataFrame, k: int = 3) -> DataFrame:
@@ -151,11 +171,11 @@ def report_trend(df: DataFrame, k: int = 3) -> DataFrame:
 
     A term is 0 in a month in which only others were named.
     """
-    rows = df.select("date", F.explode(report_terms()).alias("term"))
-    top = F.broadcast(_top(rows, "term", k).select("term"))
-    counts = rows.filter(F.col("date").isNotNull()).join(top, "term", "left_semi").groupBy(month_end(F.col("date")).alias("month_end"), "term").agg(F.count(F.lit(1)).alias("n"))
-    every = counts.select("month_end").distinct().crossJoin(top)  # months times k
-    return every.join(counts, ["month_end", "term"], "left").select("month_end", "term", F.coalesce("n", F.lit(0)).alias("mentions"))
+    counts = _named(df.select(month_end(F.col("date")).alias("month_end"), F.explode(report_keys()).alias("key")), "term", alias_name, "month_end")
+    top = F.broadcast(_first(counts.groupBy("term").agg(F.sum("n").alias("n")), "term", k).select("term"))
+    met = counts.filter(F.col("month_end").isNotNull()).join(top, "term", "left_semi")
+    every = met.select("month_end").distinct().crossJoin(top)  # months times k
+    return every.join(met, ["month_end", "term"], "left").select("month_end", "term", F.coalesce("n", F.lit(0)).alias("mentions"))
 
 
 def inclusion_counts(df: DataFrame, flag: str) -> DataFrame:
@@ -187,9 +207,8 @@ def analysis_facts(scope: DataFrame) -> DataFrame:
     sums = {m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in METRICS} | said
     sums |= {"ids": F.col("id").isNotNull().cast("int"), "told": F.col("sentiment").isNotNull().cast("int")}
     terms = drop_sentinels(F.transform(split_terms(F.col("supplements")), F.lower), TOP_SENTINELS)
-    symptoms = F.when(F.col("symptoms").isNotNull() & (F.lower("symptoms") != "none"), normalize_symptoms(split_terms(F.col("symptoms"))))
     one = [F.when(F.col(c).isNotNull(), _bears(kind, F.col(c), None, **sums)) for kind, c in (("platforms", "extractor"), ("months", "year_month"), ("sentiment", "sentiment"))]
-    many = [F.transform(terms, lambda t: _bears("terms", t, F.col("year_month"))), F.coalesce(F.transform(symptoms, lambda t: _bears("top_symptoms", t, None)), F.array())]
+    many = [F.transform(terms, lambda t: _bears("terms", t, F.col("year_month"))), F.coalesce(F.transform(_said_symptoms(), lambda t: _bears("top_symptoms", t, None)), F.array())]
     return scope.select(F.explode(F.concat(F.array(*one), *many)).alias("x")).filter("x IS NOT NULL").select("x.*")
 
 
@@ -197,9 +216,8 @@ def report_facts(df: DataFrame, flag: str) -> DataFrame:
     """What posts add to the report's sections: whether they are included, and by platform, term, member and symptom if so."""
     inside = is_flagged(df, flag, "text") if flag in df.columns else F.lit(True)
     said = {s: F.coalesce((F.col("sentiment") == s).cast("int"), F.lit(0)) for s in SENTIMENTS}
-    terms = report_terms()
-    month = month_end(F.col("date"))
-    symptoms = F.transform(parse_list(F.col("symptoms")), title_case)
+    terms, month = report_keys(), month_end(F.col("date"))
+    symptoms = F.transform(parse_list(F.col("symptoms")), F.lower)
     included = F.concat(
         F.array(F.when(F.col("extractor").isNotNull(), _bears("report_platforms", F.col("extractor"), None, **{m: _number(df, m) for m in METRICS}))),
         F.transform(terms, lambda t: _bears("report_top_terms", t, month)),
@@ -238,7 +256,7 @@ def findings(posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed
     or null.
 
     Every post is turned into the facts it bears, in one pass a scope, and these are
-    added up before they move, to a row for each name and month. Those sums are written
+    added up before they move, to a row for each term and month; names are made of distinct terms only. Those sums are written
     to ``folder``; all sections are made from them, but for the posts that name the
     terms found on top, whose few names a second pass looks for.
     """
@@ -250,7 +268,9 @@ def findings(posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed
     of = lambda *kinds: facts.filter(F.col("kind").isin(*kinds))
     raw = of("terms").select(F.col("name").alias("term"), "at", "n")
     named = raw.join(canonicalize(raw.select("term"), rules), "term").select(F.lit("top_terms").alias("kind"), F.col("canonical").alias("name"), "at", "n")
-    mentions = named.unionByName(of("report_top_terms", "top_symptoms", "report_top_symptoms").select("kind", "name", "at", "n")).groupBy("kind", "name", "at").agg(F.sum("n").alias("n"))
+    shown = F.when(F.col("kind") == "report_top_terms", alias_name(F.col("name"))).otherwise(title_case(F.col("name")))
+    others = of("report_top_terms", "top_symptoms", "report_top_symptoms").select("kind", shown.alias("name"), "at", "n")
+    mentions = named.unionByName(others).groupBy("kind", "name", "at").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("kind").orderBy(F.desc("mentions"), "name")
     top = mentions.groupBy("kind", "name").agg(F.sum("n").alias("mentions")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     top.write.mode("overwrite").parquet(f"{folder}/top")
@@ -262,7 +282,7 @@ def findings(posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed
     same = lambda *names: {n: F.col(n) for n in names}
     told = months.filter("told > 0")
     classes = sum((F.col(s) for s in SENTIMENTS[1:]), F.col(SENTIMENTS[0]))
-    members = of("members").join(F.broadcast(first["report_top_terms"]), "name")
+    members = of("members").withColumn("name", alias_name(F.col("name"))).join(F.broadcast(first["report_top_terms"]), "name")
     median = F.percentile(F.col("at").cast("double"), 0.5, F.col("n").cast("long"))
     profiles = members.groupBy("name", "rank").agg(*(F.sum(c).alias(c) for c in ("n", *SENTIMENTS, "marketed")), median.alias("median_misleading"))
     parts = [
