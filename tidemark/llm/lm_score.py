@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, most_frequent, remainder, row_key, settle, shared_dir, split_words
+from .common import LOWER, UPPER, most_frequent, remainder, row_key, settle, shared_dir
 from .near_dedup import mix
 
 #: Stands before and after every text; UTF-8 never holds it.
@@ -23,12 +23,14 @@ MARK = 255
 #: Bytes of the deepest contexts.
 DEPTH = 5
 #: Bytes of text that ask for their grams' values together; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 5 << 20
 #: Distinct grams, and bytes of text whose grams are looked up, for each bucket of the model.
 BUCKET_GRAMS, BUCKET_BYTES = 50_000, 32 << 20
-#: Grams sorted at a time.
-PIECE = 1 << 20
+#: Grams looked up at a time: a place among them fits beside a gram into 64 bits.
+PIECE = 1 << 16
 FREQUENT = 200_000
+#: White space between words, besides the blank.
+WHITE = "\t\n\x0b\x0c\r"
 
 
 # --- the model: a context tree over bytes, each byte read as eight bits
@@ -275,6 +277,13 @@ def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(grams) % np.uint64(buckets)).astype(np.int32)
 
 
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The order of grams by bucket, as they are within one. Two bytes at a time are dealt out, not compared."""
+    order = np.argsort((bucket & 0xFFFF).astype(np.uint16), kind="stable")
+    high = bucket[order] >> 16
+    return order[np.argsort(high.astype(np.uint16), kind="stable")] if high.any() else order
+
+
 def pack(grams: np.ndarray, depth: int = DEPTH) -> bytes:
     """Grams in order, compressed: their highest bytes first, then the next."""
     planes = grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 7 - depth :].T
@@ -331,7 +340,7 @@ def write_blocks(rows: DataFrame, path: str, buckets: int, depth: int = DEPTH) -
             texts = pd.concat(held, ignore_index=True)
             grams = distinct(joined_grams([t.encode() for t in texts["text"]], depth)[0])
             bucket = bucket_of(grams, buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = by_bucket(bucket)
             ends = np.flatnonzero(np.diff(bucket[order])) + 1
             asked = [(block, int(bucket[g[0]]), pack(grams[g], depth)) for g in np.split(order, ends)]
             out = pd.DataFrame([(block, None, pack_rows(texts)), *asked], columns=["block", "bucket", "packed"])
@@ -367,11 +376,16 @@ def score_block(texts: list[bytes], answers: pd.DataFrame, buckets: int) -> np.n
     grams, starts = joined_grams(texts)
     keys = distinct(grams)
     values = np.empty(len(keys), np.float32)
-    values[np.argsort(bucket_of(keys, buckets), kind="stable")] = np.frombuffer(b"".join(answers.sort_values("bucket")["found"]), np.float32)
+    values[by_bucket(bucket_of(keys, buckets))] = np.frombuffer(b"".join(answers.sort_values("bucket")["found"]), np.float32)
     out = np.empty(len(grams), np.float32)
+    places = np.arange(PIECE, dtype=np.uint64)
     for i in range(0, len(grams), PIECE):
-        some, where = np.unique(grams[i : i + PIECE], return_inverse=True)
-        out[i : i + PIECE] = values[np.searchsorted(keys, some)][where]
+        # Sorted with their places: equal grams stand together and are looked up once.
+        some = grams[i : i + PIECE] << np.uint64(16) | places[: len(grams) - i]
+        some.sort()
+        gram = some >> np.uint64(16)
+        new = np.append(True, gram[1:] != gram[:-1])
+        out[i : i + PIECE][(some & np.uint64(0xFFFF)).astype(np.intp)] = values[np.searchsorted(keys, gram[new])][np.cumsum(new) - 1]
     return np.add.reduceat(out, starts, dtype=float)
 
 
@@ -396,7 +410,9 @@ def score_documents(docs: DataFrame, folds: int = 10, frequent: int = FREQUENT)
     held_out = remainder(F.col("doc_id"), folds) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text"))[1], held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     train = rows.filter(~F.col("held_out"))
-    words = train.select(F.explode(split_words(lower_ascii(F.col("text")))).alias("word"))
+    # A-Z and white space are replaced together; a single blank is split at without a pattern.
+    plain = F.translate("text", UPPER + WHITE, LOWER + " " * len(WHITE))
+    words = train.select(F.explode(F.split(plain, " ")).alias("word")).filter("word <> ''")
     counts = settle(words.select(F.xxhash64("word").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")))
     n_train = train.count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
