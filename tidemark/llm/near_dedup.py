@@ -216,34 +216,42 @@ def undecided(changes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     where c is at most the lesser of both m plus the number of additions in
     common. x needs P * |x| / 100 shingles of y and so at least as many additions in common
     with it as that exceeds n - m_x: all but one of these may be left out of the
-    search, and the most common ones are. Without an addition in common, x and y
+    search, and the most common ones are. As c is at most m_y and the additions in common, x also
+    needs (P * (|x| + |y|) / (100 + P)) - (n - m_x) of them, and |y| is at least the least size
+    of those it can be paired with; a class with fewer additions that any other
+    has too is left out before anything is joined. Without an addition in common, x and y
     share no more than x and the text do: then y must be smaller than the text if
     x isn't similar to that itself. Of two classes in different components one is not in
     the star's component; that is the x with which the search begins.
     """
     x = placed(placed(changes, groups), groups, "v", "cv").withColumn("apart", F.col("c") != F.col("cv")).drop("cv")
-    some = x.filter("apart").select("v").distinct()
-    x = settle(x.join(gather(some), "v", "left_semi"))
+    # The least size of the classes that one can be paired with: one of the two is apart.
+    sizes = x.groupBy("v").agg(F.min("size").alias("any"), F.min(F.when(F.col("apart"), F.col("size"))).alias("of_apart")).filter("of_apart IS NOT NULL")
+    x = settle(x.join(gather(sizes), "v").withColumn("partner", F.when(F.col("apart"), F.col("any")).otherwise(F.col("of_apart"))).drop("any", "of_apart"))
     apart = x.filter("apart")
     second = lambda df, names: df.select("v", *(F.col(c).alias(f"{c}_") for c in names))
     # What both sides need beyond the changes in common: nothing if it is at most 0.
     need = percent * (F.col("size") + F.col("size_")) - (100 + percent) * (F.col("n") - F.col("m") - F.col("m_"))
     room = (100 + percent) * F.least("m", "m_")
+    # What a class needs in additions in common, whoever it is paired with.
+    needed = percent * (F.col("size") + F.col("partner")) - (100 + percent) * (F.col("n") - F.col("m"))
     other = F.col("c") != F.col("c_")
     numbers = ["id", "c", "size", "m"]
     near = percent * (F.col("size") + F.col("n")) <= (100 + percent) * (F.col("n") - F.col("m"))
     by_size = None
     for ours, theirs in ((apart.filter(~near), x.filter("size < n")), (apart.filter(near), x)):
-        found = ours.select("v", "n", *numbers).join(second(theirs, numbers), "v").filter(other & (need <= room)).select("id", "id_")
+        found = ours.filter(needed <= 0).select("v", "n", *numbers).join(second(theirs.filter(needed <= 0), numbers), "v").filter(other & (need <= room)).select("id", "id_")
         by_size = found if by_size is None else by_size.unionByName(found)
     by_size = by_size.select(F.greatest("id", "id_").alias("u"), F.least("id", "id_").alias("v"))
-    least = F.greatest(F.lit(1), F.ceil(percent * F.col("size") / 100) - (F.col("n") - F.col("m")))
-    additions = x.select("v", "id", "apart", least.alias("least"), F.explode("extra").alias("s"))
-    shared = additions.groupBy("v", "s").agg(F.count(F.lit(1)).alias("times"), F.max("apart").alias("some")).filter("times > 1 AND some").select("v", "s", "times")
+    least = F.greatest(F.lit(1), F.ceil(percent * F.col("size") / 100) - (F.col("n") - F.col("m")), F.ceil(needed / (100 + percent)))
+    additions = x.select("v", "id", "c", "apart", least.alias("least"), F.explode("extra").alias("s"))
+    # Where all that share an addition are in one component, there is nothing to decide.
+    shared = additions.groupBy("v", "s").agg(F.count(F.lit(1)).alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("v", "s", "times")
     mine = Window.partitionBy("v", "id")
-    ranked = additions.join(shared, ["v", "s"]).select("v", "id", "apart", "s", (F.row_number().over(mine.orderBy("times", "s")) <= F.count(F.lit(1)).over(mine) - F.col("least") + 1).alias("searched"))
-    searched = settle(ranked.filter("searched").select("v", "id", "apart", "s"))
-    met_ = searched.filter("apart").join(searched.select("v", "s", F.col("id").alias("id_")), ["v", "s"]).filter("id <> id_").select("v", "id", "id_").distinct()
+    ranked = additions.join(shared, ["v", "s"]).select("v", "id", "c", "apart", "s", (F.row_number().over(mine.orderBy("times", "s")) <= F.count(F.lit(1)).over(mine) - F.col("least") + 1).alias("searched"))
+    searched = settle(ranked.filter("searched").select("v", "id", "c", "apart", "s"))
+    theirs = searched.select(F.col("v").alias("v_"), F.col("s").alias("s_"), F.col("id").alias("id_"), F.col("c").alias("c_"))
+    met_ = searched.filter("apart").join(theirs, (F.col("v") == F.col("v_")) & (F.col("s") == F.col("s_")) & (F.col("c") != F.col("c_"))).select("v", "id", "id_").distinct()
     sizes = x.select("v", "n", *numbers, "extra")
     both = met_.join(sizes, ["v", "id"]).join(second(x, [*numbers, "extra"]), ["v", "id_"]).filter(other & (need <= room + (100 + percent) * F.least(F.size("extra"), F.size("extra_"))))
     by_addition = both.filter(need <= room + (100 + percent) * F.size(F.array_intersect("extra", "extra_")))
