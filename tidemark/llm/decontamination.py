@@ -36,25 +36,33 @@ def item_windows(benchmark: DataFrame, length: int = 10) -> DataFrame:
     return items.select("item_id", F.least(F.size("words"), F.lit(length)).alias("span"), F.explode(cut).alias("window")).distinct()
 
 
+def window_hashes(hashes: Column, length: int) -> Column:
+    """(start, span, h) for all windows of ``length`` consecutive words, from the words' hashes."""
+    starts = F.sequence(F.lit(1), F.size(hashes) - (length - 1))
+    every = F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.lit(length).alias("span"), F.xxhash64(F.slice(hashes, i, length)).alias("h")))
+    return F.when(F.size(hashes) >= length, every).otherwise(F.array().cast("array<struct<start: int, span: int, h: bigint>>"))
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """(k1, k2, start, span, item_id) for every place where an item's window occurs.
 
-    Each task looks its documents' windows up in a hash set of all items' windows.
-    The set holds the windows themselves, so that a match is an equality of the
-    words and needs no second look. It is broadcast if it measures less than
-    ``BROADCAST_BYTES``, and else dealt out with the documents' windows.
+    Documents are read once, whatever lengths the items have: words are hashed once, and the windows
+    of their hashes are looked up in a hash set of all items' windows. Where one is
+    found, its words are compared with the item's, so a hash that two windows share
+    does no harm. The set is broadcast if it measures less than ``BROADCAST_BYTES``, and
+    else dealt out with the documents' windows.
     """
-    wanted = item_windows(benchmark, length)
-    measured = wanted.groupBy("span").agg(F.sum(F.octet_length("window") + 40).alias("size")).collect()  # a row for each span, ten at most
+    hashed = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    wanted = item_windows(benchmark, length).withColumn("h", F.xxhash64(hashed(F.split("window", " "))))
+    measured = wanted.groupBy("span").agg(F.sum(F.octet_length("window") + 48).alias("size")).collect()  # a row for each span, ten at most
     if sum(r["size"] for r in measured) <= BROADCAST_BYTES:
         wanted = F.broadcast(wanted)
     rows = docs.select(*row_key(F.col("doc_id"), F.col("text")), normal_words(F.col("text")).alias("words"))
-    found = None
-    for span in sorted({length, *(r["span"] for r in measured)}):
-        places = rows.select("k1", "k2", F.posexplode(windows(F.col("words"), span)).alias("start", "window"))
-        hits = places.join(wanted.filter(F.col("span") == span), "window").select("k1", "k2", "start", "span", "item_id")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    rows = rows.withColumn("hashes", hashed(F.col("words")))
+    spans = sorted(r["span"] for r in measured) or [length]
+    places = rows.select("k1", "k2", "words", F.explode(F.concat(*(window_hashes(F.col("hashes"), span) for span in spans))).alias("x")).select("k1", "k2", "words", "x.*")
+    same = F.array_join(F.slice("words", F.col("start") + 1, F.col("span")), " ") == F.col("window")
+    return places.join(wanted, ["span", "h"]).filter(same).select("k1", "k2", "start", "span", "item_id")
 
 
 def covered(hits: Column) -> Column:
@@ -86,7 +94,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """``docs`` without the documents in which a window of the benchmark occurs."""
+    """``docs`` without the documents in which a window of the benchmark occurs.
+
+    Null and empty texts have no windows and stay; repeated rows share their fate, rows
+    without an id are told apart by their texts. Columns stay as they are.
+    """
     bad = find_hits(docs, benchmark, length).select("k1", "k2").distinct()
     keys = ["__k1", "__k2"]
     named = docs.withColumns(dict(zip(keys, row_key(F.col("doc_id"), F.col("text")), strict=True)))
@@ -97,7 +109,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Dat
     """``docs`` with the words that were hit taken out of their texts.
 
     A text with hits becomes its other normalised words, joined by one space; a
-    text without hits is left as it is.
+    text without hits, null and empty ones included, is left as it is. Repeated rows
+    are treated alike.
     """
     hits = find_hits(docs, benchmark, length).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "span")).alias("hits"))
     keys = ["__k1", "__k2"]
