@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import narrow, partitions
 from .tokens import encoder
 
-MAGIC = b"IDSEF1\0\0"
-HEADER = struct.Struct("<8sBBxxxxxxQQQ")  # magic, bytes of an id, low bits, documents, ids, words of the high part
+MAGIC = b"IDSEF2\0\0"
+#: Magic, bytes of an id, low bits of the boundaries and of the document ids, documents, those without an id, the
+#: least document id, ids, words of the high parts of both.
+HEADER = struct.Struct("<8sBBBxxxxxQQqQQQ")
 EVERY = 64  # a select sample for every so many documents
 
 SHARDS = "part int, seq int, n_docs long, n_ids long, payload binary"
@@ -62,32 +64,24 @@ class Boundaries:
         place = word * 64 + (bits & -bits).bit_length() - 1
         return (place - i) << self.low_bits | self._low(i)
 
-    def all(self) -> np.ndarray:
-        """Every end, in one scan."""
-        places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
-        high = (places - np.arange(self.n)).astype(np.int64) << self.low_bits
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
-
 
 def pack(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
-    """One shard: header, document ids with a null mask, boundaries, then all ids."""
+    """One shard: header, boundaries, document ids, then all ids. Documents come in ascending order, those without an id first."""
     ends = np.cumsum([len(x) // width for x in ids])
     total = int(ends[-1]) if len(ends) else 0
+    named = [d for d in doc_ids if d is not None]
+    least = named[0] if named else 0
     b = Boundaries.of(ends, total)
-    head = HEADER.pack(MAGIC, width, b.low_bits, b.n, total, len(b.high))
-    missing = np.packbits(np.array([d is None for d in doc_ids], bool), bitorder="little")
-    named = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return b"".join([head, named.tobytes(), missing.tobytes(), b.low.tobytes(), b.high.tobytes(), b.samples.tobytes(), *ids])
+    d = Boundaries.of(np.array([x - least for x in named], np.uint64), named[-1] - least if named else 0)
+    head = HEADER.pack(MAGIC, width, b.low_bits, d.low_bits, b.n, b.n - d.n, least, total, len(b.high), len(d.high))
+    return b"".join([head, *(x.tobytes() for part in (b, d) for x in (part.high, part.samples, part.low)), *ids])
 
 
 class Shard:
     """A packed shard, read in place."""
 
     def __init__(self, payload: bytes):
-        magic, width, low_bits, n, total, words = HEADER.unpack_from(payload)
+        magic, width, low_bits, doc_bits, n, unnamed, least, total, words, doc_words = HEADER.unpack_from(payload)
         if magic != MAGIC:
             raise ValueError("not a shard of ids")
         at = HEADER.size
@@ -98,12 +92,18 @@ class Shard:
             at += out.nbytes
             return out
 
-        named, missing = take("<i8", n), take("u1", (n + 7) // 8)
-        null = np.unpackbits(missing, count=n, bitorder="little").astype(bool)
-        self.doc_ids = [None if x else int(d) for d, x in zip(named, null, strict=True)]
-        self.ends = Boundaries(n, low_bits, take("u1", (n * low_bits + 7) // 8), take("<u8", words), take("<u4", -(-n // EVERY)))
+        def boundaries(n: int, bits: int, words: int) -> Boundaries:
+            high, samples = take("<u8", words), take("<u4", -(-n // EVERY))
+            return Boundaries(n, bits, take("u1", (n * bits + 7) // 8), high, samples)
+
+        self.unnamed, self.least = unnamed, least
+        self.ends, self.named = boundaries(n, low_bits, words), boundaries(n - unnamed, doc_bits, doc_words)
         self.ids = take(f"<u{width}", total)
 
+    def doc_id(self, i: int) -> int | None:
+        """The id of document i."""
+        return None if i < self.unnamed else self.least + self.named.select(i - self.unnamed)
+
     def __len__(self) -> int:
         return self.ends.n
 
@@ -168,27 +168,32 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a folder of shards: doc_id, start, n_tokens, ids (bytes), width."""
+    """Every document of a folder of shards: doc_id, start, n_tokens, ids (bytes), width.
+
+    A document's place in its shard is found by ``select``. Documents without an id
+    have a null one; texts that were null or empty are a lone end; repeated rows are
+    documents each; a folder of no shards gives no rows.
+    """
     shards = spark.read.schema(SHARDS).parquet(path).select("part", "seq", "payload")
 
     def documents(batches):
         for batch in batches:
             for base, payload in zip(batch["base"], batch["payload"], strict=True):
                 shard = Shard(payload)
-                ends = shard.ends.all()
-                starts = np.concatenate([[0], ends])[: len(ends)]
                 for at in range(0, len(shard), 1024):
-                    cut = slice(at, at + 1024)
+                    some = range(at, min(at + 1024, len(shard)))
+                    ends = np.array([shard.ends.select(i) for i in some])
+                    starts = np.append(shard.ends.select(at - 1) if at else 0, ends[:-1])
                     yield pd.DataFrame({
-                        "doc_id": pd.array(shard.doc_ids[cut], "Int64"), "start": base + starts[cut], "n_tokens": (ends - starts)[cut],
-                        "ids": [shard.ids[a:b].tobytes() for a, b in zip(starts[cut], ends[cut], strict=True)], "width": shard.ids.itemsize,
+                        "doc_id": pd.array([shard.doc_id(i) for i in some], "Int64"), "start": base + starts, "n_tokens": ends - starts,
+                        "ids": [shard.ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], "width": shard.ids.itemsize,
                     })
 
     return shards.join(narrow(shard_starts(spark, path)), ["part", "seq"]).mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary, width int")
 
 
 def id_digests(documents: DataFrame) -> DataFrame:
-    """``read_ids`` with the ids replaced by their CRC-32 as 32-bit integers."""
+    """``read_ids`` with the ids replaced by their CRC-32 as 32-bit integers; one row for each document, whatever its id."""
 
     def digest(batches):
         import zlib
