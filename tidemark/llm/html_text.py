@@ -249,7 +249,8 @@ def _blocks(node: Node, out: list[str], best: Node | None) -> None:
     run: list[str] = []
 
     def flush() -> None:
-        text = " ".join(unescape("".join(run)).split())
+        # A reference ends with its piece of text: markup inside it cuts it off.
+        text = " ".join("".join(map(unescape, run)).split())
         if text:
             out.append(text)
         run.clear()
