@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversation_repair, decontamination, fingerprints, html_text, idfile, lm_score, near_dedup, substring_dedup, token_counts, topk, toxicity, vector_codes
+from . import bpe, conversation_repair, decontamination, fingerprints, html_text, idfile, lm_score, near_dedup, pipeline, substring_dedup, token_counts, topk, toxicity, vector_codes
 from .common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,12 +79,6 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_near_dedup": op2_near_dedup,
@@ -99,7 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_codes": op12_vector_codes,
     "op13_fingerprints": op13_fingerprints,
-    "pipeline": pipeline,
+    "pipeline": pipeline.run,
 }
 
 #: A-Z to lower case, and the words of the benchmark rules, as DuckDB has them.
