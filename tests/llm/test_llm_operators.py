@@ -701,3 +701,24 @@ def test_lm_score_by_brute_force(spark, rows, monkeypatch, limits):
 def test_packed_grams():
     grams = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64))
     assert (lm_score.unpack(lm_score.pack(grams)) == grams).all() and len(lm_score.pack(grams)) < 6.1 * len(grams)
+
+
+# --- very long texts, cut references
+
+
+def test_references_end_with_their_piece_of_text():
+    page = "<html><body><article><p>" + "A long paragraph, with commas, and words. " * 5 + "cut &am<i>p;</i> and &lt<b>;</b> and &amp;amp; and AT&amp;T</p></article></body></html>"
+    assert html_text.main_text(page).endswith("cut &amp; and <; and &amp; and AT&T")
+
+
+def test_very_long_texts_are_counted_and_written_whole(spark, library):
+    r = random.Random(9)
+    rows = [(2, some_words(r, 250_000)), (1, "é" * 300_000), (3, "short")]
+    sizes = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert len(rows[0][1]) > 2_000_000
+    found = token_counts.count_tokens(table(spark, rows), shared_dir(spark, "cache"), PATH).collect()
+    assert {x["doc_id"]: x["n_tokens"] for x in found} == sizes
+    path = shared_dir(spark, "ids")
+    idfile.write_ids(table(spark, rows), path, PATH)
+    written = idfile.id_digests(idfile.read_ids(spark, path)).collect()
+    assert {x["doc_id"]: (x["start"], x["n_tokens"]) for x in written} == {1: (0, sizes[1] + 1), 2: (sizes[1] + 1, sizes[2] + 1), 3: (sizes[1] + sizes[2] + 2, sizes[3] + 1)}
