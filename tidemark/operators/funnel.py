@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import PLATFORMS
 from .coding import code_posts, primary_category, primary_counts
-from .posts import copy_key, dedup_posts, first_of_copies, is_flagged, named_terms, screen_flag, screen_has_terms, screen_platform
+from .posts import copy_key, first_of_copies, is_flagged, named_terms, screen_platform
 
 STAGES = ("links", "processed", "topic", "unique", "has_terms")
 
@@ -68,12 +68,6 @@ def funnel_counts(links: DataFrame, posts: DataFrame, flag: str, allowed: Sequen
     return _stage_rows(total.crossJoin(_tallies(_screened(posts, flag, allowed), len(allowed))))  # one row each
 
 
-def categories(posts: DataFrame, rules: DataFrame, flag: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
-    """The posts that pass every screen, as (id, primary_category)."""
-    kept = screen_has_terms(dedup_posts(screen_flag(screen_platform(posts, allowed), flag)))
-    return primary_category(code_posts(kept, rules))
-
-
 def funnel_cube(links: DataFrame, posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed: Sequence[str] = PLATFORMS) -> DataFrame:
     """The numbers that the whole funnel is made of, as a few rows: (part, name, n, m).
 
