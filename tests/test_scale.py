@@ -13,6 +13,7 @@ from tidemark.operators import annotate, coding, funnel, links, posts, stats
 from tidemark.plans import queries as plain
 from tidemark.plans import views
 from tidemark.sources import files
+from tidemark.streaming.pickup import pick_up, read_picked_up
 
 SF = "/root/testdata/sf0.001"
 POST = "id string, title string, duration double, view_count long"
@@ -237,3 +238,36 @@ def test_responses_under_any_key(spark, tmp_path):
     files.write_responses(df, str(tmp_path / "in"))
     good, bad = files.read_results(spark, str(tmp_path / "in"), keyed=True)
     assert {r["file_key"]: r["annotation"]["n"] for r in good.collect()} == {k: k for k in keys} and bad.count() == 0
+
+
+def test_packed_responses_come_back_as_they_were(spark, tmp_path):
+    told = {"a b [1]": '{"n": "x\\ny"}\n\n', "c/d": " {broken\n", "": "[1]", "012": '{"n": null}'}
+    df = spark.createDataFrame([*told.items(), (None, "{}"), ("gone", None)], "file_key string, value string")
+    files.pack_responses(df, str(tmp_path / "in"))
+    good, bad = files.read_results(spark, str(tmp_path / "in"), packed=True)
+    assert {r["file_key"]: r["annotation"]["n"] for r in good.collect()} == {"a b [1]": "x\ny", "012": None}
+    assert {(r["file_key"], r["value"], r["reason"]) for r in bad.collect()} == {("c/d", told["c/d"], "no JSON"), ("", "[1]", "no object")}
+    meta = files.read_metadata(spark, str(tmp_path / "in"), packed=True)
+    assert {r["file_key"] for r in meta.collect()} == set(told) and meta.columns[0] == "file_key"
+
+
+def test_packs_are_picked_up_once(spark, tmp_path):
+    """Three runs, packs with brackets in their names and equal rows among them."""
+    folder, picked = tmp_path / "in", []
+    for run, numbers in enumerate(((1, 2, 2), (3,), ())):
+        if numbers:
+            files.pack_responses(spark.createDataFrame([(str(n), '{"n": 1}' if n % 2 else "[]") for n in numbers], "file_key string, value string").coalesce(1), str(folder))
+            pack = max(folder.glob("part-*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+            (folder / f"pack [{run}].parquet").write_bytes(pack.read_bytes())
+        pick_up(spark, str(folder), str(tmp_path / "checkpoint"), str(tmp_path / f"out{run}"), packed=True)
+        good, bad = read_picked_up(spark, str(tmp_path / f"out{run}"))
+        picked.append((sorted(r["file_key"] for r in good.collect()), sorted(r["file_key"] for r in bad.collect())))
+    assert picked == [(["1"] * 2, ["2"] * 4), (["3"] * 2, []), ([], [])]
+
+
+@pytest.mark.parametrize("name,folder", [("stream_results", "stream")])
+def test_files_of_responses_do_not_grow_with_them(spark, monkeypatch, tmp_path, name, folder):
+    monkeypatch.setattr(files, "shared_folder", lambda spark, name: str(tmp_path / name))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").count()
+    assert plain.Q[name](spark, SF).count() == labels
+    assert len(list((tmp_path / folder / ("in" if name == "stream_results" else "")).rglob("part-*"))) <= 4 < labels

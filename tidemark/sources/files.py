@@ -58,29 +58,44 @@ def write_responses(df: DataFrame, folder: str, key: str = "file_key", value: st
     rows.write.partitionBy("file_key").mode("append").option("lineSep", "\n").text(folder)
 
 
+def pack_responses(df: DataFrame, folder: str, key: str = "file_key", value: str = "value") -> None:
+    """Adds each row's text to ``folder`` with its key, many to a file.
+
+    Files of their own (``write_responses``) cost a folder and a file each to make, and the
+    driver lists and holds all of them on reading; packs are as many as the writing tasks,
+    however many responses there are. Keys and texts may hold anything and come back as they
+    were. Rows without key or text are left out.
+    """
+    rows = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(value).alias("value"), F.col(key).cast("string").alias("file_key"))
+    rows.write.mode("append").parquet(folder)
+
+
 def shown_key(col: Column) -> Column:
     """A file key as people read it."""
     return F.url_decode(F.replace(col, F.lit("+"), F.lit("%2B")))
 
 
-#: Where files lie in subfolders that carry their keys.
+#: Where files lie in subfolders that carry their keys, and what packs hold.
 KEYED = "value string, file_key string"
 
 
-def _files(spark: SparkSession, folder: str, suffix: str, keyed: bool) -> DataFrame:
+def _files(spark: SparkSession, folder: str, suffix: str, keyed: bool, packed: bool) -> DataFrame:
+    if packed:
+        return spark.read.schema(KEYED).parquet(folder).select("file_key", "value")
     if keyed:
         return spark.read.schema(KEYED).text(folder, wholetext=True).select("file_key", F.rtrim("value", F.lit("\n")).alias("value"))
     return spark.read.text(f"{folder}/*.json", wholetext=True).select(file_key(suffix).alias("file_key"), "value")
 
 
-def read_results(spark: SparkSession, folder: str, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_results(spark: SparkSession, folder: str, keyed: bool = False, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """S3: (good, bad) response files.
 
     Good ones are JSON objects: (file_key, annotation), a map of texts. Bad ones
     come with the reason: (file_key, value, reason). The key is the file's name, or with ``keyed`` its
-    subfolder's, as ``write_responses`` lays them out.
+    subfolder's, as ``write_responses`` lays them out. With ``packed`` responses stand with
+    their keys in the files of ``pack_responses``, the form for many.
     """
-    files = _files(spark, folder, RESULT_SUFFIX, keyed)
+    files = _files(spark, folder, RESULT_SUFFIX, keyed, packed)
     return good_results(files), bad_results(files)
 
 
@@ -102,9 +117,9 @@ def bad_results(files: DataFrame) -> DataFrame:
     return files.withColumn("reason", _reason()).filter("reason IS NOT NULL")
 
 
-def read_metadata(spark: SparkSession, folder: str, keyed: bool = False) -> DataFrame:
-    """(file_key, the metadata columns, ext) of each file; absent keys are null, unknown ones are passed over."""
-    files = _files(spark, folder, METADATA_SUFFIX, keyed)
+def read_metadata(spark: SparkSession, folder: str, keyed: bool = False, packed: bool = False) -> DataFrame:
+    """(file_key, the metadata columns, ext) of each file; absent keys are null, unknown ones are passed over. Layouts are those of ``read_results``."""
+    files = _files(spark, folder, METADATA_SUFFIX, keyed, packed)
     return files.select("file_key", F.from_json("value", METADATA_FILE).alias("m")).select("file_key", "m.*")
 
 
