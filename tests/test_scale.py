@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
+from tidemark.functions import text
 from tidemark.operators import annotate, coding, funnel, links, posts, stats
 from tidemark.plans import queries as plain
 from tidemark.plans import views
@@ -204,6 +205,18 @@ def test_findings_of_nothing(spark, tmp_path):
     assert {(r["section"], r["rank"], r["key"], r["metric"], r["value"]) for r in off.collect()} == {("inclusion", 1, "all", m, v) for m, v in (("loaded", 1500.0), ("after_platform_filter", 1500.0), ("included", 0.0))}
 
 
+def test_report_trend_takes_lists_apart_once(spark):
+    """No join is moved below the counts, so posts are made once and only counted parts get names."""
+    assert planned(plain.Q["report_trend"](spark, SF)).count("lineitem.parquet") == 1
+    made = spark.range(1).select(text.parse_list(F.concat(F.lit("['a', '"), F.col("id"), F.lit("']"))))
+    assert made._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    rows = [("2024-01-05", "['Zinc', 'zinc ']"), ("2024-01-09", "iron"), ("2024-02-01", "['iron', 'b', 'HRT']"), (None, "['b', 'b', 'b']"), ("2024-03-01", "c"), (None, None)]
+    df = spark.createDataFrame(rows, "date string, supplements string").select(F.col("date").cast("date"), "supplements")
+    got = sorted((str(r[0]), r[1], r[2]) for r in stats.report_trend(df, 3).collect())
+    assert got == [("2024-01-31", "B", 0), ("2024-01-31", "Iron", 1), ("2024-01-31", "Zinc", 2), ("2024-02-29", "B", 1), ("2024-02-29", "Iron", 1), ("2024-02-29", "Zinc", 0)]
+    assert stats.report_trend(df.limit(0)).count() == 0
+
+
 # --- files
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,16 +54,24 @@ def parse_list(col: Column, mode: str = "quoted") -> Column:
     the text as a JSON array of strings, so that an apostrophe inside double
     quotes does no harm.
     """
-    text = strip(col)
-    quoted = _nonblank(F.regexp_extract_all(text, F.lit("['\"]([^\\n]*?)['\"]"), F.lit(1)))
+    return F.when(col.isNull(), _empty()).otherwise(_let(strip(col), lambda text: _parsed(text, mode)))
+
+
+def _let(value: Column, used: Callable[[Column], Column]) -> Column:
+    """``used(value)`` with ``value`` worked out once, however often it occurs there."""
+    return F.transform(F.array(value), used)[0]
+
+
+def _parsed(text: Column, mode: str) -> Column:
+    """The parts of a list, of its text without white space at the ends."""
     inside = _nonblank(F.split(F.substr(text, F.lit(2), F.length(text) - 2), ","))
-    bracketed = F.when(F.size(F.regexp_extract_all(text, F.lit("['\"]([^\\n]*?)['\"]"), F.lit(1))) > 0, quoted).otherwise(inside)
+    bracketed = _let(F.regexp_extract_all(text, F.lit("['\"]([^\\n]*?)['\"]"), F.lit(1)), lambda quoted: F.when(F.size(quoted) > 0, _nonblank(quoted)).otherwise(inside))
     is_list = text.startswith("[") & text.endswith("]") & (F.length(text) >= 2)
     if mode == "json":
         read = F.try_variant_get(F.try_parse_json(text), "$", "array<string>")
         bracketed = F.coalesce(_nonblank(F.filter(read, lambda x: x.isNotNull())), bracketed)
     found = F.when(is_list, bracketed).otherwise(_nonblank(F.split(text, ",")))
-    return F.when(col.isNull() | F.lower(text).isin(*REPORT_SENTINELS), _empty()).otherwise(found)
+    return F.when(F.lower(text).isin(*REPORT_SENTINELS), _empty()).otherwise(found)
 
 
 def drop_sentinels(terms: Column, sentinels: Iterable[str]) -> Column:

@@ -171,11 +171,16 @@ def report_trend(df: DataFrame, k: int = 3) -> DataFrame:
 
     A term is 0 in a month in which only others were named.
     """
-    counts = _named(df.select(month_end(F.col("date")).alias("month_end"), F.explode(report_keys()).alias("key")), "term", alias_name, "month_end")
-    top = F.broadcast(_first(counts.groupBy("term").agg(F.sum("n").alias("n")), "term", k).select("term"))
-    met = counts.filter(F.col("month_end").isNotNull()).join(top, "term", "left_semi")
-    every = met.select("month_end").distinct().crossJoin(top)  # months times k
-    return every.join(met, ["month_end", "term"], "left").select("month_end", "term", F.coalesce("n", F.lit(0)).alias("mentions"))
+    # Parts of the lists are counted as they are; keys and names are made of the distinct ones.
+    parts = df.select(month_end(F.col("date")).alias("month_end"), F.explode(parse_list(F.col("supplements"))).alias("key"))
+    counts = _named(parts, "term", lambda part: alias_name(alias_key(part, REPORT_ALIASES)), "month_end")
+    # Each term keeps its months beside it. A join of the counts with the top would be moved below the sums, onto the mentions, and name each of them.
+    monthly = F.map_from_entries(F.collect_list(F.when(F.col("month_end").isNotNull(), F.struct("month_end", "n"))))
+    terms = counts.groupBy("term").agg(F.sum("n").alias("mentions"), monthly.alias("monthly"))
+    top = terms.orderBy(F.desc("mentions"), "term").limit(k).agg(F.collect_list(F.struct("term", "monthly")).alias("top"))  # months times k
+    months = F.array_distinct(F.flatten(F.transform("top", lambda t: F.map_keys(t["monthly"]))))
+    every = top.select("top", F.explode(months).alias("month_end")).select("month_end", F.explode("top").alias("t"))
+    return every.select("month_end", "t.term", F.coalesce(F.try_element_at("t.monthly", F.col("month_end")), F.lit(0)).alias("mentions"))
 
 
 def inclusion_counts(df: DataFrame, flag: str) -> DataFrame:
