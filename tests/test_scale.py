@@ -217,6 +217,11 @@ def test_report_trend_takes_lists_apart_once(spark):
     assert stats.report_trend(df.limit(0)).count() == 0
 
 
+def test_findings_read_posts_no_more_once_written(spark):
+    """All sections are made from written sums, those of the posts that name the top terms too."""
+    assert planned(plain.Q["findings"](spark, SF)).count("lineitem.parquet") == 0
+
+
 # --- files
 
 

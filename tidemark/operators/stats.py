@@ -100,9 +100,13 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n_posts"), *(F.count_if(F.col("sentiment") == s).alias(s) for s in SENTIMENTS))
 
 
-def _common_symptoms(rows: DataFrame, k: int = 3) -> DataFrame:
-    """(name, symptoms, n, rank): each name's k most common symptom fields."""
-    fields = rows.filter(F.col("symptoms").isNotNull()).groupBy("name", "symptoms").agg(F.count(F.lit(1)).alias("n"))
+def _common_symptoms(rows: DataFrame) -> DataFrame:
+    """(name, symptoms, n, rank): each name's most common symptom fields."""
+    return _first_fields(rows.filter(F.col("symptoms").isNotNull()).groupBy("name", "symptoms").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _first_fields(fields: DataFrame, k: int = 3) -> DataFrame:
+    """The k symptom fields of each name that most posts have, with their rank."""
     first = Window.partitionBy("name").orderBy(F.desc("n"), "symptoms")
     return fields.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
 
@@ -193,11 +197,21 @@ def inclusion_counts(df: DataFrame, flag: str) -> DataFrame:
 FACTS = ("n", "ids", "like_count", "view_count", "comment_count", *SENTIMENTS, "told", "marketed")
 
 
-def _bears(kind: str, name: Column | None, at: Column | None, **sums: Column) -> Column:
-    """A fact of a post: what kind, of which name, when; ``sums`` are what it adds besides one."""
-    values = [(sums[c].cast("double") if c in sums else F.lit(1.0 if c == "n" else 0.0)).alias(c) for c in FACTS]
-    text = lambda c: F.lit(None).cast("string") if c is None else c.cast("string")
-    return F.struct(F.lit(kind).alias("kind"), text(name).alias("name"), text(at).alias("at"), *values)
+def _facts(df: DataFrame, names: Mapping[str, Column], at: Mapping[str, Column], sums: Sequence[tuple[Sequence[str], Mapping[str, Column]]]) -> DataFrame:
+    """A row for each name that a post bears: what ``kind``, of which ``name``, when, and what it adds.
+
+    ``names`` are a post's lists by kind; ``at`` and ``sums`` say, by kind and for some kinds, what a fact holds
+    besides, and one for each fact. All of that is worked out once a post, before
+    the lists are taken apart, and dealt out to its facts by plain comparisons of their kind.
+    """
+    lists = [F.coalesce(listed, F.array().cast("array<string>")).alias(f"__{kind}") for kind, listed in names.items()]
+    held = {f"__at_{kind}": c.cast("string") for kind, c in at.items()} | {f"__{i}_{c}": x.cast("double") for i, (_, row) in enumerate(sums) for c, x in row.items()}
+    facts = lambda kind: F.transform(f"__{kind}", lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+    told = df.select(*lists, *(c.alias(name) for name, c in held.items()))
+    rows = told.select(*held, F.explode(F.concat(*map(facts, names))).alias("x")).select("x.*", *held).filter("name IS NOT NULL")
+    place = F.coalesce(*(F.when(F.col("kind") == kind, F.col(f"__at_{kind}")) for kind in at))
+    value = lambda c: F.coalesce(*(F.when(F.col("kind").isin(*kinds), F.col(f"__{i}_{c}")) for i, (kinds, row) in enumerate(sums) if c in row), F.lit(1.0 if c == "n" else 0.0))
+    return rows.select("kind", "name", place.alias("at"), *(value(c).alias(c) for c in FACTS))
 
 
 def _number(df: DataFrame, metric: str) -> Column:
@@ -208,29 +222,27 @@ def _number(df: DataFrame, metric: str) -> Column:
 def analysis_facts(scope: DataFrame) -> DataFrame:
     """What the posts of the analysis add to its sections: by platform, month, sentiment, term and symptom."""
     said = {s: (F.lower("sentiment") == s).cast("int") for s in SENTIMENTS}
-    said = {s: F.coalesce(c, F.lit(0)) for s, c in said.items()}
     sums = {m: F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in METRICS} | said
     sums |= {"ids": F.col("id").isNotNull().cast("int"), "told": F.col("sentiment").isNotNull().cast("int")}
-    terms = drop_sentinels(F.transform(split_terms(F.col("supplements")), F.lower), TOP_SENTINELS)
-    one = [F.when(F.col(c).isNotNull(), _bears(kind, F.col(c), None, **sums)) for kind, c in (("platforms", "extractor"), ("months", "year_month"), ("sentiment", "sentiment"))]
-    many = [F.transform(terms, lambda t: _bears("terms", t, F.col("year_month"))), F.coalesce(F.transform(_said_symptoms(), lambda t: _bears("top_symptoms", t, None)), F.array())]
-    return scope.select(F.explode(F.concat(F.array(*one), *many)).alias("x")).filter("x IS NOT NULL").select("x.*")
+    names = {kind: F.array(F.col(c).cast("string")) for kind, c in (("platforms", "extractor"), ("months", "year_month"), ("sentiment", "sentiment"))}
+    one = [(tuple(names), sums)]
+    names["terms"] = drop_sentinels(F.transform(split_terms(F.col("supplements")), F.lower), TOP_SENTINELS)
+    names["top_symptoms"] = _said_symptoms()
+    return _facts(scope, names, {"terms": F.col("year_month")}, one)
 
 
 def report_facts(df: DataFrame, flag: str) -> DataFrame:
     """What posts add to the report's sections: whether they are included, and by platform, term, member and symptom if so."""
     inside = is_flagged(df, flag, "text") if flag in df.columns else F.lit(True)
     said = {s: F.coalesce((F.col("sentiment") == s).cast("int"), F.lit(0)) for s in SENTIMENTS}
-    terms, month = report_keys(), month_end(F.col("date"))
-    symptoms = F.transform(parse_list(F.col("symptoms")), F.lower)
-    included = F.concat(
-        F.array(F.when(F.col("extractor").isNotNull(), _bears("report_platforms", F.col("extractor"), None, **{m: _number(df, m) for m in METRICS}))),
-        F.transform(terms, lambda t: _bears("report_top_terms", t, month)),
-        F.transform(F.array_distinct(terms), lambda t: _bears("members", t, F.col("misleading").try_cast("double"), marketed=loose_bool(F.col("marketing")).cast("int"), **said)),
-        F.transform(symptoms, lambda t: _bears("report_top_symptoms", t, None)),
-    )
-    all_ = F.array(_bears("inclusion", F.lit("all"), None, ids=inside.cast("int")))
-    return df.select(F.explode(F.concat(all_, F.when(inside, included).otherwise(F.array()))).alias("x")).filter("x IS NOT NULL").select("x.*")
+    once = df.withColumns({"__inside": inside, "__keys": F.when(inside, report_keys())})  # read twice
+    names = {
+        "inclusion": F.array(F.lit("all")), "report_platforms": F.when(F.col("__inside"), F.array(F.col("extractor").cast("string"))), "report_top_terms": F.col("__keys"), "members": F.array_distinct("__keys"),
+        "report_top_symptoms": F.when(F.col("__inside"), F.transform(parse_list(F.col("symptoms")), F.lower)),
+    }
+    at = {"report_top_terms": month_end(F.col("date")), "members": F.col("misleading").try_cast("double")}
+    sums = [(("inclusion",), {"ids": F.col("__inside").cast("int")}), (("report_platforms",), {m: _number(df, m) for m in METRICS}), (("members",), {"marketed": loose_bool(F.col("marketing")).cast("int"), **said})]
+    return _facts(once, names, at, sums)
 
 
 def _long(df: DataFrame, section: str, metrics: Mapping[str, Column], key: str = "name", rank: Column | None = None) -> DataFrame:
@@ -263,7 +275,7 @@ def findings(posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed
     Every post is turned into the facts it bears, in one pass a scope, and these are
     added up before they move, to a row for each term and month; names are made of distinct terms only. Those sums are written
     to ``folder``; all sections are made from them, but for the posts that name the
-    terms found on top, whose few names a second pass looks for.
+    terms found on top, whose few names a second pass looks for and writes, added up too.
     """
     spark = posts.sparkSession
     scope = dedup_posts(screen_flag(screen_platform(posts, allowed), flag))
@@ -306,8 +318,12 @@ def findings(posts: DataFrame, rules: DataFrame, flag: str, folder: str, allowed
     ]
     names = [r["name"] for r in first["top_terms"].orderBy("rank").collect()]  # a few
     if names:
-        rows = _naming(scope, names)
+        said = (F.count_if(F.col("sentiment") == s).alias(s) for s in SENTIMENTS)
+        _naming(scope, names).groupBy("name", "symptoms").agg(F.count(F.lit(1)).alias("n_posts"), *said).write.mode("overwrite").parquet(f"{folder}/named")
+        named = spark.read.parquet(f"{folder}/named")
+        counted = named.groupBy("name").agg(*(F.sum(c).alias(c) for c in ("n_posts", *SENTIMENTS)))
+        fields = _first_fields(named.filter(F.col("symptoms").isNotNull()).select("name", "symptoms", F.col("n_posts").alias("n")))
         place = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i + 1))), F.col("name"))
-        parts.append(_long(_counted(rows).withColumn("rank", place), "content_profile", same("n_posts", *SENTIMENTS)))
-        parts.append(_common_symptoms(rows).select(F.lit("content_symptoms").alias("section"), F.col("rank").cast("int").alias("rank"), F.col("name").alias("key"), F.col("symptoms").alias("metric"), F.col("n").cast("double").alias("value")))
+        parts.append(_long(counted.withColumn("rank", place), "content_profile", same("n_posts", *SENTIMENTS)))
+        parts.append(fields.select(F.lit("content_symptoms").alias("section"), F.col("rank").cast("int").alias("rank"), F.col("name").alias("key"), F.col("symptoms").alias("metric"), F.col("n").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)
