@@ -222,6 +222,19 @@ def test_findings_read_posts_no_more_once_written(spark):
     assert planned(plain.Q["findings"](spark, SF)).count("lineitem.parquet") == 0
 
 
+def test_coding_is_written_from_terms_taken_apart_once(spark, monkeypatch):
+    """The posts are read by the job that writes their terms; codes and tables are made from what it wrote."""
+    plans = []
+    write = files.write_coding
+    monkeypatch.setattr(files, "write_coding", lambda tables, folder: plans.extend(planned(df) for df in tables.values()) or write(tables, folder))
+    plain.Q["coding_written_and_read"](spark, SF)
+    assert sum(plan.count("lineitem.parquet") for plan in plans) == 1
+    rows = [("1", 1, "A", 5, 7), ("1", 2, "A", 6, 8), (None, 1, "A", 1, 1), ("2", 1, "B", None, None)]
+    coded = spark.createDataFrame(rows, "id string, pos int, status_category string, like_count long, view_count long")
+    summary = coding.group_summary(coded, "status_category")
+    assert [tuple(r) for r in summary.collect()] == [("A", 1, 6, 8), ("B", 1, 0, 0)] and "count(distinct" not in planned(summary)
+
+
 # --- files
 
 

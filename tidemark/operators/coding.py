@@ -115,10 +115,19 @@ def target_group(terms: DataFrame, rules: DataFrame, col: str = "term") -> DataF
     return code_terms(terms, rules, ("target",), col)
 
 
+def name_terms(posts: DataFrame, col: str = "supplements") -> DataFrame:
+    """A row for each term of each post, with its position."""
+    return posts.select(*(c for c in POST_COLUMNS if c in posts.columns), F.posexplode(named_terms(col)).alias("pos", "raw_term"))
+
+
+def code_mentions(mentions: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of ``name_terms`` with all three codes. They are read twice: for the distinct terms, and to be coded."""
+    return mentions.join(code_terms(mentions, rules, col="raw_term"), "raw_term")
+
+
 def code_posts(posts: DataFrame, rules: DataFrame, col: str = "supplements") -> DataFrame:
     """C4: a row for each term of each post, with its position and all three codes."""
-    mentions = posts.select(*(c for c in POST_COLUMNS if c in posts.columns), F.posexplode(named_terms(col)).alias("pos", "raw_term"))
-    return mentions.join(code_terms(mentions, rules, col="raw_term"), "raw_term")
+    return code_mentions(name_terms(posts, col), rules)
 
 
 def coding_coverage(coded: DataFrame) -> DataFrame:
@@ -130,7 +139,7 @@ def coding_coverage(coded: DataFrame) -> DataFrame:
 def group_summary(coded: DataFrame, group: str) -> DataFrame:
     """Posts, likes and views of each group, a post counted once in a group."""
     once = coded.groupBy("id", group).agg(F.min_by("like_count", "pos").alias("likes"), F.min_by("view_count", "pos").alias("views"))
-    sums = once.groupBy(group).agg(F.count_distinct("id").alias("post_count"), F.coalesce(F.sum("likes"), F.lit(0)).alias("total_likes"), F.coalesce(F.sum("views"), F.lit(0)).alias("total_views"))
+    sums = once.groupBy(group).agg(F.count("id").alias("post_count"), F.coalesce(F.sum("likes"), F.lit(0)).alias("total_likes"), F.coalesce(F.sum("views"), F.lit(0)).alias("total_views"))
     return sums.orderBy(F.desc("post_count"), group)
 
 
