@@ -208,7 +208,7 @@ def test_findings_of_nothing(spark, tmp_path):
 def test_report_trend_takes_lists_apart_once(spark):
     """No join is moved below the counts, so posts are made once and only counted parts get names."""
     assert planned(plain.Q["report_trend"](spark, SF)).count("lineitem.parquet") == 1
-    made = spark.range(1).select(text.parse_list(F.concat(F.lit("['a', '"), F.col("id"), F.lit("']"))))
+    made = spark.range(1).select(text.parse_list(F.concat(F.lit("['a', '"), F.col("id"), F.lit("']"))).alias("parts"))
     assert made._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
     rows = [("2024-01-05", "['Zinc', 'zinc ']"), ("2024-01-09", "iron"), ("2024-02-01", "['iron', 'b', 'HRT']"), (None, "['b', 'b', 'b']"), ("2024-03-01", "c"), (None, None)]
     df = spark.createDataFrame(rows, "date string, supplements string").select(F.col("date").cast("date"), "supplements")
