@@ -89,6 +89,48 @@ def test_top_k_few(spark):
     assert {tuple(x) for x in topk.top_k(df, F.col("vec_id") == 0).collect()} == {(0, 1, 2, 768 * 256), (0, 2, 1, 512 * 256)}
 
 
+def ran(plan):
+    """The operators of a plan that was run."""
+    if plan.nodeName().endswith("QueryStage"):
+        return ran(plan.plan())
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return ran(plan.executedPlan())
+    below = plan.children()
+    return [plan, *(node for i in range(below.size()) for node in ran(below.apply(i)))]
+
+
+def test_top_k_sends_each_query_once(spark):
+    """What is sent to all tasks doesn't grow with the number of tables."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(400)], "vec_id long, embedding array<double>").repartition(2)
+    tables = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        found = topk.top_k(df, F.col("vec_id") % 2 == 0)
+        assert len(found.collect()) == 200 * 5
+        sent = [node.metrics().apply("numOutputRows").value() for node in ran(found._jdf.queryExecution().executedPlan()) if node.nodeName() == "BroadcastExchange"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tables)
+    assert 0 < sum(sent) < 50
+
+
+@pytest.mark.parametrize("groups", [3, 9])
+def test_top_k_beyond_a_broadcast(spark, monkeypatch, groups):
+    """Blocks of queries and of candidates meet in a grid, each pair once, with the same result."""
+    r = random.Random(groups)
+    rows = [(i, [float(r.randrange(-9, 9)) for _ in range(3 + i % 2)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3, "vec_id")
+    size = sum(8 + 8 * len(v) for i, v in rows if i % 3 == 0)
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", -(-size // groups))
+    monkeypatch.setattr(topk, "ASKED_BLOCK", 7)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    found = topk.top_k(df, F.col("vec_id") % 3 == 0)
+    got = found.collect()
+    assert {tuple(x) for x in got} == brute_top(rows, 5) and len(got) == len(set(got))
+    names = {node.nodeName() for node in ran(found._jdf.queryExecution().executedPlan())}
+    assert "SortMergeJoin" in names and "BroadcastExchange" not in names
+
+
 @pytest.mark.parametrize("dims,n", [(64, 700), (1, 50), (3, 4), (16, 5000)])
 def test_list_reads_give_the_scores(dims, n):
     """Components of the same weight, ties, and large integers, against plain sums."""

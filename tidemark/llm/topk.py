@@ -9,10 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block of candidates, and of one of queries.
-BLOCK, QUERY_BLOCK = 4096, 128
-#: The lists are read in so many steps; after some of them bounds are looked at.
-STEPS, LOOKS = 16, (4, 8, 12, 14)
+from .common import BROADCAST_BYTES, partitions
+
+#: Vectors of a block of candidates, of queries that move together, and of queries that read a block's lists together.
+BLOCK, ASKED_BLOCK, QUERY_BLOCK = 4096, 1024, 128
+#: A block of wide vectors is full with so many components, which bounds what its lists take.
+COMPONENTS = 1 << 20
+#: The lists are read to these parts of their lengths; after each but the last bounds are looked at.
+DEPTHS, PARTS = (0, 4, 8, 12, 14, 16), 16
 
 BLOCKS = "ids binary, vectors binary, width int"
 
@@ -25,7 +29,7 @@ def integer_vectors(vectors: Column, scale: int = 256) -> Column:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Packs ``rows(id, vector)`` into blocks of at most ``size`` vectors of one width.
+    """Packs ``rows(id, vector)`` into blocks of at most ``size`` vectors of one width, fewer of wide ones.
 
     Each task packs what it reads, so no row moves.
     """
@@ -42,7 +46,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                 ids, vectors = held.setdefault(len(v), ([], []))
                 ids.append(i)
                 vectors.append(v)
-                if len(ids) == size:
+                if len(ids) == size or len(ids) * len(v) >= COMPONENTS:
                     yield block(len(v))
         for width in list(held):
             yield block(width)
@@ -50,7 +54,43 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInPandas(pack, BLOCKS)
 
 
-def no_random_access(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+class SortedLists:
+    """A block's list of (value, vector) for each component, in order of value.
+
+    The lists are read from both ends and only onward, all equally deep, once for
+    all queries that meet the block: what was read is kept.
+    """
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        vectors = vectors.astype(np.int64)
+        self.n, self.width = vectors.shape
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, self.order, axis=0)
+        self.low, self.high = self.values[0], self.values[-1]
+        self.depths = [self.n * part // PARTS for part in DEPTHS]
+        self.kept: dict[tuple[int, type], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def read(self, step: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries of a step, which are open after it, and the places reached.
+
+        Columns are the components from the top, then those from the bottom; values
+        are differences from the list's other end.
+        """
+        if (step, kind) not in self.kept:
+            start, depth = self.depths[step : step + 2]
+            top, bottom, j = slice(self.n - depth, self.n - start), slice(start, depth), np.arange(self.width)
+            entries = np.zeros((self.n, 2 * self.width), kind)
+            entries[self.order[top], j] = self.values[top] - self.low
+            entries[self.order[bottom], self.width + j] = self.values[bottom] - self.high
+            open_ = self.read(step - 1, kind)[1].copy() if step else np.ones(entries.shape, kind)
+            open_[self.order[top], j] = 0
+            open_[self.order[bottom], self.width + j] = 0
+            reached = np.concatenate([self.values[min(self.n - depth, self.n - 1)] - self.low, self.values[max(depth - 1, 0)] - self.high]).astype(kind)
+            self.kept[step, kind] = entries, open_, reached
+        return self.kept[step, kind]
+
+
+def no_random_access(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray | SortedLists, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """The k best of a block for each query: (query id, vector id, score).
 
     Each component has a list of the block's vectors, (value, vector) in order of
@@ -63,51 +103,51 @@ def no_random_access(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
     are passed over. The others are read on to the ends of the lists, where both
     bounds are the score. Ties go to the smaller id.
     """
-    n = len(ids)
-    queries, vectors = queries.astype(np.int64), vectors.astype(np.int64)
-    order = np.argsort(vectors, axis=0, kind="stable")
-    ordered = np.take_along_axis(vectors, order, axis=0)
-    low, high = ordered[0], ordered[-1]
-    up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T  # what reads from the top, and from the bottom
-    alive = ids[:, None] != query_ids[None, :]
-    lower = np.repeat((low @ up + high @ down)[None, :], n, axis=0)
-    live = np.ones(n, bool)
-    unread = np.ones((n, vectors.shape[1]), np.float64), np.ones((n, vectors.shape[1]), np.float64)
-    least = np.iinfo(np.int64).min
-    exact = float((np.abs(queries) @ np.maximum(np.abs(low), np.abs(high))).max(initial=0)) < 1 << 52
-
-    def read(places: slice, j: int, worst: int, weights: np.ndarray, open_: np.ndarray) -> None:
-        """Takes the next entries of a list."""
-        seen, values = order[places, j], ordered[places, j]
-        open_[seen, j] = 0
-        on = live[seen]
-        lower[seen[on]] += (values[on] - worst)[:, None] * weights[j]
-
-    depths = [n * step // STEPS for step in range(STEPS + 1)]
-    for step, (start, depth) in enumerate(zip(depths, depths[1:], strict=False)):
-        for j in range(vectors.shape[1]):
-            read(slice(n - depth, n - start), j, low[j], up, unread[0])
-            read(slice(start, depth), j, high[j], down, unread[1])
-        if step + 1 not in LOOKS or not depth or n <= k:
+    lists = vectors if isinstance(vectors, SortedLists) else SortedLists(vectors)
+    queries = queries.astype(np.int64)
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)  # what reads from the top, and from the bottom
+    most = float((np.abs(queries) @ np.maximum(np.abs(lists.low), np.abs(lists.high)).astype(np.float64)).max(initial=0))
+    kind = np.float32 if most < 1 << 23 else np.float64 if most < 1 << 52 else np.int64  # sums of floats are faster, and exact up to there
+    least = np.iinfo(kind).min if kind is np.int64 else -np.inf
+    weights = np.concatenate([up, down], axis=1).astype(kind)
+    rows = np.arange(lists.n)
+    alive = query_ids[:, None] != ids[None, :]
+    lower = np.where(alive, (up @ lists.low + down @ lists.high).astype(kind)[:, None], least)
+    for step in range(len(DEPTHS) - 1):
+        entries, open_, reached = lists.read(step, kind)
+        lower += weights @ entries[rows].T
+        if step + 2 == len(DEPTHS) or not lists.depths[step + 1] or len(rows) <= k:
             continue
-        rows = np.flatnonzero(live)
-        gains = (ordered[n - depth] - low)[:, None] * up, (ordered[depth - 1] - high)[:, None] * down
-        kind = np.float64 if exact else np.int64  # products of floats are faster
-        more = sum(u[rows].astype(kind) @ g.astype(kind) for u, g in zip(unread, gains, strict=True)).astype(np.int64)
-        if len(rows) > k:
-            bounds = np.ascontiguousarray(np.where(alive[rows], lower[rows], least).T)
-            bounds.partition(len(rows) - k, axis=1)
-            alive[rows] &= lower[rows] + more >= bounds[:, len(rows) - k]
-        live = alive.any(axis=1)
-    out = []
-    row, column = np.nonzero(alive)
-    scores = lower[row, column]
-    order = np.lexsort((ids[row], -scores, column))
-    row, column, scores = row[order], column[order], scores[order]
-    place = np.arange(len(column)) - np.searchsorted(column, column)
-    for r, c, s in zip(row[place < k], column[place < k], scores[place < k], strict=True):
-        out.append((int(query_ids[c]), int(ids[r]), int(s)))
-    return out
+        bounds = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k]  # what is out stays under them
+        alive &= lower + (weights * reached) @ open_[rows].T >= bounds[:, None]
+        live = np.flatnonzero(alive.any(axis=0))
+        rows, alive, lower = rows[live], alive.take(live, axis=1), lower.take(live, axis=1)
+    query, place = np.nonzero(alive)
+    found, scores = ids[rows[place]], lower[query, place].astype(np.int64)
+    order = np.lexsort((found, -scores, query))
+    query, found, scores = query[order], found[order], scores[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return list(zip(query_ids[query[first]].tolist(), found[first].tolist(), scores[first].tolist(), strict=True))
+
+
+def meetings(stored: DataFrame, asked: DataFrame, asked_bytes: int) -> DataFrame:
+    """Each block of candidates beside each block of queries of its width.
+
+    Candidates are dealt over the session's shuffle partitions and queries sent to
+    all of them, ``asked_bytes`` at most. Where that is over ``BROADCAST_BYTES``,
+    blocks meet in a grid instead: so many groups of queries that a task holds one,
+    times so many tables of candidates. No size that Spark guesses decides: it
+    takes copied blocks for single ones.
+    """
+    tables, groups = partitions(stored.sparkSession), -(-asked_bytes // BROADCAST_BYTES)
+    if groups <= 1:
+        return stored.repartition(tables).join(F.broadcast(asked), "width")
+    tables = max(1, tables // groups)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+    asked = asked.select("*", upto(tables).alias("table"), deal("query_ids", groups).alias("group"))
+    stored = stored.select("*", deal("ids", tables).alias("table"), upto(groups).alias("group"))
+    return stored.join(asked.hint("merge"), ["table", "group", "width"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -117,6 +157,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     blocks where they are read, queries into blocks of their own; each block of
     queries meets each block of candidates once, in a task that holds the two.
     Only the k best of a block move on, and a window keeps the k best of all.
+    The queries' size is measured first.
 
     Returns query_id, rank, vec_id, score. Vectors that are null or empty, or
     hold a null or non-finite component, take no part, nor do rows without an id;
@@ -126,21 +167,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     sums of 64-bit integers.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), integer_vectors(F.col("embedding"), scale).alias("vector"), is_query.alias("asks")).filter("id IS NOT NULL AND size(vector) > 0")
-    settings = vectors.sparkSession.conf
-    asked = blocks(rows.filter("asks").select("id", "vector").distinct(), QUERY_BLOCK)
+    size = F.sum(8 + 8 * F.greatest(F.size("embedding"), F.lit(0)).cast("long"))
+    asked_bytes = vectors.filter(is_query).agg(size).first()[0] or 0
+    asked = blocks(rows.filter("asks").select("id", "vector").distinct(), ASKED_BLOCK).select("width", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     stored = blocks(rows.select("id", "vector"), BLOCK)
-    # The blocks of queries are copied to so many tables, over which those of candidates are dealt.
-    tables = max(1, int(settings.get("spark.sql.shuffle.partitions")))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), "width", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    stored = stored.select(F.pmod(F.xxhash64("ids"), F.lit(tables)).cast("int").alias("table"), "width", "ids", "vectors")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, lists = None, None
         for batch in batches:
             for x in batch.itertuples(index=False):
-                shape = (-1, x.width)
-                found = no_random_access(np.frombuffer(x.queries).reshape(shape), np.frombuffer(x.query_ids, np.int64), np.frombuffer(x.vectors).reshape(shape), np.frombuffer(x.ids, np.int64), k)
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    found = stored.join(asked, ["table", "width"]).mapInPandas(search, "query_id long, vec_id long, score long")
+                if block != (x.ids, x.vectors):
+                    block, lists = (x.ids, x.vectors), SortedLists(np.frombuffer(x.vectors).reshape(-1, x.width))
+                ids, query_ids, queries = np.frombuffer(x.ids, np.int64), np.frombuffer(x.query_ids, np.int64), np.frombuffer(x.queries).reshape(-1, x.width)
+                for at in range(0, len(query_ids), QUERY_BLOCK):
+                    part = slice(at, at + QUERY_BLOCK)
+                    yield pd.DataFrame(no_random_access(queries[part], query_ids[part], lists, ids, k), columns=["query_id", "vec_id", "score"])
+
+    found = meetings(stored, asked, asked_bytes).mapInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
