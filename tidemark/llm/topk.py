@@ -130,18 +130,19 @@ def no_random_access(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
     return list(zip(query_ids[query[first]].tolist(), found[first].tolist(), scores[first].tolist(), strict=True))
 
 
-def meetings(stored: DataFrame, asked: DataFrame, asked_bytes: int) -> DataFrame:
+def meetings(stored: DataFrame, asked: DataFrame, asked_bytes: int, rows: int) -> DataFrame:
     """Each block of candidates beside each block of queries of its width.
 
-    Candidates are dealt over the session's shuffle partitions and queries sent to
-    all of them, ``asked_bytes`` at most. Where that is over ``BROADCAST_BYTES``,
+    Candidates are dealt over the session's shuffle partitions, fewer where their
+    ``rows`` don't make a quarter of a block for each, and queries sent to all of
+    them, ``asked_bytes`` at most. Where that is over ``BROADCAST_BYTES``,
     blocks meet in a grid instead: so many groups of queries that a task holds one,
     times so many tables of candidates. No size that Spark guesses decides: it
     takes copied blocks for single ones.
     """
     tables, groups = partitions(stored.sparkSession), -(-asked_bytes // BROADCAST_BYTES)
     if groups <= 1:
-        return stored.repartition(tables).join(F.broadcast(asked), "width")
+        return stored.repartition(min(tables, 4 * rows // BLOCK + 1)).join(F.broadcast(asked), "width")
     tables = max(1, tables // groups)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
@@ -167,8 +168,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     sums of 64-bit integers.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), integer_vectors(F.col("embedding"), scale).alias("vector"), is_query.alias("asks")).filter("id IS NOT NULL AND size(vector) > 0")
-    size = F.sum(8 + 8 * F.greatest(F.size("embedding"), F.lit(0)).cast("long"))
-    asked_bytes = vectors.filter(is_query).agg(size).first()[0] or 0
+    size = 8 + 8 * F.greatest(F.size("embedding"), F.lit(0)).cast("long")
+    n, asked_bytes = vectors.agg(F.count(F.lit(1)), F.sum(F.when(is_query, size))).first()
     asked = blocks(rows.filter("asks").select("id", "vector").distinct(), ASKED_BLOCK).select("width", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     stored = blocks(rows.select("id", "vector"), BLOCK)
 
@@ -183,6 +184,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
                     part = slice(at, at + QUERY_BLOCK)
                     yield pd.DataFrame(no_random_access(queries[part], query_ids[part], lists, ids, k), columns=["query_id", "vec_id", "score"])
 
-    found = meetings(stored, asked, asked_bytes).mapInPandas(search, "query_id long, vec_id long, score long")
+    found = meetings(stored, asked, asked_bytes or 0, n).mapInPandas(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
